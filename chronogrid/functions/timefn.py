@@ -12,7 +12,7 @@ ISO_MS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 def floor_index(ms: Column, step_ms: int = RESOLUTION_MS) -> Column:
     """Grid index of an epoch-ms value; floors also below zero."""
-    return ((ms - F.pmod(ms, F.lit(step_ms))) / F.lit(step_ms)).cast("bigint")
+    return F.call_function("div", ms - F.pmod(ms, F.lit(step_ms)), F.lit(step_ms)).cast("bigint")
 
 
 def snap(ms: Column, step_ms: int = RESOLUTION_MS) -> Column:

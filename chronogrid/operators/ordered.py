@@ -36,8 +36,12 @@ def _edge_rows(chunked: DataFrame, order: list[str], columns: list[str]) -> Data
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Add struct ``prev`` with ``columns`` of the preceding row of the same ``keys``."""
+    return previous_in_chunks(range_chunks(df, keys + order), keys, order, columns)
+
+
+def previous_in_chunks(chunked: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """``with_previous`` over rows that ``range_chunks`` has already spread by ``keys + order``."""
     full_order = keys + order
-    chunked = range_chunks(df, full_order)
     inside = Window.partitionBy(CHUNK, *keys).orderBy(*order)
     carried = list(dict.fromkeys(keys + columns))
     edges = _edge_rows(chunked, full_order, carried)

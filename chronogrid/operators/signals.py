@@ -9,7 +9,7 @@ from chronogrid.constants import PROXY_BAND_BINS, PROXY_METHOD, RESOLUTION_MS
 from chronogrid.functions.numbers import round_stable
 from chronogrid.functions.timefn import floor_index
 from chronogrid.operators.grid import expand_to_grid, last_index
-from chronogrid.operators.ordered import with_previous
+from chronogrid.operators.ordered import CHUNK, previous_in_chunks, range_chunks
 
 BIN_COLUMNS = ["start_ms", "end_ms", "bpm", "bpm_min", "bpm_max", "seq"]
 
@@ -30,6 +30,14 @@ def dedup_bins(bins: DataFrame) -> DataFrame:
     return kept.select("device", "canonical_index", *[F.col(f"_bin.{c}").alias(c) for c in BIN_COLUMNS], "copies")
 
 
+SERIES_ORDER = ["start_ms", "end_ms", "seq"]
+
+
+def spread_series(bins: DataFrame) -> DataFrame:
+    """Bins written once in device and time order, so that no device or minute sits on one task."""
+    return range_chunks(bins, ["device", *SERIES_ORDER])
+
+
 def proxy_parts(bins: DataFrame, band: int = PROXY_BAND_BINS) -> DataFrame:
     """Partial sums of the rolling proxy: device, canonical_index, band_bins, pairs, square_sum.
 
@@ -40,12 +48,9 @@ def proxy_parts(bins: DataFrame, band: int = PROXY_BAND_BINS) -> DataFrame:
     sums are collapsed per minute before they are spread over the band, which
     keeps a crowded minute as small as a quiet one.
     """
-    series = with_previous(
-        bins.select("device", "start_ms", "end_ms", "seq", "bpm"),
-        keys=["device"],
-        order=["start_ms", "end_ms", "seq"],
-        columns=["start_ms", "bpm"],
-    )
+    narrow = bins.select("device", *SERIES_ORDER, "bpm", *([CHUNK] if CHUNK in bins.columns else []))
+    chunked = narrow if CHUNK in bins.columns else spread_series(narrow)
+    series = previous_in_chunks(chunked, ["device"], SERIES_ORDER, ["start_ms", "bpm"])
     minute = floor_index(F.col("start_ms"))
     on_edge = (F.pmod(F.col("start_ms"), F.lit(RESOLUTION_MS)) == 0).cast("bigint")
     prev_minute = floor_index(F.col("prev.start_ms"))
@@ -170,6 +175,7 @@ def align_windows(bins: DataFrame, hrv: DataFrame, stress: DataFrame, sleep: Dat
     proxy partial sums ride along in the same shuffle and count only where a
     measured modality makes the window a candidate. ``bins`` must be de-duplicated.
     """
+    bins = spread_series(bins)
     rows = (
         _long(bins.withColumn("canonical_index", floor_index(F.col("start_ms"))), "heart_rate", ["bpm", "bpm_min", "bpm_max"])
         .unionByName(_long(proxy_parts(bins), "hrv_proxy", ["band_bins", "pairs", "square_sum"]))

@@ -36,11 +36,17 @@ def modality_of(event_type: Column) -> Column:
     )
 
 
-def obs(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
-    """device, start_ms, end_ms, modality, value, k, event_id."""
+EVENT_TYPE = {"heart_rate": "view", "hrv": "click", "stress": "purchase", "sleep_stage": "error"}
+
+
+def obs(spark: SparkSession, sf_dir: str, shared: bool = False, modality: str | None = None) -> DataFrame:
+    """device, start_ms, end_ms, modality, value, k, event_id; one modality is filtered in the scan."""
     start = utc_ms(F.col("ts"))
     device = F.lit(SHARED_DEVICE) if shared else F.col("user_id").cast("string")
-    return table(spark, sf_dir, "events").select(
+    rows = table(spark, sf_dir, "events")
+    if modality is not None:
+        rows = rows.where(F.col("event_type") == EVENT_TYPE[modality])
+    return rows.select(
         device.alias("device"),
         start.alias("start_ms"),
         (start + F.lit(1000) * k_of(F.col("props"))).alias("end_ms"),
@@ -63,7 +69,7 @@ OBS_SHARED = OBS.replace("cast(user_id AS VARCHAR) AS device", "'all' AS device"
 
 
 def bins(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
-    rows = obs(spark, sf_dir, shared).where("modality = 'heart_rate'")
+    rows = obs(spark, sf_dir, shared, "heart_rate")
     return rows.select(
         "device", "start_ms", "end_ms",
         F.col("value").alias("bpm"),
@@ -74,7 +80,7 @@ def bins(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
 
 
 def hrv(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
-    rows = obs(spark, sf_dir, shared).where("modality = 'hrv'")
+    rows = obs(spark, sf_dir, shared, "hrv")
     return rows.select(
         "device", "start_ms", "end_ms",
         F.col("value").alias("sdnn_ms"),
@@ -86,7 +92,7 @@ def hrv(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
 
 def stress(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
     """A reading of zero seconds carries no score."""
-    rows = obs(spark, sf_dir, shared).where("modality = 'stress'")
+    rows = obs(spark, sf_dir, shared, "stress")
     return rows.select(
         "device", "start_ms", "end_ms",
         F.when(F.col("k") > 0, F.col("value")).alias("score"),
@@ -96,7 +102,7 @@ def stress(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
 
 def sleep(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
     """Stage codes 40001-40004 from the record length."""
-    rows = obs(spark, sf_dir, shared).where("modality = 'sleep_stage'")
+    rows = obs(spark, sf_dir, shared, "sleep_stage")
     return rows.select(
         "device", "start_ms", "end_ms",
         (F.lit(40001) + F.pmod(F.col("k"), F.lit(4))).cast("bigint").alias("stage_code"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronogrid.plans import scalar_catalog, state_catalog, windows_catalog  # noqa: F401
+from chronogrid.plans import scalar_catalog, source_catalog, state_catalog, windows_catalog  # noqa: F401
 from chronogrid.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

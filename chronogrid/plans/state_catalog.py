@@ -652,7 +652,7 @@ def a28(spark, sf_dir):
 def a27(spark, sf_dir):
     """Documents as uploads: German ones carry broken base64, French ones a wrong hash, src0 an unsafe path."""
     docs = b.table(spark, sf_dir, "documents")
-    encoded = F.base64(F.col("text").cast("binary"))
+    encoded = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", "")
     folder = F.when(F.col("source") == "src0", F.lit("../")).otherwise(F.lit("docs/"))
     uploads = docs.select(
         "doc_id",

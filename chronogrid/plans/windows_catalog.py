@@ -146,9 +146,8 @@ def c04_sources(spark, sf_dir):
      SELECT device, i AS canonical_index, bool_or(c > 0) AS present, {b.rnd('max(c)', 6)} AS coverage FROM parts GROUP BY ALL""",
 )
 def c05(spark, sf_dir):
-    rows = b.obs(spark, sf_dir)
-    base = grid.overlap_coverage(rows.where("modality = 'heart_rate'"), ["device"])
-    extra = grid.overlap_coverage(rows.where("modality = 'sleep_stage'"), ["device"])
+    base = grid.overlap_coverage(b.obs(spark, sf_dir, modality="heart_rate"), ["device"])
+    extra = grid.overlap_coverage(b.obs(spark, sf_dir, modality="sleep_stage"), ["device"])
     return grid.rounded_coverage(grid.merge_aligned(base, extra, ["device"]))
 
 
@@ -160,9 +159,10 @@ def c05(spark, sf_dir):
        arg_min(s, (side, s)) AS first_start_ms FROM parts GROUP BY device, i, k""",
 )
 def g05(spark, sf_dir):
-    rows = b.obs(spark, sf_dir).withColumnRenamed("k", "source_id")
-    base = grid.cell_sources(rows.where("modality = 'heart_rate'"), ["device"], "source_id", ["start_ms"])
-    extra = grid.cell_sources(rows.where("modality = 'sleep_stage'"), ["device"], "source_id", ["start_ms"])
+    heart = b.obs(spark, sf_dir, modality="heart_rate").withColumnRenamed("k", "source_id")
+    sleep = b.obs(spark, sf_dir, modality="sleep_stage").withColumnRenamed("k", "source_id")
+    base = grid.cell_sources(heart, ["device"], "source_id", ["start_ms"])
+    extra = grid.cell_sources(sleep, ["device"], "source_id", ["start_ms"])
     return grid.merge_sources(base, extra, ["device"], "source_id", ["start_ms"])
 
 
