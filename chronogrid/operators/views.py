@@ -176,12 +176,15 @@ def verdict_counts(runs: DataFrame) -> DataFrame:
     )
 
 
+def window_counter_columns(modalities: Iterable[str]) -> list[Column]:
+    """Aggregates for ``agg`` or, alongside a write, for ``observe``."""
+    each = [F.count_if(F.col(f"present_{m}")).alias(f"windows_{m}") for m in modalities]
+    return [F.count(F.lit(1)).alias("windows_emitted"), *each]
+
+
 def window_counters(windows: DataFrame, modalities: Iterable[str]) -> DataFrame:
     """Windows emitted in total and per modality."""
-    return windows.agg(
-        F.count(F.lit(1)).alias("windows_emitted"),
-        *[F.count_if(F.col(f"present_{m}")).alias(f"windows_{m}") for m in modalities],
-    )
+    return windows.agg(*window_counter_columns(modalities))
 
 
 def rollup_counters(rollups: DataFrame, modalities: Iterable[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chronogrid.constants import DEFAULT_SPANS, MIN_COVERAGE, MODALITIES
@@ -119,15 +119,18 @@ def produce(
             )
     windows = signals.produce_windows(parts["bins"], parts["hrv"], parts["stress"], parts["sleep"])
     kept = rollup.first_windows(windows, max_windows) if max_windows else windows
-    rows = rollup.window_records(kept, PRODUCER, export=export)
+    seen = Observation()
+    counters = views.window_counter_columns(MODALITIES)
+    rows = rollup.window_records(kept.observe(seen, *counters), PRODUCER, export=export)
     tables.write_records(rows.withColumn("ingestStatus", F.lit("accepted")), store, "source", rows_per_file)
     if manifest_path:
         tables.upsert_table(
             spark, manifest_path, manifest.withColumn("arrival", F.col("processed_at_ms")), ["export", "rel_path"], ["export"]
         )
-    counts = views.window_counters(kept, MODALITIES)
-    totals = manifest.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") == "error").alias("files_error"))
-    return counts.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    totals = manifest.agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") == "error").alias("files_error")
+    )
+    return totals.select("*", *[F.lit(n).cast("bigint").alias(name) for name, n in seen.get.items()])
 
 
 # --- compaction (M-02) -------------------------------------------------------------

@@ -223,7 +223,8 @@ def a11(spark, sf_dir):
     group = F.floor(F.col("event_id") / 256).alias("g")
     maps = b.table(spark, sf_dir, "events").groupBy(group).agg(F.array_join(F.collect_list(entry), "").alias("body"))
     path = scratch_path(spark, "counters")
-    maps.select(F.concat(F.lit("<map>"), "body", F.lit("</map>")).alias("value")).write.text(path)
+    document = F.concat(F.lit("<map>"), "body", F.lit("</map>"))
+    maps.select(document.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return record_source.read_counters(spark, path)
 
 
