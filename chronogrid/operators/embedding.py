@@ -124,14 +124,13 @@ def _epoch_sums(rows: DataFrame, weights: Weights) -> tuple[np.ndarray, float, i
             flat = np.concatenate(grads[::-1])
             total = flat if total is None else total + flat
         if total is not None:
-            yield pd.DataFrame({"gradient": [total], "error": [error], "n": [count]})
-
-    parts = rows.select("features").mapInPandas(run, "gradient array<double>, error double, n bigint")
-    cells = parts.select(F.posexplode("gradient").alias("i", "g"))
-    summed = cells.groupBy("i").agg(F.sum("g").alias("g")).orderBy("i").collect()  # one row per parameter
-    totals = parts.agg(F.sum("error").alias("error"), F.sum("n").alias("n")).first()
-    gradient = np.array([r["g"] for r in summed])
-    return gradient, float(totals["error"] or 0.0), int(totals["n"] or 0)
+            yield pd.DataFrame({"sums": [np.concatenate([total, [error, float(count)]])]})
+
+    parts = rows.select("features").mapInPandas(run, "sums array<double>")
+    cells = parts.select(F.posexplode("sums").alias("i", "v"))
+    summed = cells.groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # one row per parameter
+    values = np.array([r["v"] for r in summed])
+    return (values[:-2], float(values[-2]), int(values[-1])) if len(values) else (values, 0.0, 0)
 
 
 def _step(weights: Weights, gradient: np.ndarray, rate: float) -> Weights:

@@ -496,3 +496,10 @@ def k01(spark, sf_dir):
         F.regexp_extract("path", r"/0*(\d+)\.png$", 1).cast("bigint").alias("doc_id"), "content"
     )
     return jobs.transcribe(pages, fake_engine)
+
+
+def doc_inbox(spark, sf_dir):
+    return b.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("export"), F.col("doc_id").cast("string").alias("rel_path"), F.sha2("text", 256).alias("sha256"),
+        F.col("n_chars").alias("bytes"), F.col("text").alias("payload"),
+    )
