@@ -144,7 +144,7 @@ def _stats_struct(columns: dict[str, Column]) -> Column:
 
 
 def rollup_records(rollups: DataFrame, device_alias: Column, producer: str, version: str = "0.1", min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """Rollups as 9-key records with nested payload text; expects ``members``."""
+    """Rollups as 9-key records with nested payload; expects ``members``."""
     coverage = {m: F.col(f"coverage_{m}") for m in MODALITIES}
     flags = {m: F.col(f"coverage_{m}") > 0 for m in MODALITIES}
     modalities = F.struct(
@@ -196,11 +196,11 @@ def rollup_records(rollups: DataFrame, device_alias: Column, producer: str, vers
     return rollups.select(
         F.col("artifact_id").alias("artifactId"),
         F.lit("mobile").alias("source"),
-        F.to_json(payload).alias("payload"),
+        payload.alias("payload"),
         F.col("span_start_ms").alias("createdAtEpochMs"),
         F.lit("1.1").alias("schemaVersion"),
         device_alias.alias("deviceAlias"),
-        F.to_json(provenance).alias("provenanceMetadataJson"),
+        provenance.alias("provenanceMetadataJson"),
         F.lit(0).cast("bigint").alias("ingestedAtEpochMs"),
         F.lit("accepted").alias("ingestStatus"),
     )
@@ -254,11 +254,11 @@ def window_records(windows: DataFrame, producer: str, export: str = "", transpor
     return windows.select(
         ids.window_id(F.col("canonical_index")).alias("artifactId"),
         F.lit("mobile").alias("source"),
-        F.to_json(payload).alias("payload"),
+        payload.alias("payload"),
         F.col("start_ms").alias("createdAtEpochMs"),
         F.lit("1.0").alias("schemaVersion"),
         F.col("device").alias("deviceAlias"),
-        F.to_json(provenance).alias("provenanceMetadataJson"),
+        provenance.alias("provenanceMetadataJson"),
         F.lit(0).cast("bigint").alias("ingestedAtEpochMs"),
         F.lit("pending").alias("ingestStatus"),
     )

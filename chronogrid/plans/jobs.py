@@ -106,6 +106,7 @@ def produce(
     With a manifest the run is skipped when no file is new or changed; the
     stored windows of the earlier run stay in place.
     """
+    export = export or export_root.rstrip("/").rsplit("/", 1)[-1]
     parts = read_export(spark, export_root, device, offset_mode)
     manifest = file_manifest(spark, export_root, export, parts, now_ms)
     if manifest_path:

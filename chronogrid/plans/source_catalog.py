@@ -78,7 +78,8 @@ def a02(spark, sf_dir):
     rows = rollup.window_records(b.windows(spark, sf_dir), "chronogrid")
     other = rows.withColumn("payload", F.lit('{"kind":"url"}'))
     path = scratch_path(spark, "windows")
-    tables.write_records(rows.unionByName(other), path, "source")
+    tables.write_records(rows, f"{path}/kept", "source")
+    tables.write_records(other, f"{path}/other", "source")
     loaded = record_source.load_windows(record_source.scan_records(spark, path, layout="lines"))
     return loaded.select(
         "device", "artifact_id", "canonical_index", "start_ms", "end_ms", "present_hrv_proxy", "heart_rate_bpm",

@@ -703,6 +703,7 @@ def d24(spark, sf_dir):
 )
 def b19(spark, sf_dir):
     rows = rollup.window_records(b.windows(spark, sf_dir), producer="chronogrid")
+    rows = rows.withColumn("payload", F.to_json("payload"))
     payload = F.col("payload")
     modalities = F.get_json_object(payload, "$.payload.modalities")
     return rows.select(

@@ -24,10 +24,13 @@ def read_notes(spark: SparkSession, path: str) -> dict[str, str]:
 
 
 def write_records(records: DataFrame, path: str, partition: str, rows_per_file: int = 0) -> None:
-    """9-key records as JSON lines in one folder per ``partition`` value; JSON text columns become objects."""
-    nested = {"payload", "provenanceMetadataJson"}
+    """9-key records as JSON lines in one folder per ``partition`` value.
+
+    Payload and provenance may be structs, which is cheaper, or JSON text, which becomes an object.
+    """
+    texts = {n for n, t in records.dtypes if n in ("payload", "provenanceMetadataJson") and t == "string"}
     line = F.to_json(
-        F.struct(*[F.try_parse_json(c).alias(c) if c in nested else F.col(c) for c in records.columns])
+        F.struct(*[F.try_parse_json(c).alias(c) if c in texts else F.col(c) for c in records.columns])
     ).alias("value")
     writer = records.select(line, F.col(partition).alias(f"by_{partition}")).write.mode("overwrite")
     if rows_per_file:

@@ -60,18 +60,18 @@ def newest_export(dirs: DataFrame) -> DataFrame:
 
 
 def _json_array(spark: SparkSession, paths: str | list[str], fields: list[str]) -> DataFrame:
-    """Elements of top-level arrays, all fields as text, in file order by ``seq``.
+    """Objects of top-level arrays, all fields as text, with file and position (``seq``).
 
-    The reader streams the elements of a file, so no file has to fit in one value.
+    Other elements are skipped one by one and a file that is no array gives no
+    rows; an export is cut into many small files, so a file fits in one value.
     """
-    schema = ", ".join([f"{f} string" for f in fields] + ["_corrupt_record string"])
-    rows = (
-        spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
-        .option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
-    )
-    return rows.select(
-        *fields, F.col("_corrupt_record"), file_path().alias("source_file"), F.monotonically_increasing_id().alias("seq")
-    )
+    files = spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True)
+    is_array = F.ltrim(F.regexp_replace("value", "^\ufeff", "")).startswith("[")
+    items = F.from_json(F.when(is_array, F.col("value")), "array<string>")
+    rows = files.select(file_path().alias("source_file"), F.posexplode(items).alias("seq", "item"))
+    schema = ", ".join(f"{f} string" for f in fields)
+    parsed = rows.select("source_file", F.col("seq").cast("bigint").alias("seq"), F.from_json("item", schema).alias("r"))
+    return parsed.select(*[F.col(f"r.{f}").alias(f) for f in fields], "source_file", "seq")
 
 
 def parse_hr_bins(rows: DataFrame) -> DataFrame:
