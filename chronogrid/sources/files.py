@@ -43,7 +43,7 @@ def first_existing(spark: SparkSession, *roots: str) -> str | None:
     """First folder that can be read."""
     for root in roots:
         try:
-            spark.read.text(root).limit(0).collect()
+            spark.read.option("recursiveFileLookup", True).text(root).limit(0).collect()
             return root
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
