@@ -605,3 +605,30 @@ def b09(spark, sf_dir):
     return records.visit_records(valid, "raw", ["page_id"]).select(
         "page_id", "artifact_id", "source", "created_at_ms", "schema_version", "device_alias"
     )
+
+
+@register(
+    "h13_canonical_events",
+    """SELECT event_id, '{"k":' || k || ',"type":"' || event_type || '","value":' || value || '}' AS exact_json,
+       '{"k":' || k || ',"type":"' || event_type || '"}' AS native_json
+       FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)""",
+)
+def h13_events(spark, sf_dir):
+    k = b.k_of(F.col("props")).alias("k")
+    kind = F.col("event_type").alias("type")
+    return b.table(spark, sf_dir, "events").select(
+        "event_id",
+        jsontext.canonical_json_exact(F.to_json(F.struct("value", kind, k))).alias("exact_json"),
+        jsontext.canonical_json(F.to_json(F.struct(kind, k))).alias("native_json"),
+    )
+
+
+@register(
+    "h23_event_pretty_size",
+    """SELECT event_id, length('{' || chr(10) || '  "k": ' || json_extract_string(props, '$.k') || chr(10) || '}')::BIGINT AS pretty_chars FROM events""",
+)
+def h23_events(spark, sf_dir):
+    shape = jsontext.json_shape(F.col("props"))
+    return b.table(spark, sf_dir, "events").select("event_id", shape.alias("s")).select(
+        "event_id", F.col("s.pretty_chars").alias("pretty_chars")
+    )
