@@ -27,7 +27,7 @@ def one_value_per_file(df, path):
     return path
 
 
-def json_arrays(rows, fields, per_file=256):
+def json_arrays(rows, fields, per_file=4096):
     """Arrays of at most ``per_file`` consecutive records, one text per file."""
     group = F.floor(F.col("event_id") / per_file).alias("g")
     items = F.sort_array(F.collect_list(F.struct("event_id", *[c.alias(n) for n, c in fields.items()])))

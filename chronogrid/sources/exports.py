@@ -159,47 +159,59 @@ def _cell(*names: str) -> Column:
     return F.coalesce(*found)
 
 
-def _times(rows: DataFrame, offset_mode: str, *prefixes: str) -> DataFrame:
-    def named(name: str) -> Column:
-        return _cell(name, *[p + name for p in prefixes])
+def _once(rows: DataFrame, columns: dict[str, Column], keep: list[str]) -> DataFrame:
+    """Compute ``columns`` a single time per row.
+
+    Going through a one-element array keeps the optimizer from copying the
+    expressions into every later filter and projection that mentions them.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return rows.select(*keep, F.inline(F.array(row)))
+
+
+def _times(lines: DataFrame, names: dict[str, tuple[str, ...]], offset_mode: str) -> DataFrame:
+    """Named cells as text with ``start_ms`` and ``end_ms``; rows without readable times are dropped."""
+    rows = sheet_rows(lines)
+    text = _once(rows, {n: _cell(*aliases) for n, aliases in names.items()}, ["path", "order"])
+    offset = F.coalesce("time_offset", F.lit(""))
+    start = parse_local_ts_ms(F.col("start_time"), offset, offset_mode)
+    end = parse_local_ts_ms(F.col("end_time"), offset, offset_mode)
+    timed = _once(text, {"start_ms": start, "_end": end}, text.columns)
+    ends = F.when(F.col("end_time").isNull(), F.col("start_ms")).otherwise(F.col("_end"))
+    return timed.withColumn("end_ms", ends).where("start_ms is not null and end_ms is not null")
 
-    offset = F.coalesce(named("time_offset"), F.lit(""))
-    start, end = named("start_time"), named("end_time")
-    start_ms = parse_local_ts_ms(start, offset, offset_mode)
-    end_ms = F.when(end.isNull(), start_ms).otherwise(parse_local_ts_ms(end, offset, offset_mode))
-    timed = rows.withColumn("start_ms", start_ms).withColumn("end_ms", end_ms)
-    return timed.where("start_ms is not null and end_ms is not null")
+
+def _aliases(*names: str, prefix: str | None = None) -> dict[str, tuple[str, ...]]:
+    return {n: (n, prefix + n) if prefix else (n,) for n in names}
 
 
 def stress_sheet(lines: DataFrame, offset_mode: str = "reference") -> DataFrame:
-    rows = _times(sheet_rows(lines), offset_mode)
-    score = _cell("score")
+    rows = _times(lines, _aliases("start_time", "end_time", "time_offset", "score", "datauuid"), offset_mode)
     return rows.select(
-        "start_ms", "end_ms", F.when(score.isNotNull(), as_double_or(score)).alias("score"),
-        F.coalesce(_cell("datauuid"), F.lit("")).alias("data_uuid"), F.col("path").alias("source_file"), F.col("order").alias("seq"),
+        "start_ms", "end_ms", F.when(F.col("score").isNotNull(), as_double_or(F.col("score"))).alias("score"),
+        F.coalesce("datauuid", F.lit("")).alias("data_uuid"), F.col("path").alias("source_file"), F.col("order").alias("seq"),
     )
 
 
 def sleep_sheet(lines: DataFrame, offset_mode: str = "reference") -> DataFrame:
-    rows = _times(sheet_rows(lines), offset_mode, SLEEP_PREFIX)
-
-    def named(name: str) -> Column:
-        return _cell(name, SLEEP_PREFIX + name)
+    names = _aliases(
+        "start_time", "end_time", "time_offset", "sleep_score", "efficiency", "sleep_type", "datauuid", prefix=SLEEP_PREFIX
+    )
+    rows = _times(lines, names, offset_mode)
 
     def number(name: str) -> Column:
-        return F.when(named(name).isNotNull(), as_double_or(named(name)))
+        return F.when(F.col(name).isNotNull(), as_double_or(F.col(name))).alias(name)
 
     return rows.select(
-        "start_ms", "end_ms", number("sleep_score").alias("sleep_score"), number("efficiency").alias("efficiency"),
-        as_int(named("sleep_type")).alias("sleep_type"), F.coalesce(named("datauuid"), F.lit("")).alias("data_uuid"),
-        F.col("path").alias("source_file"),
+        "start_ms", "end_ms", number("sleep_score"), number("efficiency"), as_int(F.col("sleep_type")).alias("sleep_type"),
+        F.coalesce("datauuid", F.lit("")).alias("data_uuid"), F.col("path").alias("source_file"),
     )
 
 
 def sleep_stage_sheet(lines: DataFrame, offset_mode: str = "reference") -> DataFrame:
-    rows = _times(sheet_rows(lines), offset_mode).withColumn("stage_code", as_int(_cell("stage")))
-    return rows.where("stage_code is not null").select(
-        "start_ms", "end_ms", "stage_code", F.coalesce(_cell("sleep_id"), F.lit("")).alias("sleep_id"),
+    rows = _times(lines, _aliases("start_time", "end_time", "time_offset", "stage", "sleep_id"), offset_mode)
+    return rows.withColumn("stage_code", as_int(F.col("stage"))).where("stage_code is not null").select(
+        "start_ms", "end_ms", "stage_code", F.coalesce("sleep_id", F.lit("")).alias("sleep_id"),
         F.col("path").alias("source_file"), F.col("order").alias("seq"),
     )
 
