@@ -36,11 +36,14 @@ def _edge_rows(chunked: DataFrame, order: list[str], columns: list[str]) -> Data
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Add struct ``prev`` with ``columns`` of the preceding row of the same ``keys``."""
-    return previous_in_chunks(range_chunks(df, keys + order), keys, order, columns)
+    return previous_in_chunks(range_chunks(df, keys + order), keys, order, columns).drop(CHUNK)
 
 
 def previous_in_chunks(chunked: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """``with_previous`` over rows that ``range_chunks`` has already spread by ``keys + order``."""
+    """``with_previous`` over rows that ``range_chunks`` has already spread by ``keys + order``.
+
+    The rows stay partitioned by chunk and key, so grouping by these first needs no shuffle.
+    """
     full_order = keys + order
     inside = Window.partitionBy(CHUNK, *keys).orderBy(*order)
     carried = list(dict.fromkeys(keys + columns))
@@ -51,7 +54,7 @@ def previous_in_chunks(chunked: DataFrame, keys: list[str], order: list[str], co
     here = chunked.select("*", F.lag(F.struct(*columns)).over(inside).alias("_inner"))
     joined = here.join(F.broadcast(edges), CHUNK, "left")
     across = F.when(same_key, F.struct(*[F.col(f"_tail.{c}").alias(c) for c in columns]))
-    return joined.withColumn("prev", F.coalesce("_inner", across)).drop("_inner", "_tail", CHUNK)
+    return joined.withColumn("prev", F.coalesce("_inner", across)).drop("_inner", "_tail")
 
 
 def with_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:

@@ -39,7 +39,7 @@ def spread_series(bins: DataFrame) -> DataFrame:
 
 
 def proxy_parts(bins: DataFrame, band: int = PROXY_BAND_BINS) -> DataFrame:
-    """Partial sums of the rolling proxy: device, canonical_index, band_bins, pairs, square_sum.
+    """Sums behind the rolling proxy: device, canonical_index, band_bins, pairs, square_sum.
 
     The band of window i holds bins with start in [60s*(i-band+1), 60s*(i+1)],
     both ends inclusive. Adjacent differences inside a band are exactly the
@@ -57,28 +57,23 @@ def proxy_parts(bins: DataFrame, band: int = PROXY_BAND_BINS) -> DataFrame:
     step = F.col("bpm") - F.col("prev.bpm")
     near = prev_minute + F.lit(band) >= minute
     marked = series.select(
+        CHUNK,
         "device",
         (minute - on_edge).alias("lo"),
         (minute + F.lit(band - 1)).alias("hi"),
         F.when(near, prev_minute + F.lit(band - 1)).alias("pair_hi"),
         F.when(near, step * step).alias("square"),
     )
-    per_minute = marked.groupBy("device", "lo", "hi", "pair_hi").agg(
+    # Chunk and device are how the rows lie already: this grouping moves nothing.
+    per_minute = marked.groupBy(CHUNK, "device", "lo", "hi", "pair_hi").agg(
         F.count(F.lit(1)).alias("n"), F.sum("square").alias("square_sum")
     )
-    bins_part = F.struct(
-        F.lit(True).alias("counts_bins"), F.col("lo").alias("a"), F.col("hi").alias("b")
-    )
-    pairs_part = F.struct(
-        F.lit(False).alias("counts_bins"), F.col("lo").alias("a"), F.col("pair_hi").alias("b")
-    )
-    spread = per_minute.withColumn("part", F.explode(F.array(bins_part, pairs_part))).where("part.b >= part.a")
-    return spread.select(
-        "device",
-        F.explode(F.sequence("part.a", "part.b")).alias("canonical_index"),
-        F.when(F.col("part.counts_bins"), F.col("n")).otherwise(F.lit(0)).cast("bigint").alias("band_bins"),
-        F.when(F.col("part.counts_bins"), F.lit(0)).otherwise(F.col("n")).cast("bigint").alias("pairs"),
-        F.when(F.col("part.counts_bins"), F.lit(0.0)).otherwise(F.col("square_sum")).alias("square_sum"),
+    spread = per_minute.withColumn("canonical_index", F.explode(F.sequence("lo", "hi")))
+    paired = F.coalesce(F.col("canonical_index") <= F.col("pair_hi"), F.lit(False))
+    return spread.groupBy("device", "canonical_index").agg(
+        F.sum("n").alias("band_bins"),
+        F.sum(F.when(paired, F.col("n")).otherwise(F.lit(0))).alias("pairs"),
+        F.sum(F.when(paired, F.col("square_sum")).otherwise(F.lit(0.0))).alias("square_sum"),
     )
 
 
@@ -142,8 +137,8 @@ def sleep_payload(code: Column) -> dict[str, Column]:
 LONG = {
     "bpm": "double", "bpm_min": "double", "bpm_max": "double",
     "band_bins": "bigint", "pairs": "bigint", "square_sum": "double",
-    "sdnn_ms": "double", "rmssd_ms": "double", "source_file": "string", "seq": "bigint",
-    "score": "double", "stage_code": "bigint",
+    "sdnn_ms": "double", "rmssd_ms": "double",
+    "score": "double", "segments": "bigint", "dominant_stage": "bigint",
 }
 
 
@@ -171,43 +166,48 @@ def candidate_windows(bins: DataFrame, hrv: DataFrame, stress: DataFrame, sleep:
 def align_windows(bins: DataFrame, hrv: DataFrame, stress: DataFrame, sleep: DataFrame) -> DataFrame:
     """All modalities side by side, one row per device and window with data.
 
-    One union and one groupBy take the place of a five-way full outer join; the
-    proxy partial sums ride along in the same shuffle and count only where a
-    measured modality makes the window a candidate. ``bins`` must be de-duplicated.
+    One union and one groupBy over plain numbers take the place of a five-way
+    full outer join, so the grouping stays a hash aggregate. HRV and sleep are
+    reduced to one row per window first; only the stage lists, which are no
+    numbers, are joined on, and both sides of that join already lie by window.
+    The proxy counts only where a measured modality makes the window a
+    candidate. ``bins`` must be de-duplicated.
     """
     bins = spread_series(bins)
+    window = ["device", "canonical_index"]
+    first = F.min_by(F.struct("sdnn_ms", "rmssd_ms"), F.struct("source_file", "seq")).alias("first")
+    hrv_windows = expand_to_grid(hrv).groupBy(*window).agg(first).select(*window, "first.sdnn_ms", "first.rmssd_ms")
+    stages = sleep_payload(F.col("stage_code"))
+    sleep_windows = expand_to_grid(sleep).groupBy(*window).agg(*[v.alias(k) for k, v in stages.items()])
+    at_start = floor_index(F.col("start_ms"))
     rows = (
-        _long(bins.withColumn("canonical_index", floor_index(F.col("start_ms"))), "heart_rate", ["bpm", "bpm_min", "bpm_max"])
+        _long(bins.withColumn("canonical_index", at_start), "heart_rate", ["bpm", "bpm_min", "bpm_max"])
         .unionByName(_long(proxy_parts(bins), "hrv_proxy", ["band_bins", "pairs", "square_sum"]))
-        .unionByName(_long(expand_to_grid(hrv), "hrv", ["sdnn_ms", "rmssd_ms", "source_file", "seq"]))
-        .unionByName(
-            _long(stress.withColumn("canonical_index", floor_index(F.col("start_ms"))), "stress", ["score"])
-        )
-        .unionByName(_long(expand_to_grid(sleep), "sleep_stage", ["stage_code"]))
+        .unionByName(_long(hrv_windows, "hrv", ["sdnn_ms", "rmssd_ms"]))
+        .unionByName(_long(stress.withColumn("canonical_index", at_start), "stress", ["score"]))
+        .unionByName(_long(sleep_windows, "sleep_stage", ["segments", "dominant_stage"]))
     )
-
-    def of(kind: str, column: str) -> Column:
-        return F.when(F.col("kind") == kind, F.col(column))
-
     is_kind = {k: F.col("kind") == k for k in ("heart_rate", "hrv", "stress", "sleep_stage")}
-    first_hrv = F.min_by(
-        F.when(is_kind["hrv"], F.struct("sdnn_ms", "rmssd_ms")),
-        F.when(is_kind["hrv"], F.struct("source_file", "seq")),
-    )
+    heart = hr_payload(F.col("bpm"), F.col("bpm_min"), F.col("bpm_max"))
+    readings = stress_payload(F.col("score"), is_kind["stress"])
     aggregates = {
-        **{f"heart_rate_{k}": v for k, v in hr_payload(of("heart_rate", "bpm"), of("heart_rate", "bpm_min"), of("heart_rate", "bpm_max")).items()},
+        **{f"heart_rate_{k}": v for k, v in heart.items()},
         "_band_bins": F.sum("band_bins"),
         "_pairs": F.sum("pairs"),
         "_squares": F.sum("square_sum"),
-        "_hrv": first_hrv,
+        "_sdnn": F.max("sdnn_ms"),
+        "_rmssd": F.max("rmssd_ms"),
         "_n_hrv": F.count_if(is_kind["hrv"]),
-        **{f"stress_{k}": v for k, v in stress_payload(of("stress", "score"), is_kind["stress"]).items()},
-        **{f"sleep_stage_{k}": v for k, v in sleep_payload(of("sleep_stage", "stage_code")).items()},
+        **{f"stress_{k}": v for k, v in readings.items()},
+        "sleep_stage_segments": F.max("segments"),
+        "sleep_stage_dominant_stage": F.max("dominant_stage"),
         "_n_sleep": F.count_if(is_kind["sleep_stage"]),
         "_n_hr": F.count_if(is_kind["heart_rate"]),
     }
-    wide = rows.groupBy("device", "canonical_index").agg(*[v.alias(k) for k, v in aggregates.items()])
+    wide = rows.groupBy(*window).agg(*[v.alias(k) for k, v in aggregates.items()])
     measured = wide.where((F.col("_n_hr") + F.col("_n_hrv") + F.col("stress_readings") + F.col("_n_sleep")) > 0)
+    codes = sleep_windows.select(*window, F.col("stage_codes").alias("sleep_stage_stage_codes"))
+    measured = measured.join(codes, window, "left")
     has_proxy = F.coalesce(F.col("_band_bins") >= 2, F.lit(False))
 
     def only(flag: Column, value: Column) -> Column:
@@ -234,15 +234,15 @@ def align_windows(bins: DataFrame, hrv: DataFrame, stress: DataFrame, sleep: Dat
         only(has["heart_rate"], F.col("heart_rate_bins")).alias("heart_rate_bins"),
         only(has_proxy, round_stable(F.sqrt(F.col("_squares") / F.col("_pairs")), 3)).alias("hrv_proxy_bpm"),
         only(has_proxy, F.col("_band_bins")).alias("hrv_proxy_windows"),
-        round_stable(F.col("_hrv.sdnn_ms"), 2).alias("hrv_sdnn_ms"),
-        round_stable(F.col("_hrv.rmssd_ms"), 2).alias("hrv_rmssd_ms"),
+        round_stable(F.col("_sdnn"), 2).alias("hrv_sdnn_ms"),
+        round_stable(F.col("_rmssd"), 2).alias("hrv_rmssd_ms"),
         only(has["stress"], F.col("stress_readings")).alias("stress_readings"),
         "stress_score",
         "stress_score_min",
         "stress_score_max",
-        only(has["sleep_stage"], F.col("sleep_stage_segments")).alias("sleep_stage_segments"),
-        only(has["sleep_stage"], F.col("sleep_stage_stage_codes")).alias("sleep_stage_stage_codes"),
-        only(has["sleep_stage"], F.col("sleep_stage_dominant_stage")).alias("sleep_stage_dominant_stage"),
+        "sleep_stage_segments",
+        "sleep_stage_stage_codes",
+        "sleep_stage_dominant_stage",
     )
 
 

@@ -157,8 +157,8 @@ def compact(
     """
     spans = tuple(spans)
     schema = "windows_loaded bigint, rollups_built bigint, partial_rollups bigint, parquet_ok boolean"
-    loaded = record_source.load_windows(record_source.scan_records(spark, raw_root, source, layout))
-    windows = loaded.persist()
+    loaded = record_source.parse_windows(record_source.scan_records(spark, raw_root, source, layout, ordered=False))
+    windows = loaded.dropDuplicates(["device", "artifact_id", "start_ms"]).persist()
     count = windows.count()
     if count == 0:
         return spark.createDataFrame([(0, 0, 0, False)], schema)

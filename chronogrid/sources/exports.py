@@ -112,8 +112,8 @@ def read_hrv_windows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def bad_json_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files whose text is not JSON at all."""
-    rows = spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True)
+    """``.json`` files whose text is not JSON at all."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(paths, wholetext=True)
     return rows.where(F.try_parse_json("value").isNull()).select(file_path().alias("source_file"))
 
 

@@ -13,8 +13,10 @@ from chronogrid.sources.files import first_existing, text_files
 RAW_SCHEMA = "path string, raw string"
 
 
-def scan_records(spark: SparkSession, root: str, source: str | None = None, layout: str = "file") -> DataFrame:
-    """path, raw: every JSON object below ``root`` or its ``source`` folder, sorted by path.
+def scan_records(
+    spark: SparkSession, root: str, source: str | None = None, layout: str = "file", ordered: bool = True
+) -> DataFrame:
+    """path, raw: every JSON object below ``root`` or its ``source`` folder, sorted by path unless that is not needed.
 
     A missing source folder falls back to the root. Anything that is not a JSON
     object is skipped. ``layout``: ``file`` for one object per file, ``lines``
@@ -25,7 +27,8 @@ def scan_records(spark: SparkSession, root: str, source: str | None = None, layo
         return spark.createDataFrame([], RAW_SCHEMA)
     glob = "*.json" if layout == "file" else "*"
     rows = text_files(spark, folder, glob, whole=layout == "file").withColumnRenamed("text", "raw")
-    return rows.where(F.json_object_keys("raw").isNotNull()).orderBy("path")
+    objects = rows.where(F.json_object_keys("raw").isNotNull())
+    return objects.orderBy("path") if ordered else objects
 
 
 def _values(fields: dict[str, str]) -> T.StructType:
@@ -59,7 +62,12 @@ def window_schema() -> str:
 
 
 def load_windows(records: DataFrame) -> DataFrame:
-    """Canonical windows of a record scan in (start, id) order; other kinds are skipped.
+    """Canonical windows of a record scan in (start, id) order."""
+    return parse_windows(records).orderBy("start_ms", "artifact_id")
+
+
+def parse_windows(records: DataFrame) -> DataFrame:
+    """Canonical windows of a record scan, in no order; other kinds are skipped.
 
     The start comes from the epoch fields, else from the ISO text; rows without
     one are dropped, an end not after the start becomes one cell, and a missing
@@ -84,7 +92,7 @@ def load_windows(records: DataFrame) -> DataFrame:
         for n in fields
         if n not in ("method", "derived_by_watch")
     ]
-    rows = timed.select(
+    return timed.select(
         F.coalesce("r.artifactId", F.lit("")).alias("artifact_id"),
         F.coalesce("r.deviceAlias", F.lit("")).alias("device"),
         index.alias("canonical_index"),
@@ -94,7 +102,6 @@ def load_windows(records: DataFrame) -> DataFrame:
         *[c.alias(f"cov_{m}") for m, c in coverage.items()],
         *values,
     )
-    return rows.orderBy("start_ms", "artifact_id")
 
 
 def import_visits(spark: SparkSession, path: str) -> DataFrame:
