@@ -270,8 +270,8 @@ def h18(spark, sf_dir):
 
 @register(
     "h19_note_of_file",
-    """SELECT note, min(file) AS first_file FROM (SELECT conv_id::VARCHAR AS note,
-       'boox.' || conv_id || '.p' || (turn + 1) || '-' || (1706000000000 + turn) || '.json' AS file FROM conversations) GROUP BY note""",
+    f"""SELECT note, min(file) AS first_file FROM (SELECT conv_id::VARCHAR AS note,
+       '{NOTE_ID_PREFIX}.' || conv_id || '.p' || (turn + 1) || '-' || (1706000000000 + turn) || '.json' AS file FROM conversations) GROUP BY note""",
 )
 def h19(spark, sf_dir):
     name = F.concat(
