@@ -36,6 +36,15 @@ def hash_share(column: Column) -> Column:
     return F.pmod(F.xxhash64(column, F.lit("share")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def one_per_id(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row (key, text) per key: the smallest text, null counting as empty."""
-    return df.groupBy(F.col(key)).agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias(text))
+def first_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per key where keys repeat: that with the smallest text. Rows without a key all stay.
+
+    Keys are counted first, so a table of unique keys passes without moving a text.
+    """
+    known = docs.where(F.col(key).isNotNull())
+    if not known.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return docs
+    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    best = known.groupBy(F.col(key).alias("k")).agg(F.min_by(rows, F.coalesce(F.col(text), F.lit(""))).alias("row"))
+    single = best.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return single.unionByName(docs.where(F.col(key).isNull()))

@@ -27,20 +27,17 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(spaced, F.lit("")), " "), "")
 
 
-def _runs(words: Column, length: Column | int) -> Column:
-    """Array of the hashes of all runs of ``length`` words; hash only, used to find, never to decide."""
-    if isinstance(length, int):
-        return F.transform(
-            F.array(words),
-            lambda w: F.when(
-                F.size(w) >= length,
-                F.transform(
-                    F.sequence(F.lit(1), F.size(w) - F.lit(length - 1)),
-                    lambda i: F.xxhash64(F.lit(length), *[F.element_at(w, i + F.lit(j)) for j in range(length)]),
-                ),
-            ).otherwise(F.array().cast("array<bigint>")),
-        )[0]
-    raise TypeError("length has to be a number")
+def _runs(words: Column, length: int) -> Column:
+    """Array of the hashes of all runs of ``length`` words; used to find, never to decide."""
+
+    def hashed(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - F.lit(length - 1))
+        run = F.transform(
+            starts, lambda i: F.xxhash64(F.lit(length), *[F.element_at(w, i + F.lit(j)) for j in range(length)])
+        )
+        return F.when(F.size(w) >= length, run).otherwise(F.array().cast("array<bigint>"))
+
+    return F.transform(F.array(words), hashed)[0]  # the words are bound once
 
 
 def windows_of(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -78,7 +75,29 @@ def contamination(
     rows with one key and different texts too. An empty table of items leaves
     every document clean. Other columns are not read.
     """
-    passages = stored(windows_of(items, item_key, item_text, window), "windows")
+    docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    found = _judged(docs, items.select(F.col(item_key).alias("item"), F.col(item_text).alias("it")), "k", "t", window, shingle)
+    return found.select(F.col("_row.k").alias(key), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    shingle: int = SHINGLE,
+) -> DataFrame:
+    """All columns of the documents in which no window of an item occurs."""
+    found = _judged(docs, items.select(F.col(item_key).alias("item"), F.col(item_text).alias("it")), key, text, window, shingle)
+    return found.where(~F.col("contaminated")).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
+def _judged(docs: DataFrame, items: DataFrame, key: str, text: str, window: int, shingle: int) -> DataFrame:
+    """``_row`` with all columns of a document and the figures of ``contamination``."""
+    passages = stored(windows_of(items, "item", "it", window), "windows")
     lengths = [r[0] for r in passages.select(F.least("length", F.lit(shingle)).alias("n")).distinct().collect()]  # at most `shingle` values
     empty = passages.where("false").select("item", "words", "length", F.lit(0).alias("offset"), F.lit(0).cast("bigint").alias("token"))
     tokens = empty
@@ -115,11 +134,12 @@ def contamination(
         .groupBy("k")
         .agg(F.collect_set("c").alias("cs"))
     )
-    joined = split.join(candidates.withColumnRenamed("k", "ck"), F.col("k").eqNullSafe(F.col("ck")), "left").select(
-        "k", words_of(F.col("t")).alias("w"), "cs"
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    joined = packed.join(candidates, F.col(f"_row.`{key}`").eqNullSafe(F.col("k")), "left").select(
+        "_row", words_of(F.col(f"_row.`{text}`")).alias("w"), "cs"
     )
     checked = joined.select(
-        "k",
+        "_row",
         F.size("w").cast("bigint").alias("n_words"),
         F.transform(
             F.array("w"),
@@ -144,12 +164,12 @@ def contamination(
     )
     names = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
     return checked.select(
-        F.col("k").alias(key),
+        "_row",
         "n_words",
         covered.alias("n_hit"),
         names.alias("item_ids"),
     ).select(
-        key,
+        "_row",
         "n_words",
         "n_hit",
         F.size("item_ids").cast("bigint").alias("n_items"),

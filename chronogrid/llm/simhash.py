@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronogrid.llm.common import stored
+from chronogrid.llm.common import first_rows, small_side, stored
 from chronogrid.llm.components import components
 
 MAX_BITS = 3
@@ -161,18 +161,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the smallest key of each group, all columns; of rows with one key the smallest text.
+    """All columns of the documents with the smallest key of each group.
 
-    Rows without a key that share a group with a keyed row go; a group of only
-    such rows keeps one of them.
+    Of rows with one key that with the smallest text counts. Rows without a key
+    cannot be named and stay.
     """
-    found = near_duplicates(docs, key, text)
-    keep = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_keep"), F.col("fingerprint"))
-    repeated = found.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
-    keep = keep.select("_keep").distinct()
-    kept = docs.join(keep, docs[key].eqNullSafe(keep["_keep"]), "left_semi")
-    if not repeated:
-        return kept
-    rows = F.struct(*[F.col(f"`{c}`") for c in [text, *[c for c in docs.columns if c != text]]])
-    first = kept.select(F.col(key).alias("_k"), rows.alias("_row")).groupBy("_k").agg(F.min("_row").alias("_row"))
-    return first.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    docs = first_rows(docs, key, text)
+    found = near_duplicates(docs.where(F.col(key).isNotNull()), key, text)
+    gone = stored(found.where(F.col(key) != F.col("component_id")).select(key), "gone")
+    return docs.join(small_side(gone, gone.count()), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
