@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronogrid.constants import PROXY_BAND_BINS, PROXY_METHOD, RESOLUTION_MS
 from chronogrid.functions.numbers import round_stable
 from chronogrid.functions.timefn import floor_index
-from chronogrid.operators.grid import expand_to_grid, last_index
-from chronogrid.operators.ordered import CHUNK, previous_in_chunks, range_chunks
+from chronogrid.operators.grid import expand_to_grid
 
 BIN_COLUMNS = ["start_ms", "end_ms", "bpm", "bpm_min", "bpm_max", "seq"]
 
@@ -31,11 +30,31 @@ def dedup_bins(bins: DataFrame) -> DataFrame:
 
 
 SERIES_ORDER = ["start_ms", "end_ms", "seq"]
+BLOCK_MINUTES = 60
 
 
-def spread_series(bins: DataFrame) -> DataFrame:
-    """Bins written once in device and time order, so that no device or minute sits on one task."""
-    return range_chunks(bins, ["device", *SERIES_ORDER])
+def previous_in_band(bins: DataFrame, band: int) -> DataFrame:
+    """device, _block, start_ms, bpm and ``prev`` (start_ms, bpm): the bin before, if it is at most ``band`` minutes older.
+
+    Time is cut into blocks; the last ``band`` minutes of a block also lead into
+    the next one, where they are looked back at and then dropped. A lag inside
+    (device, block) is all that is needed: one shuffle, no device on one task.
+    """
+    size = max(BLOCK_MINUTES, band)
+    minute = floor_index(F.col("start_ms"))
+    block = floor_index(F.col("start_ms"), size * RESOLUTION_MS)
+    own = F.struct(block.alias("_block"), F.lit(False).alias("_lead"))
+    ahead = F.struct((block + F.lit(1)).alias("_block"), F.lit(True).alias("_lead"))
+    leads = minute + F.lit(band) >= (block + F.lit(1)) * F.lit(size)
+    placed = bins.select(
+        "device", *SERIES_ORDER, "bpm", F.inline(F.when(leads, F.array(own, ahead)).otherwise(F.array(own)))
+    )
+    inside = Window.partitionBy("device", "_block").orderBy(*SERIES_ORDER)
+    linked = placed.select(
+        "device", "_block", "_lead", "start_ms", "bpm", F.lag(F.struct("start_ms", "bpm")).over(inside).alias("prev")
+    )
+    near = floor_index(F.col("prev.start_ms")) + F.lit(band) >= minute
+    return linked.where(~F.col("_lead")).withColumn("prev", F.when(near, F.col("prev"))).drop("_lead")
 
 
 def proxy_parts(bins: DataFrame, band: int = PROXY_BAND_BINS) -> DataFrame:
@@ -48,24 +67,20 @@ def proxy_parts(bins: DataFrame, band: int = PROXY_BAND_BINS) -> DataFrame:
     sums are collapsed per minute before they are spread over the band, which
     keeps a crowded minute as small as a quiet one.
     """
-    narrow = bins.select("device", *SERIES_ORDER, "bpm", *([CHUNK] if CHUNK in bins.columns else []))
-    chunked = narrow if CHUNK in bins.columns else spread_series(narrow)
-    series = previous_in_chunks(chunked, ["device"], SERIES_ORDER, ["start_ms", "bpm"])
+    series = previous_in_band(bins, band)
     minute = floor_index(F.col("start_ms"))
     on_edge = (F.pmod(F.col("start_ms"), F.lit(RESOLUTION_MS)) == 0).cast("bigint")
-    prev_minute = floor_index(F.col("prev.start_ms"))
     step = F.col("bpm") - F.col("prev.bpm")
-    near = prev_minute + F.lit(band) >= minute
     marked = series.select(
-        CHUNK,
         "device",
+        "_block",
         (minute - on_edge).alias("lo"),
         (minute + F.lit(band - 1)).alias("hi"),
-        F.when(near, prev_minute + F.lit(band - 1)).alias("pair_hi"),
-        F.when(near, step * step).alias("square"),
+        (floor_index(F.col("prev.start_ms")) + F.lit(band - 1)).alias("pair_hi"),
+        (step * step).alias("square"),
     )
-    # Chunk and device are how the rows lie already: this grouping moves nothing.
-    per_minute = marked.groupBy(CHUNK, "device", "lo", "hi", "pair_hi").agg(
+    # Device and block are how the rows lie already: this grouping moves nothing.
+    per_minute = marked.groupBy("device", "_block", "lo", "hi", "pair_hi").agg(
         F.count(F.lit(1)).alias("n"), F.sum("square").alias("square_sum")
     )
     spread = per_minute.withColumn("canonical_index", F.explode(F.sequence("lo", "hi")))
@@ -173,7 +188,6 @@ def align_windows(bins: DataFrame, hrv: DataFrame, stress: DataFrame, sleep: Dat
     The proxy counts only where a measured modality makes the window a
     candidate. ``bins`` must be de-duplicated.
     """
-    bins = spread_series(bins)
     window = ["device", "canonical_index"]
     first = F.min_by(F.struct("sdnn_ms", "rmssd_ms"), F.struct("source_file", "seq")).alias("first")
     hrv_windows = expand_to_grid(hrv).groupBy(*window).agg(first).select(*window, "first.sdnn_ms", "first.rmssd_ms")
@@ -248,8 +262,3 @@ def align_windows(bins: DataFrame, hrv: DataFrame, stress: DataFrame, sleep: Dat
 
 def produce_windows(bins: DataFrame, hrv: DataFrame, stress: DataFrame, sleep: DataFrame) -> DataFrame:
     return align_windows(dedup_bins(bins), hrv, stress, sleep)
-
-
-def overlapping_cells(df: DataFrame) -> Column:
-    """Number of cells a record touches, without expanding it."""
-    return last_index(F.col("start_ms"), F.col("end_ms")) - floor_index(F.col("start_ms")) + F.lit(1)
