@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from chronogrid.functions.predicates import normalize_source, text_or
 from chronogrid.operators.ordered import first_per_key, last_per_key
 
-UPSERT_KEYS = ["source", "artifact_id", "created_ms"]
+#: a window id says the minute only, so the device belongs to the key wherever rows have one
+UPSERT_KEYS = ["source", "device", "artifact_id", "created_ms"]
 
 
 def stamp_batch(batch: DataFrame, now_ms: int) -> DataFrame:
@@ -33,8 +34,8 @@ def keyed_upsert(
     One shuffle: target and batch are united and the newest row per key is kept
     by partial aggregation, so many copies of one key collapse in their own tasks.
     """
-    keys = keys or UPSERT_KEYS
     columns = target.columns
+    keys = [k for k in keys or UPSERT_KEYS if k != "device" or k in columns]
     old = target.withColumn("_generation", F.lit(0)).withColumn("_arrival", F.lit(0).cast("bigint"))
     new = incoming.withColumn("_generation", F.lit(1)).withColumn("_arrival", F.col(arrival).cast("bigint"))
     both = old.unionByName(new.select(*columns, "_generation", "_arrival"))

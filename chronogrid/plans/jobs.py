@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chronogrid.constants import DEFAULT_SPANS, MIN_COVERAGE, MODALITIES
@@ -15,7 +15,8 @@ from chronogrid.operators import journal, records, rollup, signals, state, views
 from chronogrid.sinks import tables
 from chronogrid.sources import exports
 from chronogrid.sources import records as record_source
-from chronogrid.sources.files import first_existing, hashed_files, relative_to
+from chronogrid.session import cut_lineage
+from chronogrid.sources.files import first_existing
 
 PRODUCER = "chronogrid"
 
@@ -32,61 +33,46 @@ MANIFEST_SCHEMA = (
 
 
 def read_export(spark: SparkSession, root: str, device: str, offset_mode: str = "reference") -> dict[str, DataFrame]:
-    """Typed rows of every modality in one export folder, plus the file table."""
-    files = exports.discover_export(spark, root)
+    """Typed rows of every modality in one export folder, plus the file table; each JSON file is read once.
+
+    All parts are persisted, since windows and manifest both read them; pass them to ``release``.
+    """
+    files = exports.scan_export(spark, root).persist()
     kinds = {r["kind"] for r in files.select("kind").distinct().collect()}  # at most seven names
     base = root.rstrip("/")
-
-    def folder(*names: str) -> list[str]:
-        known = {r["top"] for r in files.select(F.split(relative_to(root, F.col("path")), "/")[0].alias("top")).distinct().collect()}
-        return [f"{base}/{n.rstrip('/')}" for n in names if n.rstrip("/") in known]
-
-    def device_column(df: DataFrame) -> DataFrame:
-        return df.withColumn("device", F.lit(device))
-
-    empty = {
-        "bins": "device string, start_ms bigint, end_ms bigint, bpm double, bpm_min double, bpm_max double, source_file string, seq bigint",
-        "hrv": "device string, start_ms bigint, end_ms bigint, sdnn_ms double, rmssd_ms double, source_file string, seq bigint",
-        "stress": "device string, start_ms bigint, end_ms bigint, score double",
-        "sleep": "device string, start_ms bigint, end_ms bigint, stage_code bigint",
+    out = {
+        "bins": exports.parse_hr_bins(exports.items_of(files, "hr_json", exports.HR_FIELDS)),
+        "hrv": exports.parse_hrv_windows(exports.items_of(files, "hrv_json", exports.HRV_FIELDS)),
+        "stress": spark.createDataFrame([], "start_ms bigint, end_ms bigint, score double, source_file string"),
+        "sleep": spark.createDataFrame([], "start_ms bigint, end_ms bigint, stage_code bigint, source_file string"),
     }
-    out = {name: spark.createDataFrame([], schema) for name, schema in empty.items()}
-    if "hr_json" in kinds:
-        out["bins"] = device_column(exports.read_hr_bins(spark, folder(exports.HR_DIR, exports.HR_ALIAS_DIR)))
-    if "hrv_json" in kinds:
-        out["hrv"] = device_column(exports.read_hrv_windows(spark, folder(exports.HRV_DIR)))
     if "stress" in kinds:
-        out["stress"] = device_column(exports.stress_sheet(exports.sheet_lines(spark, f"{base}/{exports.STRESS_CSV}"), offset_mode))
+        out["stress"] = exports.stress_sheet(exports.sheet_lines(spark, f"{base}/{exports.STRESS_CSV}"), offset_mode)
     if "sleep_stage" in kinds:
-        out["sleep"] = device_column(
-            exports.sleep_stage_sheet(exports.sheet_lines(spark, f"{base}/{exports.SLEEP_STAGE_CSV}"), offset_mode)
-        )
-    out["files"] = files
-    return out
+        out["sleep"] = exports.sleep_stage_sheet(exports.sheet_lines(spark, f"{base}/{exports.SLEEP_STAGE_CSV}"), offset_mode)
+    out = {name: rows.withColumn("device", F.lit(device)).persist() for name, rows in out.items()}
+    return {**out, "files": files}
 
 
-def file_manifest(spark: SparkSession, root: str, export: str, parts: dict[str, DataFrame], now_ms: int) -> DataFrame:
+def release(parts: dict[str, DataFrame]) -> None:
+    for rows in parts.values():
+        rows.unpersist()
+
+
+def file_manifest(export: str, parts: dict[str, DataFrame], now_ms: int) -> DataFrame:
     """One row per discovered file: hash, records emitted, status and error."""
-    counted = None
-    for name in ("bins", "hrv", "stress", "sleep"):
-        rows = parts[name]
-        if "source_file" in rows.columns:
-            part = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("records"))
-            counted = part if counted is None else counted.unionByName(part)
-    hashed = hashed_files(spark, root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "sha256", "bytes")
-    files = parts["files"].select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "rel_path", "kind")
-    known = files.where("kind <> 'unknown'").join(hashed, "path").withColumn("export", F.lit(export))
-    if counted is not None:
-        counted = counted.select(F.regexp_replace("source_file", "^file:/+", "/").alias("path"), "records")
-        known = known.join(counted, "path", "left")
-    else:
-        known = known.withColumn("records", F.lit(0).cast("bigint"))
-    json_kinds = known.where("kind in ('hr_json', 'hrv_json')").select("path")
-    bad = exports.bad_json_files(spark, root).select(
-        F.regexp_replace("source_file", "^file:/+", "/").alias("path"), F.lit("not JSON").alias("error")
-    )
-    flagged = known.join(bad.join(json_kinds, "path", "left_semi"), "path", "left")
-    return state.manifest_rows(flagged, F.coalesce("records", F.lit(0)), F.col("error"), now_ms)
+
+    def plain(path: str) -> Column:
+        return F.regexp_replace(path, "^file:/+", "/").alias("path")
+
+    rows = parts["bins"].select(plain("source_file"))
+    for name in ("hrv", "stress", "sleep"):
+        rows = rows.union(parts[name].select(plain("source_file")))
+    counted = rows.groupBy("path").agg(F.count(F.lit(1)).alias("records"))
+    files = parts["files"].where("kind <> 'unknown'").select(plain("path"), "rel_path", "sha256", "bytes", "bad_json")
+    known = files.join(counted, "path", "left").withColumn("export", F.lit(export))
+    error = F.when(F.col("bad_json"), F.lit("not JSON"))
+    return state.manifest_rows(known, F.coalesce("records", F.lit(0)), error, now_ms)
 
 
 def produce(
@@ -98,22 +84,23 @@ def produce(
     export: str = "",
     manifest_path: str | None = None,
     max_windows: int = 0,
-    rows_per_file: int = 500,
+    rows_per_file: int = 0,
     offset_mode: str = "reference",
 ) -> DataFrame:
     """Export folder to window records in ``store``; returns one row of run counters.
 
-    With a manifest the run is skipped when no file is new or changed; the
-    stored windows of the earlier run stay in place.
+    Records are added by source, device, id and start: other exports and devices
+    in the store stay, a second run of one export replaces its own windows. With
+    a manifest the run is skipped when no file is new or changed.
     """
     export = export or export_root.rstrip("/").rsplit("/", 1)[-1]
     parts = read_export(spark, export_root, device, offset_mode)
-    manifest = file_manifest(spark, export_root, export, parts, now_ms)
+    manifest = cut_lineage(file_manifest(export, parts, now_ms))
     if manifest_path:
-        manifest = manifest.persist()
         stored = tables.read_table(spark, manifest_path, spark.createDataFrame([], MANIFEST_SCHEMA).schema)
         due = state.needs_processing(manifest, stored, ["export", "rel_path"])
         if not due.head(1):
+            release(parts)
             return manifest.agg(
                 F.count(F.lit(1)).alias("files"), F.lit(0).cast("bigint").alias("files_due"),
                 F.lit(0).cast("bigint").alias("windows_emitted"),
@@ -123,11 +110,13 @@ def produce(
     seen = Observation()
     counters = views.window_counter_columns(MODALITIES)
     rows = rollup.window_records(kept.observe(seen, *counters), PRODUCER, export=export)
-    tables.write_records(rows.withColumn("ingestStatus", F.lit("accepted")), store, "source", rows_per_file)
+    accepted = rows.withColumn("ingestStatus", F.lit("accepted")).withColumn("ingestedAtEpochMs", F.lit(now_ms).cast("bigint"))
+    tables.upsert_records(accepted, store, rows_per_file)
     if manifest_path:
         tables.upsert_table(
             spark, manifest_path, manifest.withColumn("arrival", F.col("processed_at_ms")), ["export", "rel_path"], ["export"]
         )
+    release(parts)
     totals = manifest.agg(
         F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") == "error").alias("files_error")
     )
@@ -158,7 +147,7 @@ def compact(
     spans = tuple(spans)
     schema = "windows_loaded bigint, rollups_built bigint, partial_rollups bigint, parquet_ok boolean"
     loaded = record_source.parse_windows(record_source.scan_records(spark, raw_root, source, layout, ordered=False))
-    windows = loaded.dropDuplicates(["device", "artifact_id", "start_ms"]).persist()
+    windows = record_source.newest_windows(loaded).persist()
     count = windows.count()
     if count == 0:
         return spark.createDataFrame([(0, 0, 0, False)], schema)
@@ -203,13 +192,13 @@ def nightly(
     try:
         produced = produce(spark, export_root, f"{work_dir}/raw", device, now_ms, manifest_path=manifest_path, offset_mode=offset_mode).first()
     except Exception as error:
-        return result(FAILED, "producer", detail=str(error)[:500])
+        return result(FAILED, "producer", detail=str(error))
     if produced["windows_emitted"] == 0:
         return result(NOTHING, "producer")
     try:
         stats = compact(spark, f"{work_dir}/raw", f"{work_dir}/rollup", f"{work_dir}/data", generated_at, spans).first()
     except Exception as error:
-        return result(COMPACTION_FAILED, "compaction", produced["windows_emitted"], detail=str(error)[:500])
+        return result(COMPACTION_FAILED, "compaction", produced["windows_emitted"], detail=str(error))
     return result(DONE, "done", produced["windows_emitted"], stats["rollups_built"])
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronogrid.operators.state import keyed_upsert
 from chronogrid.session import cut_lineage
-from chronogrid.sources.files import first_existing
+from chronogrid.sources.files import path_exists
 
 
 def write_flat(df: DataFrame, path: str, label: str, generated_at: str, producer: str = "chronogrid") -> None:
@@ -23,24 +22,86 @@ def read_notes(spark: SparkSession, path: str) -> dict[str, str]:
     return dict(spark.read.parquet(path).schema.fields[0].metadata)
 
 
+def _record_lines(records: DataFrame) -> Column:
+    texts = {n for n, t in records.dtypes if n in ("payload", "provenanceMetadataJson") and t == "string"}
+    return F.to_json(F.struct(*[F.try_parse_json(c).alias(c) if c in texts else F.col(c) for c in records.columns]))
+
+
 def write_records(records: DataFrame, path: str, partition: str, rows_per_file: int = 0) -> None:
-    """9-key records as JSON lines in one folder per ``partition`` value.
+    """9-key records as JSON lines in one folder per ``partition`` value; replaces what is there.
 
     Payload and provenance may be structs, which is cheaper, or JSON text, which becomes an object.
     """
-    texts = {n for n, t in records.dtypes if n in ("payload", "provenanceMetadataJson") and t == "string"}
-    line = F.to_json(
-        F.struct(*[F.try_parse_json(c).alias(c) if c in texts else F.col(c) for c in records.columns])
-    ).alias("value")
-    writer = records.select(line, F.col(partition).alias(f"by_{partition}")).write.mode("overwrite")
+    writer = records.select(_record_lines(records).alias("value"), F.col(partition).alias(f"by_{partition}"))
+    writer = writer.write.mode("overwrite")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.partitionBy(f"by_{partition}").text(path)
 
 
+STORE_PARTITIONS = ["by_source", "by_device", "by_day"]
+DAY_MS = 86_400_000
+
+
+def upsert_records(records: DataFrame, path: str, rows_per_file: int = 0) -> None:
+    """Add 9-key records to a store by key: a record replaces that of its source, device, id and creation time.
+
+    The store lies by source, device and UTC day, so a run rewrites only the
+    days it has records for, and other devices and exports stay as they are.
+    """
+    spark = records.sparkSession
+    lines = records.select(
+        _record_lines(records).alias("value"),
+        F.col("source").alias("by_source"),
+        F.coalesce(F.nullif(F.col("deviceAlias"), F.lit("")), F.lit("unknown")).alias("by_device"),
+        F.floor(F.col("createdAtEpochMs") / F.lit(DAY_MS)).cast("bigint").alias("by_day"),
+        F.col("artifactId").alias("_id"),
+        F.col("createdAtEpochMs").alias("_created"),
+    )
+    lines = cut_lineage(lines)
+    if path_exists(spark, path):
+        schema = "value string, by_source string, by_device string, by_day bigint"
+        old = only_touched(spark.read.schema(schema).text(path), lines, STORE_PARTITIONS)
+        key = F.from_json("value", "artifactId string, createdAtEpochMs bigint")
+        old = old.select("value", *STORE_PARTITIONS, key.alias("_key"))
+        old = old.select("value", *STORE_PARTITIONS, F.col("_key.artifactId").alias("_id"), F.col("_key.createdAtEpochMs").alias("_created"))
+        lines = cut_lineage(keyed_upsert(old, lines.withColumn("arrival", F.lit(0)), [*STORE_PARTITIONS, "_id", "_created"]))
+    writer = lines.select("value", *STORE_PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    if rows_per_file:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
+    writer.partitionBy(*STORE_PARTITIONS).text(path)
+
+
+MAX_NAMED = 2_000
+
+
+def only_touched(stored: DataFrame, batch: DataFrame, partitions: list[str]) -> DataFrame:
+    """Rows of the partitions that occur in ``batch``.
+
+    Up to MAX_NAMED partitions are named in the filter, so that the scan opens
+    only their folders; a wider batch touches much of the table anyway and is
+    matched by a join.
+    """
+    touched = batch.select(*partitions).distinct()
+    named = touched.limit(MAX_NAMED + 1).collect()
+    if len(named) > MAX_NAMED:
+        return stored.join(touched, [stored[p].eqNullSafe(touched[p]) for p in partitions], "left_semi")
+    wanted = F.lit(True)
+    for place, p in enumerate(partitions):
+        values = {r[place] for r in named}
+        known = [v for v in values if v is not None]
+        hit = F.col(p).isin(known) if known else F.lit(False)
+        wanted = wanted & (hit | F.col(p).isNull() if None in values else hit)
+    pruned = stored.where(wanted)
+    if len(partitions) == 1:
+        return pruned
+    exact = F.broadcast(touched)  # at most MAX_NAMED rows
+    return pruned.join(exact, [pruned[p].eqNullSafe(exact[p]) for p in partitions], "left_semi")
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Stored rows, or none when nothing was written yet."""
-    if first_existing(spark, path) is None:
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
@@ -50,24 +111,16 @@ def upsert_table(
 ) -> None:
     """Last write per key into a partitioned Parquet folder.
 
-    Only the partitions named by the batch are read and rewritten. The merged
-    rows are checkpointed before the overwrite, since they come from the very
-    folder that is replaced. Repeating a batch gives the same table.
+    Only the partitions named by the batch are read and rewritten. Batch and
+    merged rows are checkpointed: the first because it is read twice, the second
+    because it comes from the very folder that is replaced. Repeating a batch
+    gives the same table.
     """
     columns = [c for c in incoming.columns if c != arrival]
-    schema = incoming.select(*columns).schema
-    touched = incoming.select(*partitions).distinct()
-    stored = read_table(spark, path, schema).join(touched, partitions, "left_semi").select(*columns)
-    merged = cut_lineage(keyed_upsert(stored, incoming, keys, arrival))
+    batch = cut_lineage(incoming)
+    stored = only_touched(read_table(spark, path, batch.select(*columns).schema), batch, partitions).select(*columns)
+    merged = cut_lineage(keyed_upsert(stored, batch, keys, arrival))
     (
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions).parquet(path)
     )
-
-
-def table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(0).collect()
-        return True
-    except AnalysisException:
-        return False

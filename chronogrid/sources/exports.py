@@ -13,7 +13,7 @@ from chronogrid.sources.files import file_path, list_files, relative_to
 
 def canonical_path(rel_path: Column) -> Column:
     """The alias folder maps onto the canonical heart-rate folder."""
-    tail = F.substring(rel_path, len(HR_ALIAS_DIR) + 1, 100_000)
+    tail = F.substring(rel_path, F.lit(len(HR_ALIAS_DIR) + 1), F.length(rel_path))
     return F.when(rel_path.startswith(HR_ALIAS_DIR), F.concat(F.lit(HR_DIR), tail)).otherwise(rel_path)
 
 
@@ -49,6 +49,31 @@ def discover_export(spark: SparkSession, root: str) -> DataFrame:
     return discover(files)
 
 
+def scan_export(spark: SparkSession, root: str) -> DataFrame:
+    """path, rel_path, kind, sha256, bytes, bad_json, items of every file below ``root``, from one read of each file.
+
+    ``items`` holds the elements of a JSON array as text; sheets are only hashed here, their lines are read apart.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rel_path = canonical_path(relative_to(root, F.col("path")))
+    named = files.select("path", "content", F.col("length").alias("bytes"), rel_path.alias("rel_path"))
+    typed = named.withColumn("kind", route(F.col("rel_path")))
+    text = F.when(F.col("kind").isin("hr_json", "hrv_json"), F.col("content").cast("string"))
+    return typed.select(
+        "path", "rel_path", "kind", F.sha2("content", 256).alias("sha256"), "bytes", text.alias("text")
+    ).select(
+        "path", "rel_path", "kind", "sha256", "bytes",
+        (F.col("text").isNotNull() & F.try_parse_json("text").isNull()).alias("bad_json"),
+        _items(F.col("text")).alias("items"),
+    )
+
+
+def items_of(scanned: DataFrame, kind: str, fields: list[str]) -> DataFrame:
+    """Objects of the scanned arrays of one kind, all fields as text, with file and position."""
+    rows = scanned.where(F.col("kind") == kind).select(F.col("path").alias("source_file"), "items")
+    return _fields(rows.select("source_file", F.posexplode("items").alias("seq", "item")), fields)
+
+
 def newest_export(dirs: DataFrame) -> DataFrame:
     """Greatest ``<user>_<14 digits>`` name, else the newest folder. ``dirs``: dir, modified_ms."""
     stamped = F.regexp_extract("dir", r"_(\d{14})$", 1) != ""
@@ -66,9 +91,16 @@ def _json_array(spark: SparkSession, paths: str | list[str], fields: list[str])
     rows; an export is cut into many small files, so a file fits in one value.
     """
     files = spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True)
-    is_array = F.ltrim(F.regexp_replace("value", "^\ufeff", "")).startswith("[")
-    items = F.from_json(F.when(is_array, F.col("value")), "array<string>")
-    rows = files.select(file_path().alias("source_file"), F.posexplode(items).alias("seq", "item"))
+    rows = files.select(file_path().alias("source_file"), F.posexplode(_items(F.col("value"))).alias("seq", "item"))
+    return _fields(rows, fields)
+
+
+def _items(text: Column) -> Column:
+    is_array = F.ltrim(F.regexp_replace(text, "^\ufeff", "")).startswith("[")
+    return F.from_json(F.when(is_array, text), "array<string>")
+
+
+def _fields(rows: DataFrame, fields: list[str]) -> DataFrame:
     schema = ", ".join(f"{f} string" for f in fields)
     parsed = rows.select("source_file", F.col("seq").cast("bigint").alias("seq"), F.from_json("item", schema).alias("r"))
     return parsed.select(*[F.col(f"r.{f}").alias(f) for f in fields], "source_file", "seq")
@@ -119,14 +151,16 @@ def bad_json_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 # --- banner sheets ---------------------------------------------------------------
 
-# Fixed pattern: commas outside double quotes.
-_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# A cell with its comma in front: quoted text with doubled quotes, or anything up to the next comma. Possessive, so linear.
+_CELL = r',("(?:[^"]++|"")*+"[^,]*+|[^,]*+)'
+# A record with its line break in front; breaks inside quotes belong to it.
+_RECORD = r'\n((?:[^"\n]++|"(?:[^"]++|"")*+"?)*+)'
 
 
 def _cells(line: Column) -> Column:
-    """Cells of one line; quoted cells lose their quotes."""
+    """Cells of one record; quoted cells lose their quotes."""
     return F.transform(
-        F.split(line, _COMMA),
+        F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1)),
         lambda c: F.when(
             c.startswith('"') & c.endswith('"') & (F.length(c) > 1),
             F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),
@@ -217,10 +251,23 @@ def sleep_stage_sheet(lines: DataFrame, offset_mode: str = "reference") -> DataF
 
 
 def sheet_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, line, order: large files are split, ``order`` follows the position in the file."""
-    rows = spark.read.text(paths)
-    position = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    return rows.select(file_path().alias("path"), F.col("value").alias("line"), position.alias("order"))
+    """path, line, order: one row per record of a sheet; ``order`` follows the position in the file.
+
+    Lines of large files are split over tasks. Only a file in which some line
+    has an odd number of quotes, so that a cell may hold a line break, is read
+    as a whole and cut into records.
+    """
+    position = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(paths).select(file_path().alias("path"), F.col("value").alias("line"), position.alias("order"))
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    torn = [r["path"] for r in lines.where(quotes % 2 == 1).select("path").distinct().collect()]  # sheets, not rows
+    if not torn:
+        return lines
+    whole = spark.read.text(torn, wholetext=True).select(file_path().alias("path"), F.col("value").alias("text"))
+    plain = F.concat(F.lit("\n"), F.regexp_replace("text", "\r\n?", "\n"))
+    cut = whole.select("path", F.posexplode(F.regexp_extract_all(plain, F.lit(_RECORD), F.lit(1))).alias("at", "line"))
+    order = F.struct(F.lit(0).cast("bigint").alias("block"), F.col("at").cast("bigint").alias("at"))
+    return lines.where(~F.col("path").isin(torn)).unionByName(cut.select("path", "line", order.alias("order")))
 
 
 # --- page images -------------------------------------------------------------------

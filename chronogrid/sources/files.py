@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,13 +38,12 @@ def hashed_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     )
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Ask the file system for one path; nothing is listed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def first_existing(spark: SparkSession, *roots: str) -> str | None:
-    """First folder that can be read."""
-    for root in roots:
-        try:
-            spark.read.option("recursiveFileLookup", True).text(root).limit(0).collect()
-            return root
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-    return None
+    """First path that exists."""
+    return next((root for root in roots if path_exists(spark, root)), None)

@@ -54,7 +54,7 @@ def window_schema() -> str:
         f"{m}:struct<{','.join(f'{n}:{t}' for n, t in fields.items())}>" for m, fields in PAYLOADS.items()
     )
     return (
-        "artifactId string, deviceAlias string, payload struct<kind:string,"
+        "artifactId string, deviceAlias string, ingestedAtEpochMs bigint, payload struct<kind:string,"
         f"window:{_WINDOW},modalities_present:map<string,boolean>,"
         f"payload:struct<modalities:struct<{payloads}>>,"
         "missingness_metadata:struct<modality_coverage:map<string,double>>>"
@@ -95,6 +95,7 @@ def parse_windows(records: DataFrame) -> DataFrame:
     return timed.select(
         F.coalesce("r.artifactId", F.lit("")).alias("artifact_id"),
         F.coalesce("r.deviceAlias", F.lit("")).alias("device"),
+        F.coalesce("r.ingestedAtEpochMs", F.lit(0)).alias("ingested_ms"),
         index.alias("canonical_index"),
         "start_ms",
         F.when(F.col("_end") <= F.col("start_ms"), F.col("start_ms") + F.lit(RESOLUTION_MS)).otherwise(F.col("_end")).alias("end_ms"),
@@ -104,6 +105,14 @@ def parse_windows(records: DataFrame) -> DataFrame:
     )
 
 
+def newest_windows(windows: DataFrame) -> DataFrame:
+    """One version per device, id and start: the last taken in, on a tie the greater row."""
+    keys = ["device", "artifact_id", "start_ms"]
+    rest = [c for c in windows.columns if c not in keys]
+    newest = windows.groupBy(*keys).agg(F.max(F.struct("ingested_ms", *[c for c in rest if c != "ingested_ms"])).alias("_row"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in windows.columns])
+
+
 def import_visits(spark: SparkSession, path: str) -> DataFrame:
     """raw: browser visits from ``.json`` (object or array) or ``.jsonl`` (blank lines skipped)."""
     if path.lower().endswith(".jsonl"):

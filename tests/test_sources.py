@@ -140,3 +140,56 @@ def test_listing_reads_no_content(spark, tmp_path):
     put(tmp_path, "a.bin", b"12345")
     (r,) = list_files(spark, str(tmp_path)).collect()
     assert r["bytes"] == 5
+
+
+def test_sheet_with_quoted_break_quote_and_comma(spark, tmp_path):
+    body = (
+        '2022-01-24 15:25:00.000,2022-01-24 15:26:00.000,UTC+0000,5,"u,1 ""x""\nsecond line"\n'
+        "2022-01-24 16:25:00.000,2022-01-24 16:26:00.000,UTC+0000,6,u2\r\n"
+        '"2022-01-24 17:25:00.000",,,"7",\n'
+    )
+    path = put(tmp_path, "stress.csv", SHEET + body)
+    rows = exports.stress_sheet(exports.sheet_lines(spark, path)).orderBy("start_ms").collect()
+    assert [(r["score"], r["data_uuid"]) for r in rows] == [(5.0, 'u,1 "x"\nsecond line'), (6.0, "u2"), (7.0, "")]
+    header, cells = exports.sheet_rows(exports.sheet_lines(spark, path)).select("header", "cells").orderBy("order").collect()[2]
+    assert len(cells) == len(header) and cells[1] == cells[2] == cells[4] == ""
+
+
+def test_two_devices_and_exports_in_one_store(spark, tmp_path):
+    def bins(first, n):
+        return [{"heart_rate": 60 + i, "start_time": first + 60000 * i, "end_time": first + 60000 * i + 59000} for i in range(n)]
+
+    store, manifest = str(tmp_path / "raw"), str(tmp_path / "manifest")
+    first = tmp_path / "u_20240101000000"
+    put(first, "com.samsung.shealth.tracker.heart_rate/1.json", json.dumps(bins(1787709540000, 5)))
+    second = tmp_path / "u_20240102000000"
+    put(second, "com.samsung.shealth.tracker.heart_rate/1.json", json.dumps(bins(1787709540000 + 86_400_000, 4)))
+    jobs.produce(spark, str(first), store, "watch", 1, manifest_path=manifest).collect()
+    jobs.produce(spark, str(second), store, "watch", 2, manifest_path=manifest).collect()
+    jobs.produce(spark, str(first), store, "ring", 3).collect()
+    jobs.produce(spark, str(first), store, "watch", 4).collect()  # again: replaces its own windows
+    rows = records.load_windows(records.scan_records(spark, store, layout="lines")).collect()
+    keys = [(r["device"], r["start_ms"]) for r in rows]
+    assert len(keys) == len(set(keys))
+    per_device = {d: sum(1 for k in keys if k[0] == d) for d in ("watch", "ring")}
+    one = jobs.produce(spark, str(second), str(tmp_path / "other"), "watch", 5).first()["windows_emitted"]
+    alone = jobs.produce(spark, str(first), str(tmp_path / "third"), "watch", 6).first()["windows_emitted"]
+    assert per_device == {"watch": alone + one, "ring": alone}
+    assert {r["ingested_ms"] for r in rows if r["device"] == "ring"} == {3}
+    skipped = jobs.produce(spark, str(second), store, "watch", 7, manifest_path=manifest).first()
+    assert skipped["windows_emitted"] == 0 and len(rows) == records.scan_records(spark, store, layout="lines").count()
+
+
+def test_upsert_reads_only_the_partitions_of_a_batch(spark, tmp_path):
+    from chronogrid.sinks import tables
+
+    path = str(tmp_path / "t")
+    first = spark.createDataFrame([(i, i % 5, "old", 1) for i in range(50)], "id int, p int, v string, arrival bigint")
+    tables.upsert_table(spark, path, first, ["id"], ["p"])
+    batch = spark.createDataFrame([(3, 3, "new", 2)], "id int, p int, v string, arrival bigint")
+    kept = tables.only_touched(tables.read_table(spark, path, first.drop("arrival").schema), batch, ["p"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "3" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert kept.count() == 10
+    tables.upsert_table(spark, path, batch, ["id"], ["p"])
+    assert spark.read.parquet(path).where("v = 'new'").count() == 1 and spark.read.parquet(path).count() == 50
