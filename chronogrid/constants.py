@@ -40,10 +40,6 @@ LEGACY_KEYS = {
     "artifactId": "artifact_id",
     "createdAtEpochMs": "created_at",
     "schemaVersion": "schema_version",
-    "deviceAlias": "device_alias",
-    "provenanceMetadataJson": "provenance_metadata",
-    "ingestedAtEpochMs": "ingested_at",
-    "ingestStatus": "ingest_status",
 }
 
 # --- Fixed values: export layout --------------------------------------------

@@ -38,7 +38,7 @@ SHAPE_TYPE = T.StructType(
 
 
 def _measure(value) -> tuple[int, int]:
-    """Nesting depth and the number of text or number leaves, without recursion limits."""
+    """Nesting depth and the number of text or number leaves; the parser before it limits the depth."""
     deepest, leaves, todo = 1, 0, [(value, 1)]
     while todo:
         node, level = todo.pop()
@@ -72,3 +72,9 @@ def display_summary(payload: Column, dropped: tuple[str, ...] = ("payload", "pag
     pairs = F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))
     is_object = F.json_object_keys(payload).isNotNull()
     return F.when(is_object, F.array_join(F.array_distinct(pairs), " | ")).otherwise(F.left(payload, F.lit(140)))
+
+
+def record_summary(created_ms: Column, source: Column, payload: Column) -> Column:
+    """Time, source and payload pairs of a record in one line."""
+    time = F.date_format(F.timestamp_millis(created_ms), "yyyy-MM-dd HH:mm:ss")
+    return F.concat_ws(" | ", time, F.concat(F.lit("source="), source), display_summary(payload))

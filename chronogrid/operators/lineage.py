@@ -24,7 +24,3 @@ def edges(
         F.lit(module).alias("module"),
         F.col(created).alias("created_ms"),
     )
-
-
-def edges_of(lineage: DataFrame, child_id: str) -> DataFrame:
-    return lineage.where(F.col("child_id") == child_id)

@@ -69,15 +69,79 @@ def _unwrapped(raw: Column) -> Column:
     return F.when(F.json_object_keys(inner).isNotNull(), inner).otherwise(raw)
 
 
+# Fields of a canonical visit with their JSON type; True marks a required one.
+VISIT_FIELDS = {
+    "schema_version": ("string", True),
+    "event_type": ("string", True),
+    "source_app": ("string", True),
+    "app_id": ("string", False),
+    "device_id": ("string", False),
+    "visit_id": ("string", True),
+    "canonical_host": ("string", True),
+    "page_title": ("string or null", False),
+    "visit_start_ms": ("integer", True),
+    "visit_end_ms": ("integer", True),
+    "dwell_ms": ("integer", True),
+    "category": ("string", False),
+    "input_context": ("object", False),
+    "input_context.type": ("string or null", False),
+    "input_context.focused": ("boolean", False),
+    "input_context.submitted": ("boolean", False),
+    "provenance": ("object", True),
+    "provenance.collected_by": ("string", True),
+    "provenance.collection_version": ("string", True),
+    "provenance.collection_mode": ("string", True),
+    "provenance.recorded_at_ms": ("integer", True),
+    "raw_content_blocked": ("boolean", True),
+}
+CONTEXT_FIELDS = ("type", "focused", "submitted")
+
+
+def _kind_of(value: Column) -> Column:
+    """JSON type of a variant: string, integer, number, boolean, object, array or null."""
+    name = F.schema_of_variant(value)
+    whole = (F.try_variant_get(value, "$", "double") % 1 == 0) & ~name.startswith("OBJECT") & ~name.startswith("ARRAY")
+    return (
+        F.when(name == "VOID", "null").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean")
+        .when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array")
+        .when((name == "BIGINT") | F.coalesce(whole, F.lit(False)), "integer").otherwise("number")
+    )
+
+
+def visit_faults(body: Column) -> Column:
+    """One text per fault of a canonical visit, in the order of the fields; empty for a valid one."""
+    record = F.try_parse_json(body)
+    faults = [
+        F.when(
+            F.coalesce(F.try_variant_get(record, "$.event_type", "string") != "browser_visit", F.lit(False)),
+            F.lit("event_type is not browser_visit"),
+        )
+    ]
+    for field, (kind, required) in VISIT_FIELDS.items():
+        value = F.try_variant_get(record, f"$.{field}", "variant")
+        outer, dot, _ = field.partition(".")
+        inside = _kind_of(F.try_variant_get(record, f"$.{outer}", "variant")) == "object" if dot else F.lit(True)
+        fits = _kind_of(value).isin(*kind.split(" or "))
+        wrong = F.lit(f"{field} is no {kind}")
+        missing = F.lit(f"{field} is missing") if required else F.lit(None).cast("string")
+        faults.append(F.when(inside & value.isNull(), missing).when(inside & ~fits, wrong))
+    context = F.json_object_keys(_top(body, "input_context"))
+    strange = F.array_except(context, F.array(*[F.lit(k) for k in CONTEXT_FIELDS]))
+    more = F.transform(F.coalesce(strange, F.array().cast("array<string>")), lambda k: F.concat(F.lit("input_context."), k, F.lit(" is not known")))
+    return F.concat(F.array_compact(F.array(*faults)), more)
+
+
 def validate_visits(df: DataFrame, raw: str) -> DataFrame:
-    """Add ``errors``: empty for a canonical visit or a known mobile shape."""
+    """Add ``errors``: empty for a canonical visit or a known mobile shape, else one text per fault."""
     body = _unwrapped(F.col(raw))
-    canonical = (_top(body, "event_type") == "browser_visit") & (F.length(_top(body, "visit_id")) > 0)
     keys = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
     mobile = F.arrays_overlap(keys, F.array(*[F.lit(k) for k in MOBILE_VISIT_KEYS]))
-    known = F.coalesce(canonical, F.lit(False)) | F.coalesce(mobile, F.lit(False))
-    reason = F.when(~known, F.lit("record matches neither the visit nor the mobile collector shape"))
-    return df.withColumn("errors", F.array_compact(F.array(reason)))
+    looks_canonical = F.array_contains(keys, "visit_id")
+    known_mobile = F.coalesce(mobile, F.lit(False)) & ~looks_canonical
+    none = F.array().cast("array<string>")
+    not_json = F.array(F.lit("the record is no JSON object"))
+    errors = F.when(F.json_object_keys(body).isNull(), not_json).when(known_mobile, none).otherwise(visit_faults(body))
+    return df.withColumn("errors", errors)
 
 
 def _filled(value: Column) -> Column:

@@ -233,7 +233,10 @@ def _placed(rows: DataFrame, section: str, order: list[Column], n: int) -> DataF
 
 
 def health_rows(summaries: DataFrame, waiting: DataFrame, checkpoints: DataFrame, reports: DataFrame) -> DataFrame:
-    """Health facts in long form. Every input has ``name`` and ``at_ms``; reports are named by id."""
+    """Health facts in long form. Every input has ``name`` and ``at_ms``; reports are named by id.
+
+    Further columns of ``reports`` are metrics: those of the latest report follow as ``metric=value``.
+    """
     counts = summaries.agg(F.count(F.lit(1)).alias("at_ms")).select(
         F.lit("snapshot_count").alias("section"), F.lit(1).cast("bigint").alias("place"), F.lit(None).cast("string").alias("name"), "at_ms"
     )
@@ -241,6 +244,19 @@ def health_rows(summaries: DataFrame, waiting: DataFrame, checkpoints: DataFrame
         F.lit("pending_count").alias("section"), F.lit(1).cast("bigint").alias("place"), F.lit(None).cast("string").alias("name"), "at_ms"
     )
     name, at = F.col("name"), F.col("at_ms")
+    metrics = [c for c in reports.columns if c not in ("name", "at_ms")]
+    rows = _health_lists(summaries, waiting, checkpoints, reports, counts, waiting_count, name, at)
+    if not metrics:
+        return rows
+    latest = reports.agg(F.max_by(F.struct("at_ms", *metrics), F.struct("at_ms", "name")).alias("r")).where("r is not null")
+    texts = F.array(*[F.concat(F.lit(f"{m}="), F.coalesce(F.col(f"r.{m}").cast("string"), F.lit("null"))) for m in metrics])
+    facts = latest.select(F.col("r.at_ms").alias("at_ms"), F.posexplode(texts).alias("at", "name"))
+    return rows.unionByName(
+        facts.select(F.lit("report_metric").alias("section"), (F.col("at") + 1).cast("bigint").alias("place"), "name", "at_ms")
+    )
+
+
+def _health_lists(summaries, waiting, checkpoints, reports, counts, waiting_count, name, at) -> DataFrame:
     return (
         counts.unionByName(waiting_count)
         .unionByName(newest_rows(summaries, "last_publish", name, at, 1))
@@ -250,8 +266,11 @@ def health_rows(summaries: DataFrame, waiting: DataFrame, checkpoints: DataFrame
     )
 
 
-def summary_snapshot(files: DataFrame, first: int = 20) -> DataFrame:
-    """Count, bytes, newest time and the first paths, in long form. ``files``: path, bytes, modified_ms."""
+def summary_snapshot(files: DataFrame, summaries: DataFrame | None = None, first: int = 20, allowed: int = 50) -> DataFrame:
+    """Count, bytes, newest time and the first paths, in long form; of ``summaries`` the first ``allowed`` paths too.
+
+    ``files``: path, bytes, modified_ms; ``summaries``: path.
+    """
     totals = files.agg(
         F.count(F.lit(1)).alias("file_count"), F.sum("bytes").alias("total_bytes"), F.max("modified_ms").alias("newest_ms")
     )
@@ -266,7 +285,10 @@ def summary_snapshot(files: DataFrame, first: int = 20) -> DataFrame:
             )
         ).alias("r")
     ).select("r.*")
-    return facts.unionByName(first_names(files, "path", F.col("path"), first))
+    listed = facts.unionByName(first_names(files, "path", F.col("path"), first))
+    if summaries is None:
+        return listed
+    return listed.unionByName(first_names(summaries, "allowed_summary", F.col("path"), allowed))
 
 
 def temporal_split(rows: DataFrame, min_train: int = 2) -> DataFrame:

@@ -208,7 +208,6 @@ def k04(spark, sf_dir):
     return rows.select("doc_id", F.col("s.depth").alias("depth"), F.col("s.scalars").alias("scalars"))
 
 
-_SRC = "lower(trim(source))"
 
 
 def _norm_sql(column: str) -> str:
@@ -296,13 +295,15 @@ def h20(spark, sf_dir):
 
 @register(
     "h21_display_summary",
-    "SELECT event_id, 'k=' || json_extract_string(props, '$.k') AS summary, left(event_type, 140) AS plain FROM events",
+    f"""SELECT event_id, t || ' | source=' || event_type || ' | k=' || json_extract_string(props, '$.k') AS summary,
+        t || ' | source=view | ' || left(event_type, 140) AS plain
+        FROM (SELECT *, strftime(make_timestamp({EV} * 1000), '%Y-%m-%d %H:%M:%S') AS t FROM events)""",
 )
 def h21(spark, sf_dir):
-    return b.table(spark, sf_dir, "events").select(
+    return events(spark, sf_dir).select(
         "event_id",
-        jsontext.display_summary(F.col("props")).alias("summary"),
-        jsontext.display_summary(F.col("event_type")).alias("plain"),
+        jsontext.record_summary(F.col("ms"), F.col("event_type"), F.col("props")).alias("summary"),
+        jsontext.record_summary(F.col("ms"), F.lit("view"), F.col("event_type")).alias("plain"),
     )
 
 
@@ -544,53 +545,76 @@ def b20(spark, sf_dir):
 @register(
     "b04_record_normalisation",
     f"""SELECT event_id, event_id::VARCHAR AS artifact_id, {EV} AS created_at_ms, {EV} AS ingested_at_ms, '1.0' AS schema_version,
-        'unknown' AS device_alias, 'accepted' AS ingest_status, event_type AS extra_type,
+        'unknown' AS device_alias, 'accepted' AS ingest_status, event_type AS extra_type, 'ring' AS extra_alias,
         json_extract(props, '$.k')::VARCHAR AS prov_k FROM events""",
 )
 def b04(spark, sf_dir):
-    """Legacy-named records built from the events, read back through the normaliser."""
+    """Legacy-named records built from the events, read back through the normaliser; names that only look legacy are extras."""
     raw = F.to_json(
         F.struct(
             F.col("event_id").cast("string").alias("artifact_id"),
             F.col("event_type").alias("note"),
             F.lit("mobile").alias("source"),
             timefn.iso_ms(F.col("ms")).alias("created_at"),
-            F.col("props").alias("provenance_metadata"),
+            F.lit("ring").alias("device_alias"),
+            F.col("props").alias("provenanceMetadataJson"),
         )
     )
     rows = records.normalize_records(events(spark, sf_dir).select("event_id", raw.alias("raw")), "raw", ["event_id"])
     return rows.select(
         "event_id", "artifact_id", "created_at_ms", "ingested_at_ms", "schema_version", "device_alias", "ingest_status",
         F.col("extras")["note"].alias("extra_type"),
+        F.col("extras")["device_alias"].alias("extra_alias"),
         F.get_json_object("provenance", "$.k").alias("prov_k"),
     )
 
 
 @register(
     "b08_visit_validation",
-    """SELECT page_id, split_part(url, '/', 3) AS host, CASE WHEN starts_with(url, 'https') THEN 'ok' ELSE 'unknown_shape' END AS status FROM pages""",
+    """SELECT page_id, split_part(url, '/', 3) AS host, CASE WHEN starts_with(url, 'https') THEN
+           concat_ws(';', CASE WHEN page_id % 5 = 1 THEN 'canonical_host is missing' END, CASE WHEN page_id % 3 = 1 THEN 'dwell_ms is no integer' END,
+             CASE WHEN page_id % 4 = 2 THEN 'provenance.collected_by is missing' END)
+         ELSE 'event_type is not browser_visit;' || (SELECT string_agg(f || ' is missing', ';') FROM (VALUES ('schema_version'), ('source_app'),
+           ('visit_id'), ('canonical_host'), ('visit_start_ms'), ('visit_end_ms'), ('dwell_ms'), ('provenance'), ('raw_content_blocked')) t(f)) END AS errors
+       FROM pages""",
 )
 def b08(spark, sf_dir):
-    """Secure pages are canonical visits; the others lack every known key."""
-    rows = visit_rows(spark, sf_dir)
-    checked = records.validate_visits(rows, "raw")
-    status = F.when(F.size("errors") == 0, F.lit("ok")).otherwise(F.lit("unknown_shape"))
-    return checked.select("page_id", "host", status.alias("status"))
+    """Secure pages are visits, some with a fault in one field or another; the other pages lack nearly every field."""
+    checked = records.validate_visits(visit_rows(spark, sf_dir, faulty=True), "raw")
+    return checked.select("page_id", "host", F.array_join("errors", ";").alias("errors"))
 
 
-def visit_rows(spark, sf_dir):
-    url = F.col("url")
+def visit_rows(spark, sf_dir, faulty=False):
+    url, number = F.col("url"), F.col("page_id")
     host = F.split(url, "/")[2]
+    start = F.lit(1706000000000) + number
+    dwell = F.lit(1500)
+
+    def unless(divisor, rest, value, other=None):
+        return F.when(F.lit(faulty) & (number % divisor == rest), other).otherwise(value)
+
+    provenance = F.to_json(
+        F.struct(
+            unless(4, 2, F.lit("extension")).alias("collected_by"), F.lit("1").alias("collection_version"),
+            F.lit("passive").alias("collection_mode"), start.alias("recorded_at_ms"),
+        )
+    )
     visit = F.to_json(
         F.struct(
+            F.lit("1.0").alias("schema_version"),
             F.lit("browser_visit").alias("event_type"),
-            F.concat(F.lit("v-"), F.col("page_id").cast("string")).alias("visit_id"),
+            F.lit("browser").alias("source_app"),
+            F.concat(F.lit("v-"), number.cast("string")).alias("visit_id"),
             url.alias("canonical_url"),
-            (F.lit(1706000000000) + F.col("page_id")).alias("visit_start_ms"),
-            F.lit("1.0").alias("schema_version"),
+            unless(5, 1, host).alias("canonical_host"),
+            start.alias("visit_start_ms"),
+            (start + dwell).alias("visit_end_ms"),
+            F.parse_json(unless(3, 1, F.lit("1500"), F.lit('"long"'))).alias("dwell_ms"),
+            F.parse_json(provenance).alias("provenance"),
+            F.lit(False).alias("raw_content_blocked"),
         )
     )
-    other = F.to_json(F.struct(F.lit("note").alias("event_type"), F.col("page_id").alias("n")))
+    other = F.to_json(F.struct(F.lit("note").alias("event_type"), number.alias("n")))
     raw = F.when(url.startswith("https"), visit).otherwise(other)
     return b.table(spark, sf_dir, "pages").select("page_id", host.alias("host"), raw.alias("raw"))
 

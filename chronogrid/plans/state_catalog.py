@@ -294,16 +294,21 @@ def _top_sql(section: str, where: str, n: int) -> str:
     UNION ALL SELECT 'pending', row_number() OVER (ORDER BY o_orderkey::VARCHAR) AS place, o_orderkey::VARCHAR, NULL
       FROM orders WHERE o_orderstatus = 'P' QUALIFY place <= 5
     UNION ALL {_top_sql('checkpoint', "o_orderstatus = 'O'", 3)}
-    UNION ALL {_top_sql('latest_report', "o_orderpriority = '1-URGENT'", 1)}""",
+    UNION ALL {_top_sql('latest_report', "o_orderpriority = '1-URGENT'", 1)}
+    UNION ALL SELECT 'report_metric', m.place, CASE m.place WHEN 1 THEN 'verdict=' || o_orderstatus WHEN 2 THEN 'n_artifacts=' || o_custkey
+      ELSE 'cadence=' || o_orderpriority END, at_ms FROM (SELECT *, {ORDER_MS} AS at_ms FROM orders WHERE o_orderpriority = '1-URGENT'
+        QUALIFY row_number() OVER (ORDER BY {ORDER_MS} DESC, o_orderkey::VARCHAR DESC) = 1), (VALUES (1::BIGINT), (2), (3)) m(place)""",
 )
 def d23(spark, sf_dir):
     rows = b.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("name"), b.utc_ms(F.col("o_orderdate")).alias("at_ms"),
-        "o_orderstatus", "o_orderpriority",
+        "o_orderstatus", "o_orderpriority", "o_custkey",
+    )
+    reports = rows.where("o_orderpriority = '1-URGENT'").select(
+        "name", "at_ms", F.col("o_orderstatus").alias("verdict"), F.col("o_custkey").alias("n_artifacts"), F.col("o_orderpriority").alias("cadence")
     )
     return views.health_rows(
-        rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus = 'P'"),
-        rows.where("o_orderstatus = 'O'"), rows.where("o_orderpriority = '1-URGENT'"),
+        rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus = 'P'"), rows.where("o_orderstatus = 'O'"), reports
     )
 
 
@@ -363,14 +368,16 @@ def e07(spark, sf_dir):
     UNION ALL SELECT 'total_bytes', 1, NULL, sum(n_chars)::BIGINT FROM documents
     UNION ALL SELECT 'newest_ms', 1, NULL, max(doc_id) FROM documents
     UNION ALL SELECT 'path', row_number() OVER (ORDER BY p) AS place, p, NULL
-      FROM (SELECT source || '/' || doc_id || '.json' AS p FROM documents) QUALIFY place <= 20""",
+      FROM (SELECT source || '/' || doc_id || '.json' AS p FROM documents) QUALIFY place <= 20
+    UNION ALL SELECT 'allowed_summary', row_number() OVER (ORDER BY p) AS place, p, NULL
+      FROM (SELECT source || '/' || doc_id || '.json' AS p FROM documents WHERE lang = 'en') QUALIFY place <= 50""",
 )
 def a26(spark, sf_dir):
     files = b.table(spark, sf_dir, "documents").select(
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".json")).alias("path"),
-        F.col("n_chars").alias("bytes"), F.col("doc_id").alias("modified_ms"),
+        F.col("n_chars").alias("bytes"), F.col("doc_id").alias("modified_ms"), "lang",
     )
-    return views.summary_snapshot(files)
+    return views.summary_snapshot(files.drop("lang"), files.where("lang = 'en'").select("path"))
 
 
 # --- keyed state ---------------------------------------------------------------

@@ -55,7 +55,6 @@ def d09(spark, sf_dir):
     )
 
 
-_MISSING = " || ',' || ".join(f"(CASE WHEN coverage_{m} > 0 THEN '' ELSE '{m}' END)" for m in MODALITIES)
 
 
 @register(
