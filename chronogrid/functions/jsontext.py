@@ -32,11 +32,6 @@ def canonical_json_exact(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-SHAPE_TYPE = T.StructType(
-    [T.StructField("depth", T.LongType()), T.StructField("scalars", T.LongType()), T.StructField("pretty_chars", T.LongType())]
-)
-
-
 def _measure(value) -> tuple[int, int]:
     """Nesting depth and the number of text or number leaves; the parser before it limits the depth."""
     deepest, leaves, todo = 1, 0, [(value, 1)]
@@ -51,8 +46,14 @@ def _measure(value) -> tuple[int, int]:
     return deepest, leaves
 
 
-@F.pandas_udf(SHAPE_TYPE)
-def json_shape(texts: pd.Series) -> pd.DataFrame:
+FACTS_TYPE = T.StructType(
+    [T.StructField("canonical", T.StringType()), T.StructField("depth", T.LongType()), T.StructField("scalars", T.LongType())]
+)
+
+
+@F.pandas_udf(FACTS_TYPE)
+def json_facts(texts: pd.Series) -> pd.DataFrame:
+    """Canonical text, depth and scalar count from one parse; all NULL for text that is not JSON."""
     rows = []
     for text in texts:
         try:
@@ -60,9 +61,21 @@ def json_shape(texts: pd.Series) -> pd.DataFrame:
         except (TypeError, ValueError):
             rows.append((None, None, None))
             continue
-        depth, leaves = _measure(value)
-        rows.append((depth, leaves, len(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False))))
-    return pd.DataFrame(rows, columns=["depth", "scalars", "pretty_chars"]).astype("Int64")
+        rows.append((json.dumps(value, sort_keys=True, separators=(",", ":")), *_measure(value)))
+    return pd.DataFrame(rows, columns=["canonical", "depth", "scalars"]).astype({"depth": "Int64", "scalars": "Int64"})
+
+
+@F.pandas_udf(T.LongType())
+def pretty_size(texts: pd.Series) -> pd.Series:
+    """Length of the indented, key-sorted text."""
+
+    def one(text):
+        try:
+            return len(json.dumps(json.loads(text), indent=2, sort_keys=True, ensure_ascii=False))
+        except (TypeError, ValueError):
+            return None
+
+    return texts.map(one).astype("Int64")
 
 
 def display_summary(payload: Column, dropped: tuple[str, ...] = ("payload", "page_content")) -> Column:

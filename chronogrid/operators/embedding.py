@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronogrid.constants import DIVERSITY_MAX, LATENT_INDEX, LOSS_MAX, MODEL_DIMS
 from chronogrid.functions import ids, vectors
-from chronogrid.functions.jsontext import canonical_json_exact, json_shape, n_keys
+from chronogrid.functions.jsontext import json_facts, n_keys
 from chronogrid.functions.numbers import round_stable
 from chronogrid.functions.predicates import normalize_source
 from chronogrid.operators.ordered import with_position, with_previous
@@ -29,7 +29,7 @@ def features(records: DataFrame, payload: str = "payload", source: str = "source
     count, depth and scalar count on a 0-1 scale and a flag for a kind.
     """
     text = F.col(payload)
-    shaped = records.withColumn("_shape", json_shape(text)).withColumn("_canonical", canonical_json_exact(text))
+    shaped = records.withColumn("_shape", json_facts(text))
 
     def scaled(value: Column, full: float) -> Column:
         return F.least(value.cast("double") / F.lit(full), F.lit(1.0))
@@ -42,9 +42,9 @@ def features(records: DataFrame, payload: str = "payload", source: str = "source
         F.when(has_kind, F.lit(1.0)).otherwise(F.lit(0.0)),
     )
     whole = F.concat(
-        vectors.one_hot_source(normalize_source(F.col(source))), vectors.hash_vector(F.col("_canonical"), 8), tail
+        vectors.one_hot_source(normalize_source(F.col(source))), vectors.hash_vector(F.col("_shape.canonical"), 8), tail
     )
-    return shaped.withColumn("features", whole.cast("array<float>")).drop("_shape", "_canonical")
+    return shaped.withColumn("features", whole.cast("array<float>")).drop("_shape")
 
 
 # --- model (K-02, L-02, L-03, L-04) -----------------------------------------------------
@@ -257,6 +257,14 @@ def embedding_rows(embeddings: DataFrame, order: list[str], run_id: str) -> Data
     return numbered.withColumn("label", ids.window_label(F.col("ordinal"))).withColumn("run_id", F.lit(run_id))
 
 
+def run_lineage(parents: DataFrame, parent: str, child_id: str, module: str) -> DataFrame:
+    """Edges from every parent row to one artifact of a run."""
+    return parents.select(
+        F.lit(child_id).alias("child_id"), F.col(parent).cast("string").alias("parent_id"),
+        F.lit("derived").alias("edge_type"), F.lit(module).alias("module"),
+    )
+
+
 def gated_commit(
     report: DataFrame,
     embeddings: DataFrame,
@@ -265,19 +273,38 @@ def gated_commit(
     write: Callable[[str, DataFrame], None],
     upstream: str = "artifact_id",
     dry_run: bool = False,
+    cadence: str = "on_demand",
+    weights: DataFrame | None = None,
+    now_ms: int = 0,
 ) -> str:
-    """Report always; embedding and lineage only on a pass; nothing on a dry run; ``skip`` without rows."""
+    """Write what a run leaves behind; returns the verdict, ``dry-run`` or ``skip``.
+
+    The report and its lineage are always written, as is the module run. On a
+    pass the embedding comes too, with the report among its parents, and the
+    weights for the next warm start; on a fail the earlier embedding stays.
+    """
+    spark = report.sparkSession
     row = report.first()
     if row is None or row["n_artifacts"] == 0:
         return "skip"
     if dry_run:
         return "dry-run"
-    write("report", report)
-    if row["verdict"] == "pass":
-        write("embedding", embedding_rows(embeddings, order, run_id))
-        lineage = embeddings.select(
-            F.lit(run_id).alias("child_id"), F.col(upstream).cast("string").alias("parent_id"),
-            F.lit("derived").alias("edge_type"), F.lit("representation").alias("module"),
-        )
-        write("lineage", lineage)
+    module, report_id, embedding_id = f"representation_{cadence}", f"{run_id}.report", f"{run_id}.embedding"
+    passed = row["verdict"] == "pass"
+    write("report", spark.createDataFrame([(report_id, *row)], f"artifact_id string, {_fields(report)}"))
+    lineage = run_lineage(embeddings, upstream, report_id, module)
+    if passed:
+        write("embedding", embedding_rows(embeddings, order, run_id).withColumn("embedding_id", F.lit(embedding_id)))
+        own = spark.createDataFrame([(report_id,)], "parent_id string")
+        lineage = lineage.unionByName(run_lineage(own, "parent_id", embedding_id, module))
+        lineage = lineage.unionByName(run_lineage(embeddings, upstream, embedding_id, module))
+    write("lineage", lineage)
+    made = [embedding_id, report_id] if passed else [report_id]
+    write("module_run", spark.createDataFrame([(module, run_id, now_ms, made)], "module string, run_id string, completed_ms bigint, artifact_ids array<string>"))
+    if passed and weights is not None:
+        write("weights", weights)
     return row["verdict"]
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -96,20 +96,34 @@ def regimes(rows: DataFrame, vector: str, k: int, seed: int) -> tuple[DataFrame,
     return labelled.drop("_point"), silhouette
 
 
+def best_matching(counts: dict[tuple[int, int], int], k: int) -> int:
+    """Largest number of rows that agree when the clusters of two fits are named one to one."""
+    best = {0: 0}
+    for other in range(k):
+        step: dict[int, int] = {}
+        for used, hits in best.items():
+            for regime in range(k):
+                if not used >> regime & 1:
+                    taken = used | 1 << regime
+                    step[taken] = max(step.get(taken, 0), hits + counts.get((other, regime), 0))
+        best = step
+    return max(best.values())
+
+
 def bootstrap_agreement(rows: DataFrame, vector: str, k: int, seed: int, rounds: int = 3) -> DataFrame:
-    """Share of rows on which clusterings of resamples agree with the full one, after matching cluster names by majority."""
+    """Share of rows on which clusterings of resamples agree with the full one, after matching cluster names one to one."""
     pointed = rows.withColumn("_point", array_to_vector(vector))
     base = KMeans(featuresCol="_point", predictionCol="regime", k=k, seed=seed).fit(pointed)
     labelled = base.transform(pointed)
-    out = None
+    found = []
     for i in range(rounds):
         sample = pointed.sample(withReplacement=True, fraction=1.0, seed=seed + i + 1)
         model = KMeans(featuresCol="_point", predictionCol="other", k=k, seed=seed).fit(sample)
-        pairs = model.transform(labelled).groupBy("other", "regime").agg(F.count(F.lit(1)).alias("n"))
-        best = pairs.groupBy("other").agg(F.max("n").alias("hits"), F.sum("n").alias("n"))
-        part = best.agg((F.sum("hits") / F.sum("n")).alias("agreement")).withColumn("round", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("stable", F.col("agreement") > 0.85)
+        pairs = model.transform(labelled).groupBy("other", "regime").agg(F.count(F.lit(1)).alias("n")).collect()  # k * k rows
+        counts = {(r["other"], r["regime"]): r["n"] for r in pairs}
+        agreement = best_matching(counts, k) / max(sum(counts.values()), 1)
+        found.append((agreement, i, agreement > 0.85))
+    return rows.sparkSession.createDataFrame(found, "agreement double, round int, stable boolean")
 
 
 def ablation_agreement(rows: DataFrame, vector: str, blocks: dict[str, tuple[int, int]]) -> DataFrame:

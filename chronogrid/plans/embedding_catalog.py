@@ -10,6 +10,7 @@ from chronogrid.functions import vectors
 from chronogrid.functions.numbers import round_stable
 from chronogrid.operators import embedding as emb
 from chronogrid.plans import bindings as b
+from chronogrid.plans import jobs
 from chronogrid.plans.registry import register
 from chronogrid.plans.state_catalog import ARTIFACTS, artifacts
 from chronogrid.session import cut_lineage, scratch_path
@@ -71,30 +72,46 @@ def l07(spark, sf_dir):
 
 
 # The payload of an event record has two keys, or one without a kind, and as many scalars; its depth is 2.
-_FEATURES = ", ".join(f"(source = '{s}')::INT::DOUBLE AS is_{s}" for s in SOURCES)
+_HASHES = [f"(('0x' || substr(sha256(canon), {4 * i + 1}, 4))::BIGINT / 65535.0::DOUBLE * 2 - 1)" for i in range(8)]
+_KEYS = "CASE WHEN kind = '(untyped)' THEN 1 ELSE 2 END / 16.0::DOUBLE"
+_VALUES = [f"(source = '{s}')::INT::DOUBLE" for s in SOURCES] + _HASHES + [_KEYS, "0.25::DOUBLE", _KEYS, "(kind <> '(untyped)')::INT::DOUBLE"]
+_CANON = f"""{ARTIFACTS}, f AS (SELECT *, CASE WHEN kind = '(untyped)' THEN '{{"k":' || k || '}}' ELSE '{{"k":' || k || ',"kind":"' || kind || '"}}' END AS canon FROM art)"""
 
 
-@register(
-    "l01_features",
-    f"""WITH {ARTIFACTS}, f AS (SELECT *, CASE WHEN kind = '(untyped)' THEN '{{"k":' || k || '}}' ELSE '{{"k":' || k || ',"kind":"' || kind || '"}}' END AS canon FROM art)
-        SELECT artifact_id, {_FEATURES}, {b.rnd("(('0x' || substr(sha256(canon), 1, 4))::BIGINT / 65535.0::DOUBLE * 2 - 1)", 5)} AS hash0,
-          CASE WHEN kind = '(untyped)' THEN 1 ELSE 2 END / 16.0::DOUBLE AS keys, 0.25::DOUBLE AS depth,
-          CASE WHEN kind = '(untyped)' THEN 1 ELSE 2 END / 16.0::DOUBLE AS scalars, (kind <> '(untyped)')::INT::DOUBLE AS has_kind FROM f""",
-)
+@register("l01_features", f"WITH {_CANON} SELECT artifact_id, {', '.join(f"{b.rnd(f'({v})::FLOAT::DOUBLE', 5)} AS f{i}" for i, v in enumerate(_VALUES))} FROM f")
 def l01(spark, sf_dir):
     rows = emb.features(artifacts(spark, sf_dir))
     at = F.col("features").cast("array<double>")
-    return rows.select(
-        "artifact_id", *[at[i].alias(f"is_{s}") for i, s in enumerate(SOURCES)], round_stable(at[5], 5).alias("hash0"),
-        at[13].alias("keys"), at[14].alias("depth"), at[15].alias("scalars"), at[16].alias("has_kind"),
-    )
+    return rows.select("artifact_id", *[round_stable(at[i], 5).alias(f"f{i}") for i in range(17)])
 
 
 def feature_rows(spark, sf_dir):
     return emb.features(artifacts(spark, sf_dir)).select("artifact_id", "created_ms", "features")
 
 
-@register("l02_embedding_scores")
+def _layers_sql() -> str:
+    """The forward pass with the first weights as numbers: one list per layer."""
+    steps, before = [], "x"
+    layers = emb.new_weights()
+    for i, (w, bias) in enumerate(layers):
+        cells = []
+        for j in range(w.shape[1]):
+            total = " + ".join(f"{before}[{r + 1}] * ({float(w[r, j])!r})::DOUBLE" for r in range(w.shape[0]))
+            total = f"({total} + ({float(bias[j])!r})::DOUBLE)"
+            cells.append(total if i == len(layers) - 1 else f"tanh({total})")
+        steps.append(f"y{i} AS (SELECT *, [{', '.join(cells)}] AS a{i} FROM {f'y{i - 1}' if i else 'y'})")
+        before = f"a{i}"
+    return ", ".join(steps)
+
+
+_ERROR = " + ".join(f"(x[{i + 1}] - a3[{i + 1}]) * (x[{i + 1}] - a3[{i + 1}])" for i in range(17))
+
+
+@register(
+    "l02_embedding_scores",
+    f"""WITH {_CANON}, y AS (SELECT artifact_id, [{', '.join(f'({v})::FLOAT::DOUBLE' for v in _VALUES)}] AS x FROM f), {_layers_sql()}
+        SELECT artifact_id, {', '.join(f"{b.rnd(f'a1[{i + 1}]', 6)} AS z{i}" for i in range(8))}, {b.rnd(f'({_ERROR}) / 17', 6)} AS error FROM y3""",
+)
 def l02(spark, sf_dir):
     scored = emb.score(feature_rows(spark, sf_dir), emb.default_backend(emb.new_weights()))
     return scored.select(
@@ -140,29 +157,73 @@ def l04(spark, sf_dir):
     return spark.createDataFrame([(losses[-1], again[0], again[-1])], "last_loss double, warm_loss double, next_loss double")
 
 
+_RUNS = {"pass": (0.5, False), "fail": (9.0, False), "dry": (0.5, True), "empty": (0.5, False)}
+
+
 @register(
     "l06_gated_commit",
-    """SELECT 'embedding' AS part, count(*) AS n FROM embeddings UNION ALL SELECT 'lineage', count(*) FROM embeddings
-       UNION ALL SELECT 'report', 1 UNION ALL SELECT 'failed:report', 1""",
+    """WITH v AS (SELECT vec_id::VARCHAR AS id FROM embeddings)
+       SELECT 'pass' AS run, 'report' AS part, 'pass.report' AS child, 'pass' AS parent UNION ALL SELECT 'fail', 'report', 'fail.report', 'fail'
+       UNION ALL SELECT run, 'lineage', run || '.report', id FROM v, (VALUES ('pass'), ('fail')) r(run)
+       UNION ALL SELECT 'pass', 'lineage', 'pass.embedding', id FROM v UNION ALL SELECT 'pass', 'lineage', 'pass.embedding', 'pass.report'
+       UNION ALL SELECT 'pass', 'embedding', 'pass.embedding', id FROM v
+       UNION ALL SELECT 'pass', 'module_run', 'representation_weekly', 'pass.embedding,pass.report' UNION ALL SELECT 'fail', 'module_run', 'representation_weekly', 'fail.report'
+       UNION ALL SELECT 'pass', 'weights', 'weekly', layer::VARCHAR FROM range(4) t(layer)""",
 )
 def l06(spark, sf_dir):
-    """One run that passes and one whose loss is over the threshold; the second writes its report only."""
+    """All that a passing, a failing, a dry and an empty run leave behind."""
     rows = vectors_of(spark, sf_dir).withColumn("artifact_id", F.col("vec_id").cast("string"))
-    base = scratch_path(spark, "gate")
-    written = []
+    named = {
+        "report": ("artifact_id", "verdict"), "lineage": ("child_id", "parent_id"), "embedding": ("embedding_id", "artifact_id"),
+        "module_run": ("module", "array_join(artifact_ids, ',')"), "weights": ("cadence", "cast(layer as string)"),
+    }
+    base, written = scratch_path(spark, "gate"), []
 
-    def writer(prefix):
+    def writer(run):
         def write(part, df):
-            df.write.parquet(f"{base}/{prefix}{part}")
-            written.append((f"{prefix}{part}", f"{base}/{prefix}{part}"))
+            path = f"{base}/{run}-{part}"
+            df.write.parquet(path)
+            child, parent = named[part]
+            written.append(spark.read.parquet(path).select(
+                F.lit(run).alias("run"), F.lit(part).alias("part"), F.expr(child).alias("child"), F.expr(parent).alias("parent")
+            ))
 
         return write
 
-    for prefix, loss in (("", 0.5), ("failed:", 9.0)):
-        report = emb.quality_report(rows, ["vec_id"], F.lit(loss), "run-1")
-        emb.gated_commit(report, rows, ["vec_id"], "run-1", writer(prefix.replace(":", "_")))
-    counts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n.replace("failed_", "failed:")).alias("part"), "n") for n, p in written]
-    out = counts[0]
-    for more in counts[1:]:
+    for run, (loss, dry) in _RUNS.items():
+        mine = rows.where("false") if run == "empty" else rows
+        report = emb.quality_report(mine, ["vec_id"], F.lit(loss), run)
+        state = emb.weights_rows(spark, emb.new_weights(), "weekly", run, b.NOW_MS)
+        emb.gated_commit(report, mine, ["vec_id"], run, writer(run), dry_run=dry, cadence="weekly", weights=state, now_ms=b.NOW_MS)
+    out = written[0]
+    for more in written[1:]:
         out = out.unionByName(more)
     return out
+
+
+@register(
+    "l06_representation_run",
+    f"""WITH {ARTIFACTS} SELECT 'pass' AS verdict, count(*) AS n_artifacts, true AS learnt, false AS first_warm, true AS second_warm, true AS goes_on FROM art""",
+)
+def l06_run(spark, sf_dir):
+    """Two weekly runs over all records: the second starts from the weights of the first, where its loss goes on."""
+    base, parts = scratch_path(spark, "represent"), {}
+
+    def writer(run):
+        def write(part, df):
+            df.write.parquet(f"{base}/{run}-{part}")
+            parts[run, part] = f"{base}/{run}-{part}"
+
+        return write
+
+    rows = artifacts(spark, sf_dir)
+    first = jobs.represent(rows, None, "weekly", 1, writer("a"), epochs=2, loss_max=10.0, diversity_max=1.0)
+    stored = spark.read.parquet(parts["a", "weights"])
+    second = jobs.represent(rows, stored, "weekly", 2, writer("b"), epochs=1, loss_max=10.0, diversity_max=1.0)
+    a, c = first.alias("a"), second.alias("b")
+    both = a.join(c, F.col("a.n_artifacts") == F.col("b.n_artifacts"))  # one row each
+    return both.select(
+        F.col("b.verdict").alias("verdict"), F.col("b.n_artifacts").alias("n_artifacts"), (F.col("a.final_loss") < F.col("a.first_loss")).alias("learnt"),
+        F.col("a.warm_start").alias("first_warm"), F.col("b.warm_start").alias("second_warm"),
+        (F.abs(F.col("b.first_loss") - F.col("a.final_loss")) < 1e-9).alias("goes_on"),
+    )

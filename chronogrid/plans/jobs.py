@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from chronogrid.constants import DEFAULT_SPANS, MIN_COVERAGE, MODALITIES
+from chronogrid.constants import DEFAULT_SPANS, DIVERSITY_MAX, LOSS_MAX, MIN_COVERAGE, MODALITIES
 from chronogrid.functions.ids import page_id
 from chronogrid.functions.predicates import is_blank_page
+from chronogrid.operators import embedding as emb
 from chronogrid.operators import journal, records, rollup, signals, state, views
 from chronogrid.sinks import tables
 from chronogrid.sources import exports
@@ -202,6 +203,49 @@ def nightly(
     return result(DONE, "done", produced["windows_emitted"], stats["rollups_built"])
 
 
+# --- representation run (E-05, L-03 to L-07) --------------------------------------------
+
+
+def represent(
+    records_in: DataFrame,
+    stored_weights: DataFrame | None,
+    cadence: str,
+    now_ms: int,
+    write: Callable[[str, DataFrame], None],
+    epochs: int = 25,
+    rate: float = 0.05,
+    seed: int = 1337,
+    loss_max: float = LOSS_MAX,
+    diversity_max: float = DIVERSITY_MAX,
+    dry_run: bool = False,
+) -> DataFrame:
+    """One representation run; returns a row with verdict and losses.
+
+    ``records_in``: artifact_id, created_ms, source, payload. The newest record
+    validates; a weekly run starts from the last stored weights. ``write`` gets
+    the parts of ``embedding.gated_commit``.
+    """
+    spark = records_in.sparkSession
+    schema = "run_id string, verdict string, n_artifacts bigint, first_loss double, final_loss double, val_loss double, warm_start boolean"
+    run = f"run-{cadence}-{now_ms}"
+    rows = cut_lineage(emb.features(records_in).select("artifact_id", "created_ms", "features"))
+    n = rows.count()
+    if n == 0:
+        return spark.createDataFrame([(run, "skip", 0, None, None, None, False)], schema)
+    split = cut_lineage(views.temporal_split(rows))
+    warm = emb.last_weights(stored_weights, cadence) if stored_weights is not None and emb.starts_warm(cadence) else None
+    weights, losses = emb.train(split.where("is_train"), warm or emb.new_weights(seed), epochs, rate)
+    scored = cut_lineage(emb.score(split, emb.default_backend(weights)))
+    val_loss = emb.reconstruction_loss(scored.where("is_validation")).first()["loss"]
+    order = ["created_ms", "artifact_id"]
+    report = emb.quality_report(scored, order, F.lit(losses[-1]), run, loss_max, diversity_max)
+    report = report.withColumn("cadence", F.lit(cadence)).withColumn("val_loss", F.lit(val_loss).cast("double"))
+    state_rows = emb.weights_rows(spark, weights, cadence, run, now_ms)
+    embedded = scored.select("artifact_id", "created_ms", "embedding")
+    verdict = emb.gated_commit(cut_lineage(report), embedded, order, run, write, "artifact_id", dry_run, cadence, state_rows, now_ms)
+    return spark.createDataFrame([(run, verdict, n, float(losses[0]), float(losses[-1]), val_loss, warm is not None)], schema)
+
+
 # --- journal (K-01, M-05) --------------------------------------------------------------
 
 Transcriber = Callable[[bytes], dict]

@@ -203,7 +203,7 @@ def h15(spark, sf_dir):
 def k04(spark, sf_dir):
     inner = F.struct("lang", F.when(F.col("lang") == "en", F.array(F.lit(1))).alias("tags"), F.lit(True).alias("flag"))
     payload = F.to_json(F.struct("doc_id", "text", "n_chars", F.array(F.lit(None).cast("string")).alias("none"), inner.alias("info")))
-    shape = jsontext.json_shape(payload)
+    shape = jsontext.json_facts(payload)
     rows = b.table(spark, sf_dir, "documents").select("doc_id", shape.alias("s"))
     return rows.select("doc_id", F.col("s.depth").alias("depth"), F.col("s.scalars").alias("scalars"))
 
@@ -310,8 +310,8 @@ def h21(spark, sf_dir):
 @register("h23_pretty_size")
 def h23(spark, sf_dir):
     payload = F.to_json(F.struct("doc_id", "lang", "source", "n_chars", "text"))
-    rows = b.table(spark, sf_dir, "documents").select("doc_id", jsontext.json_shape(payload).alias("s"))
-    return rows.select("doc_id", F.col("s.pretty_chars").alias("pretty_chars"))
+    rows = b.table(spark, sf_dir, "documents").select("doc_id", jsontext.pretty_size(payload).alias("pretty_chars"))
+    return rows
 
 
 _DOT = "list_sum(list_transform(list_zip(a, p), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
@@ -652,7 +652,4 @@ def h13_events(spark, sf_dir):
     """SELECT event_id, length('{' || chr(10) || '  "k": ' || json_extract_string(props, '$.k') || chr(10) || '}')::BIGINT AS pretty_chars FROM events""",
 )
 def h23_events(spark, sf_dir):
-    shape = jsontext.json_shape(F.col("props"))
-    return b.table(spark, sf_dir, "events").select("event_id", shape.alias("s")).select(
-        "event_id", F.col("s.pretty_chars").alias("pretty_chars")
-    )
+    return b.table(spark, sf_dir, "events").select("event_id", jsontext.pretty_size(F.col("props")).alias("pretty_chars"))

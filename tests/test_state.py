@@ -127,7 +127,7 @@ def test_scalars(spark):
     assert one(spark, ids.safe_name(F.lit("a b/c"))) == "a-b-c"
     value = json.dumps({"b": [1, {"c": "é"}], "a": 1.0, "t": True, "n": None})
     assert one(spark, jsontext.canonical_json_exact(F.lit(value))) == '{"a":1.0,"b":[1,{"c":"\\u00e9"}],"n":null,"t":true}'
-    shape = one(spark, jsontext.json_shape(F.lit(value)))
+    shape = one(spark, jsontext.json_facts(F.lit(value)))
     assert (shape["depth"], shape["scalars"]) == (4, 3)
 
 
