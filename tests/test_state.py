@@ -144,14 +144,27 @@ def test_record_normalisation(spark):
 
 
 def test_visits(spark):
+    visit = {
+        "schema_version": "1.0", "event_type": "browser_visit", "source_app": "x", "device_id": "d", "visit_id": "v1", "canonical_host": "h",
+        "visit_start_ms": 5, "visit_end_ms": 6, "dwell_ms": 1, "page_title": None, "raw_content_blocked": False,
+        "provenance": {"collected_by": "e", "collection_version": "1", "collection_mode": "m", "recorded_at_ms": 7, "more": 1},
+    }
     raw = [
-        {"event_type": "browser_visit", "visit_id": "v1", "visit_start_ms": 5, "device_id": "d"},
+        visit,
         {"artifactId": "w", "source": "mobile", "payload": {"browser_package": "com.x", "browser_name": "X", "observed_at_ms": 7}},
         {"payload": {"browser_package": "com.x", "observed_at_ms": 7}},
         {"event_type": "other"},
     ]
     df = records.validate_visits(spark.createDataFrame([(json.dumps(r),) for r in raw], "raw string"), "raw")
-    assert [len(r["errors"]) for r in df.collect()] == [0, 0, 0, 1]
+    assert [len(r["errors"]) for r in df.collect()] == [0, 0, 0, 10]
+    faulty = {**visit, "dwell_ms": "long", "visit_end_ms": 6.5, "raw_content_blocked": None, "input_context": {"focused": 1, "key": "x"}}
+    del faulty["provenance"]["recorded_at_ms"]
+    found = records.validate_visits(spark.createDataFrame([(json.dumps(faulty),), ("[1]",)], "raw string"), "raw").collect()
+    assert found[0]["errors"] == [
+        "visit_end_ms is no integer", "dwell_ms is no integer", "input_context.focused is no boolean",
+        "provenance.recorded_at_ms is missing", "raw_content_blocked is no boolean", "input_context.key is not known",
+    ]
+    assert found[1]["errors"] == ["the record is no JSON object"]
     out = records.visit_records(df.where(F.size("errors") == 0), "raw").collect()
     assert [(r["artifact_id"], r["created_at_ms"], r["device_alias"]) for r in out] == [("v1", 5, "d"), ("w", 7, "unknown"), ("com.x-7", 7, "unknown")]
 
@@ -201,7 +214,8 @@ def test_gate(spark, tmp_path):
         parts = []
         report = embedding.quality_report(rows, ["t"], F.lit(loss), "r")
         verdicts[name] = (embedding.gated_commit(report, rows, ["t"], "r", lambda part, df: parts.append(part)), parts)
-    assert verdicts == {"good": ("pass", ["report", "embedding", "lineage"]), "high": ("fail", ["report"]), "nan": ("fail", ["report"]), "inf": ("fail", ["report"])}
+    failed = ("fail", ["report", "lineage", "module_run"])
+    assert verdicts == {"good": ("pass", ["report", "embedding", "lineage", "module_run"]), "high": failed, "nan": failed, "inf": failed}
     dry = embedding.quality_report(rows, ["t"], F.lit(0.1), "r")
     assert embedding.gated_commit(dry, rows, ["t"], "r", lambda *a: pytest.fail("wrote"), dry_run=True) == "dry-run"
     empty = embedding.quality_report(rows.where("t < 0"), ["t"], F.lit(0.1), "r")
