@@ -15,12 +15,39 @@ def last_index(start: Column, end: Column, step_ms: int = RESOLUTION_MS) -> Colu
     return floor_index(F.greatest(end - F.lit(1), start), step_ms)
 
 
+#: longest interval that is taken for a measurement: a leap year of cells
+MAX_CELLS = 366 * 24 * 60
+BLOCK_CELLS = 24 * 60
+
+
+def split_intervals(
+    df: DataFrame, start: str = "start_ms", end: str = "end_ms", step_ms: int = RESOLUTION_MS, max_cells: int = MAX_CELLS
+) -> tuple[DataFrame, DataFrame]:
+    """(rows fit for the grid, the others with a ``reason``); an end in another unit must not become billions of cells."""
+    cells = last_index(F.col(start), F.col(end), step_ms) - floor_index(F.col(start), step_ms) + F.lit(1)
+    reason = F.when(
+        F.coalesce(cells > max_cells, F.lit(True)), F.concat(F.lit("interval of "), F.coalesce(cells.cast("string"), F.lit("unknown")), F.lit(" cells"))
+    )
+    marked = df.withColumn("reason", reason)
+    return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
+
+
 def expand_to_grid(
     df: DataFrame, start: str = "start_ms", end: str = "end_ms", step_ms: int = RESOLUTION_MS, name: str = "canonical_index"
 ) -> DataFrame:
-    """One row per touched cell: a range join becomes an equi join on the index."""
-    cells = F.sequence(floor_index(F.col(start), step_ms), last_index(F.col(start), F.col(end), step_ms))
-    return df.withColumn(name, F.explode(cells))
+    """One row per touched cell: a range join becomes an equi join on the index.
+
+    The interval is cut into blocks first, so no array holds more than a day of
+    cells or a block for every day. Part off absurd intervals with ``split_intervals``.
+    """
+    first, last = floor_index(F.col(start), step_ms), last_index(F.col(start), F.col(end), step_ms)
+    low, high = F.col("_cells.low"), F.col("_cells.high")
+    bounds = df.withColumn("_cells", F.struct(first.alias("low"), last.alias("high")))
+    block_of = [F.floor(c / F.lit(BLOCK_CELLS)).cast("bigint") for c in (low, high)]
+    blocks = bounds.withColumn("_block", F.explode(F.sequence(*block_of)))
+    begin = F.col("_block") * F.lit(BLOCK_CELLS)
+    inside = F.sequence(F.greatest(low, begin), F.least(high, begin + F.lit(BLOCK_CELLS - 1)))
+    return blocks.withColumn(name, F.explode(inside)).drop("_cells", "_block")
 
 
 def point_to_grid(df: DataFrame, start: str = "start_ms", name: str = "canonical_index") -> DataFrame:

@@ -12,7 +12,7 @@ from chronogrid.constants import DEFAULT_SPANS, DIVERSITY_MAX, LOSS_MAX, MIN_COV
 from chronogrid.functions.ids import page_id
 from chronogrid.functions.predicates import is_blank_page
 from chronogrid.operators import embedding as emb
-from chronogrid.operators import journal, records, rollup, signals, state, views
+from chronogrid.operators import grid, journal, records, rollup, signals, state, views
 from chronogrid.sinks import tables
 from chronogrid.sources import exports
 from chronogrid.sources import records as record_source
@@ -33,10 +33,11 @@ MANIFEST_SCHEMA = (
 # --- windows from an export (M-03) ----------------------------------------------
 
 
-def read_export(spark: SparkSession, root: str, device: str, offset_mode: str = "reference") -> dict[str, DataFrame]:
-    """Typed rows of every modality in one export folder, plus the file table; each JSON file is read once.
+def read_export(spark: SparkSession, root: str, device: str, offset_mode: str = "reference") -> dict:
+    """Typed rows of every modality in one export folder, the file table and the rejected rows; each JSON file is read once.
 
-    All parts are persisted, since windows and manifest both read them; pass them to ``release``.
+    Rows whose interval is no measurement are parted off with their reason.
+    Typed rows are persisted, since windows and manifest both read them.
     """
     files = exports.scan_export(spark, root).persist()
     kinds = {r["kind"] for r in files.select("kind").distinct().collect()}  # at most seven names
@@ -51,16 +52,22 @@ def read_export(spark: SparkSession, root: str, device: str, offset_mode: str =
         out["stress"] = exports.stress_sheet(exports.sheet_lines(spark, f"{base}/{exports.STRESS_CSV}"), offset_mode)
     if "sleep_stage" in kinds:
         out["sleep"] = exports.sleep_stage_sheet(exports.sheet_lines(spark, f"{base}/{exports.SLEEP_STAGE_CSV}"), offset_mode)
-    out = {name: rows.withColumn("device", F.lit(device)).persist() for name, rows in out.items()}
-    return {**out, "files": files}
-
-
-def release(parts: dict[str, DataFrame]) -> None:
-    for rows in parts.values():
+    fit, rejected = {"held": [files]}, None
+    for name, rows in out.items():
+        held = rows.withColumn("device", F.lit(device)).persist()
+        fit["held"].append(held)
+        fit[name], odd = grid.split_intervals(held)
+        odd = odd.select(F.lit(name).alias("modality"), "device", "start_ms", "end_ms", "source_file", "reason")
+        rejected = odd if rejected is None else rejected.unionByName(odd)
+    return {**fit, "files": files, "rejected": rejected}
+
+
+def release(parts: dict) -> None:
+    for rows in parts["held"]:
         rows.unpersist()
 
 
-def file_manifest(export: str, parts: dict[str, DataFrame], now_ms: int) -> DataFrame:
+def file_manifest(export: str, parts: dict, now_ms: int) -> DataFrame:
     """One row per discovered file: hash, records emitted, status and error."""
 
     def plain(path: str) -> Column:
@@ -87,12 +94,14 @@ def produce(
     max_windows: int = 0,
     rows_per_file: int = 0,
     offset_mode: str = "reference",
+    rejects: str | None = None,
 ) -> DataFrame:
     """Export folder to window records in ``store``; returns one row of run counters.
 
     Records are added by source, device, id and start: other exports and devices
     in the store stay, a second run of one export replaces its own windows. With
-    a manifest the run is skipped when no file is new or changed.
+    a manifest the run is skipped when no file is new or changed. Rows with an
+    absurd interval are counted and, with ``rejects``, added to that folder.
     """
     export = export or export_root.rstrip("/").rsplit("/", 1)[-1]
     parts = read_export(spark, export_root, device, offset_mode)
@@ -106,6 +115,9 @@ def produce(
                 F.count(F.lit(1)).alias("files"), F.lit(0).cast("bigint").alias("files_due"),
                 F.lit(0).cast("bigint").alias("windows_emitted"),
             )
+    n_rejected = parts["rejected"].count()
+    if rejects and n_rejected:
+        parts["rejected"].withColumn("export", F.lit(export)).write.mode("append").parquet(rejects)
     windows = signals.produce_windows(parts["bins"], parts["hrv"], parts["stress"], parts["sleep"])
     kept = rollup.first_windows(windows, max_windows) if max_windows else windows
     seen = Observation()
@@ -121,6 +133,7 @@ def produce(
     totals = manifest.agg(
         F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") == "error").alias("files_error")
     )
+    totals = totals.withColumn("records_rejected", F.lit(n_rejected).cast("bigint"))
     return totals.select("*", *[F.lit(n).cast("bigint").alias(name) for name, n in seen.get.items()])
 
 

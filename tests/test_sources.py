@@ -193,3 +193,14 @@ def test_upsert_reads_only_the_partitions_of_a_batch(spark, tmp_path):
     assert kept.count() == 10
     tables.upsert_table(spark, path, batch, ["id"], ["p"])
     assert spark.read.parquet(path).where("v = 'new'").count() == 1 and spark.read.parquet(path).count() == 50
+
+
+def test_interval_in_microseconds_is_rejected_with_its_reason(spark, tmp_path):
+    good = {"start_time": 1787709540000, "end_time": 1787709600000, "sdnn": 50.0, "rmssd": 60.0}
+    odd = {**good, "end_time": good["end_time"] * 1000}
+    put(tmp_path / "e", "com.samsung.health.hrv/1.json", json.dumps([good, odd]))
+    rejects = str(tmp_path / "rejects")
+    stats = jobs.produce(spark, str(tmp_path / "e"), str(tmp_path / "raw"), "watch", 1, rejects=rejects).first()
+    assert (stats["records_rejected"], stats["windows_hrv"], stats["windows_emitted"]) == (1, 1, 1)
+    (r,) = spark.read.parquet(rejects).collect()
+    assert r["modality"] == "hrv" and r["reason"].startswith("interval of 29")
