@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,18 +27,30 @@ from chronogrid.llm.common import stored
 TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 4096
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 BLOCK_WORDS = 200_000
 
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
+# Latin letters whose lower case does not depend on their neighbours, then marks that no contraction begins with
+_PLAIN = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]*)")
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+def _byte_symbols() -> dict[int, int]:
+    """Byte-level vocabularies write a printable byte as itself and the n-th of the others as symbol 256 + n."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + n for n, b in enumerate(others)}
+
+
 class WordEncoder:
     """Ids of a text, word by word, with a bounded store of the words seen first.
 
     The tokenizer drops white space and never joins what it separates, so the
-    ids of a text are those of its words in a row.
+    ids of a text are those of its words in a row. It also parts letters from
+    marks and ignores case, so a plain word is looked up by its lower-case
+    letters; those that are new go to the merges directly, all other words
+    through the whole tokenizer.
     """
 
     def __init__(self, name: str):
@@ -45,30 +59,46 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.merges = self.tokenizer.model
+        self.symbols = _byte_symbols()
+        self.known: dict[str, bytes] = {}
 
     def blocks(self, text: str) -> Iterator[np.ndarray]:
         """Ids of consecutive blocks of words, so that memory does not follow the length of a text."""
         # split() also parts at U+001C to U+001F, which are no white space to the tokenizer
         words = _SPACE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
         for start in range(0, len(words), BLOCK_WORDS):
-            yield self._ids(words[start : start + BLOCK_WORDS])
-
-    def _ids(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        new = list({w for w in words if w not in known})
-        extra: dict[str, tuple[int, ...]] = {}
-        if new:
-            room = CACHE_WORDS - len(known)
-            for number, (word, found) in enumerate(
-                zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))
-            ):
-                (known if number < room else extra)[word] = tuple(found.ids)
-        if extra:
-            merged = [i for w in words for i in (known.get(w) or extra.get(w, ()))]
+            block = words[start : start + BLOCK_WORDS]
+            found = [ids if ids is not None else self.word(w) for w, ids in zip(block, map(self.known.get, block))]
+            yield np.frombuffer(b"".join(found), "<u4")
+
+    def word(self, word: str) -> bytes:
+        """Little-endian ids of one word."""
+        ids = self.known.get(word)
+        if ids is not None:
+            return ids
+        plain = _PLAIN.fullmatch(word)
+        if plain and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+            letters, marks = plain[1].lower(), plain[2]
+            if letters == word:
+                seen = word.encode().decode("latin-1").translate(self.symbols)
+                ids = struct.pack(f"<{len(t := self.merges.tokenize(seen))}I", *[x.id for x in t])
+            else:
+                ids = self.word(letters) + (self._whole(marks) if marks else b"")
         else:
-            merged = [i for w in words for i in known[w]]
-        return np.array(merged, "<u4")
+            ids = self._whole(word)
+        if len(self.known) < CACHE_WORDS:
+            self.known[word] = ids
+        return ids
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.known.get(text)
+        if ids is None:
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(self.known) < CACHE_WORDS:
+                self.known[text] = ids
+        return ids
 
 
 def encoder(name: str = TOKENIZER) -> WordEncoder:
