@@ -17,7 +17,7 @@ from chronogrid.sinks import tables
 from chronogrid.sources import exports
 from chronogrid.sources import records as record_source
 from chronogrid.session import cut_lineage
-from chronogrid.sources.files import first_existing
+from chronogrid.sources.files import first_existing, path_exists
 
 PRODUCER = "chronogrid"
 
@@ -317,7 +317,7 @@ def ingest_journal(
     """
     due = state.needs_transcription(pages, manifest, force)
     done = classify_pages(transcribe(due, engine)).withColumn("transcribed_ms", F.lit(now_ms).cast("bigint"))
-    done = done.persist()
+    done = cut_lineage(done)  # written once: a lost executor must not transcribe a page again with another answer
     made = records.page_records(done.where("status = 'new'"), now_ms)
     accepted = state.stamp_batch(made.withColumn("ingest_status", F.lit("accepted")), now_ms)
     commits = done.where("status <> 'failed'").select(
@@ -328,3 +328,59 @@ def ingest_journal(
         F.lit(now_ms).cast("bigint").alias("processed_at_ms"),
     )
     return accepted, commits, journal.run_summary(done)
+
+
+JOURNAL_MANIFEST = "note_uuid string, page_id string, png_sha256 string, last_artifact_id string, blank boolean, processed_at_ms bigint, shard string"
+
+
+def seeded_pages(spark: SparkSession, store: str, pages: DataFrame) -> DataFrame:
+    """Manifest rows of the pages whose accepted record is already in the store: the cold start of a journal."""
+    schema = (
+        "artifactId string, ingestStatus string, ingestedAtEpochMs bigint, createdAtEpochMs bigint, "
+        "payload struct<noteUuid:string,pageOrder:bigint,pageImage:struct<sha256:string>>"
+    )
+    stored = record_source.scan_records(spark, store, "journal", layout="lines", ordered=False)
+    known = stored.select(F.from_json("raw", schema).alias("r")).where("r.ingestStatus = 'accepted' and r.payload.noteUuid <> ''")
+    newest = known.groupBy(F.col("r.payload.noteUuid").alias("note_uuid"), F.col("r.payload.pageOrder").alias("page_order")).agg(
+        F.max_by("r", F.struct("r.ingestedAtEpochMs", "r.createdAtEpochMs", "r.artifactId")).alias("r")
+    )
+    shard = F.substring("note_uuid", 1, 2).alias("shard")
+    names = pages.select("note_uuid", F.col("page_order").cast("bigint").alias("page_order"), "page_id").distinct()
+    return names.join(newest, ["note_uuid", "page_order"]).select(
+        "note_uuid", "page_id", F.coalesce("r.payload.pageImage.sha256", F.lit("")).alias("png_sha256"),
+        F.col("r.artifactId").alias("last_artifact_id"), F.lit(False).alias("blank"),
+        F.coalesce("r.ingestedAtEpochMs", "r.createdAtEpochMs", F.lit(0)).cast("bigint").alias("processed_at_ms"), shard,
+    )
+
+
+def run_journal(
+    spark: SparkSession, pages: DataFrame, store: str, manifest_path: str, engine: Transcriber, now_ms: int, force: bool = False
+) -> DataFrame:
+    """One whole journal run: cold start, transcription, records, then the manifest; returns the summary.
+
+    Without a manifest it is seeded from the records in the store. Records are
+    written before the manifest, both by key, so a run that breaks off in
+    between is repeated without loss or double.
+    """
+    empty = spark.createDataFrame([], JOURNAL_MANIFEST)
+    cold = not path_exists(spark, manifest_path)
+    if not cold:
+        manifest = cut_lineage(tables.read_table(spark, manifest_path, empty.schema))
+    else:
+        manifest = cut_lineage(seeded_pages(spark, store, pages)) if path_exists(spark, store) else empty
+    accepted, commits, summary = ingest_journal(pages, manifest, engine, now_ms, force)
+    summary = cut_lineage(summary)
+    tables.upsert_records(
+        accepted.select(
+            F.col("artifact_id").alias("artifactId"), "source", "payload", F.col("created_ms").alias("createdAtEpochMs"),
+            F.col("schema_version").alias("schemaVersion"), F.col("device_alias").alias("deviceAlias"),
+            F.lit("{}").alias("provenanceMetadataJson"), F.col("ingested_ms").alias("ingestedAtEpochMs"),
+            F.col("ingest_status").alias("ingestStatus"),
+        ),
+        store,
+    )
+    commits = commits.withColumn("shard", F.substring("note_uuid", 1, 2))
+    marks = manifest.unionByName(commits) if cold else commits
+    keyed = marks.withColumn("arrival", F.col("processed_at_ms"))
+    tables.upsert_table(spark, manifest_path, keyed, ["note_uuid", "page_id"], ["shard"])
+    return summary

@@ -371,8 +371,18 @@ def a25(spark, sf_dir):
 # --- jobs ------------------------------------------------------------------------
 
 
+_exports: dict[tuple[str, str], str] = {}
+
+
 def write_export(spark, sf_dir):
-    """The events as one export folder of a single device."""
+    """The events as one export folder of a single device; written once per application, since runs only read it."""
+    held = (spark.sparkContext.applicationId, sf_dir)
+    if held not in _exports:
+        _exports[held] = _new_export(spark, sf_dir)
+    return _exports[held]
+
+
+def _new_export(spark, sf_dir):
     root = scratch_path(spark, "export")
     one_value_per_file(json_arrays(b.obs(spark, sf_dir, True, "heart_rate"), hr_fields()), f"{root}/{HR_DIR}")
     one_value_per_file(json_arrays(b.obs(spark, sf_dir, True, "hrv"), hrv_fields()), f"{root}/{HRV_DIR}")
@@ -448,13 +458,21 @@ _JOURNAL = """pages AS (SELECT d.doc_id, md5(source) AS note_uuid, d.text, lengt
    FROM pages WHERE quality IS NULL OR quality = 0)"""
 
 
-def _journal_run(spark, sf_dir):
-    """Pages of good label are already known, all others are due."""
+def _numbered_pages(spark, sf_dir):
     pages = exports.page_images(page_files(spark, sf_dir)).withColumnRenamed("file_name", "page_id")
     content = page_files(spark, sf_dir).select("path", "content")
     number = F.regexp_extract("page_id", r"^0*(\d+)\.png$", 1).cast("bigint")
     full = pages.join(content, "path").withColumn("doc_id", number).withColumn("page_order", number + 1)
-    full = full.withColumn("captured_ms", F.col("note_modified_ms"))
+    return full.withColumn("captured_ms", F.col("note_modified_ms"))
+
+
+def all_pages(spark, sf_dir):
+    return _numbered_pages(spark, sf_dir).select("note_uuid", "page_id", "page_order", "png_sha256", "content", "captured_ms")
+
+
+def _journal_run(spark, sf_dir):
+    """Pages of good label are already known, all others are due."""
+    full = _numbered_pages(spark, sf_dir)
     good = full.join(b.table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
     manifest = good.select(
         "note_uuid", "page_id", "png_sha256", F.lit("known").alias("last_artifact_id"), F.lit(False).alias("blank")
@@ -486,6 +504,25 @@ def m05_commits(spark, sf_dir):
     return commits.select("note_uuid", "page_id", "png_sha256", "blank", "last_artifact_id")
 
 
+@register(
+    "m05_journal_run",
+    """WITH p AS (SELECT CASE WHEN length(text) % 7 = 0 THEN 'failed' WHEN length(text) % 5 = 0 OR upper(replace(trim(text), ' ', '')) IN ('', 'BLANK')
+         THEN 'blank' ELSE 'new' END AS status FROM documents),
+       r AS (SELECT 1 AS run, status FROM p UNION ALL SELECT 2, status FROM p WHERE status = 'failed' UNION ALL SELECT 3, status FROM p WHERE status <> 'new')
+       SELECT run, count(*) AS total_pages, count(*) FILTER (WHERE status = 'new') AS pages_new, count(*) FILTER (WHERE status = 'blank') AS blank_pages,
+         count(*) FILTER (WHERE status = 'failed') AS failed_pages FROM r GROUP BY run""",
+)
+def m05_run(spark, sf_dir):
+    """A first run, a second with its manifest, and a third that has lost the manifest and starts from the store."""
+    pages = all_pages(spark, sf_dir)
+    base, out = scratch_path(spark, "journal"), None
+    for run, manifest in ((1, "kept"), (2, "kept"), (3, "lost")):
+        done = jobs.run_journal(spark, pages, f"{base}/store", f"{base}/{manifest}", fake_engine, b.NOW_MS + run)
+        part = done.select(F.lit(run).alias("run"), "total_pages", "pages_new", "blank_pages", "failed_pages")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register(
     "k01_page_transcriber",
     """SELECT doc_id, CASE WHEN length(text) % 7 <> 0 THEN CASE WHEN length(text) % 5 = 0 THEN ' bl ank ' ELSE text END END AS ocr_text,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="chronogrid-")
+        atexit.register(shutil.rmtree, folder, True)  # a local session's folder ends with it
         spark.sparkContext._chronogrid_dir = folder
     return folder.rstrip("/")
 
