@@ -371,29 +371,37 @@ def a25(spark, sf_dir):
 # --- jobs ------------------------------------------------------------------------
 
 
-_exports: dict[tuple[str, str], str] = {}
+_exports: dict[tuple, str] = {}
 
 
-def write_export(spark, sf_dir):
-    """The events as one export folder of a single device; written once per application, since runs only read it."""
-    held = (spark.sparkContext.applicationId, sf_dir)
+def write_export(spark, sf_dir, part=None):
+    """The events as one export folder; ``part`` 0 or 1 takes the users of one parity.
+
+    Written once per application, since runs only read it.
+    """
+    held = (spark.sparkContext.applicationId, sf_dir, part)
     if held not in _exports:
-        _exports[held] = _new_export(spark, sf_dir)
+        _exports[held] = _new_export(spark, sf_dir, part)
     return _exports[held]
 
 
-def _new_export(spark, sf_dir):
+def _new_export(spark, sf_dir, part):
     root = scratch_path(spark, "export")
-    one_value_per_file(json_arrays(b.obs(spark, sf_dir, True, "heart_rate"), hr_fields()), f"{root}/{HR_DIR}")
-    one_value_per_file(json_arrays(b.obs(spark, sf_dir, True, "hrv"), hrv_fields()), f"{root}/{HRV_DIR}")
-    stress = b.obs(spark, sf_dir, True, "stress")
+
+    def rows_of(modality):
+        rows = b.obs(spark, sf_dir, False, modality)
+        if part is not None:
+            rows = rows.where(F.pmod(F.col("device").cast("bigint"), F.lit(2)) == part)
+        return rows.withColumn("device", F.lit(b.SHARED_DEVICE))
+
+    one_value_per_file(json_arrays(rows_of("heart_rate"), hr_fields()), f"{root}/{HR_DIR}")
+    one_value_per_file(json_arrays(rows_of("hrv"), hrv_fields()), f"{root}/{HRV_DIR}")
     score = F.when(F.col("k") > 0, F.col("value"))
-    stress.select(
+    rows_of("stress").select(
         sheet_time(F.col("start_ms")).alias("start_time"), sheet_time(F.col("end_ms")).alias("end_time"), score.alias("score")
     ).write.option("header", True).csv(f"{root}/{STRESS_CSV}")
-    sleep = b.obs(spark, sf_dir, True, "sleep_stage")
     code = F.lit(40001) + F.pmod(F.col("k"), F.lit(4))
-    sleep.select(
+    rows_of("sleep_stage").select(
         sheet_time(F.col("start_ms")).alias("start_time"), sheet_time(F.col("end_ms")).alias("end_time"), code.alias("stage")
     ).write.option("header", True).csv(f"{root}/{SLEEP_STAGE_CSV}")
     return root
@@ -417,6 +425,32 @@ def m03(spark, sf_dir):
     return record_source.load_windows(record_source.scan_records(spark, store, layout="lines")).select("device", *RUN_COLUMNS)
 
 
+_PARITY = b._cte(b.OBS.replace("cast(user_id AS VARCHAR) AS device", "CASE WHEN user_id % 2 = 0 THEN 'watch' ELSE 'ring' END AS device"))
+_VALUES = [
+    "heart_rate_bpm", "heart_rate_bpm_min", "heart_rate_bpm_max", "heart_rate_bins", "hrv_proxy_bpm", "hrv_proxy_windows", "hrv_sdnn_ms",
+    "hrv_rmssd_ms", "stress_readings", "stress_score", "stress_score_min", "stress_score_max", "sleep_stage_segments",
+]
+
+
+@register(
+    "m03_two_exports",
+    b.windows_sql(_PARITY)
+    + f"""SELECT device, canonical_index, start_ms, end_ms, {', '.join(f'present_{m}' for m in MODALITIES)}, {', '.join(_VALUES)},
+       sleep_stage_stage_codes, sleep_stage_dominant_stage::VARCHAR AS sleep_stage_dominant_stage FROM win""",
+)
+def m03_two_exports(spark, sf_dir):
+    """Two devices with an export each in one store, and one of the runs a second time: nothing is lost or doubled."""
+    store = scratch_path(spark, "store")
+    for part, device, now in ((0, "watch", 1), (1, "ring", 2), (0, "watch", 3)):
+        jobs.produce(spark, write_export(spark, sf_dir, part), store, device, now, offset_mode="utc").collect()
+    loaded = record_source.parse_windows(record_source.scan_records(spark, store, layout="lines", ordered=False))
+    codes = F.array_join(F.transform("sleep_stage_stage_codes", lambda c: c.cast("string")), ",")
+    return loaded.select(
+        "device", "canonical_index", "start_ms", "end_ms", *[f"present_{m}" for m in MODALITIES], *_VALUES,
+        codes.alias("sleep_stage_stage_codes"), "sleep_stage_dominant_stage",
+    )
+
+
 @register(
     "m02_compaction",
     b.rollup_sql(signals=b.SIGNALS_SHARED)

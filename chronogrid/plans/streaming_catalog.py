@@ -196,3 +196,24 @@ def j08(spark, sf_dir):
 def j09(spark, sf_dir):
     rows = b.table(spark, sf_dir, "events").select("user_id", F.timestamp_millis(b.utc_ms(F.col("ts"))).alias("ts"))
     return jobs.sessions(rows, "user_id", "2 hours")
+
+
+@register(
+    "j09_session_stream",
+    f"""WITH marked AS (SELECT user_id, {EV} AS ms, CASE WHEN {EV} - lag({EV}) OVER w < 7200000 THEN 0 ELSE 1 END AS fresh
+          FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS s FROM marked),
+        closed AS (SELECT user_id, min(ms) AS start_ms, max(ms) + 7200000 AS end_ms, count(*) AS events FROM grouped GROUP BY user_id, s)
+        SELECT * FROM closed WHERE end_ms <= (SELECT max(ms) FROM marked) - 600000""",
+)
+def j09_stream(spark, sf_dir):
+    """The same sessions from a stream in append mode: a session appears once, when the watermark has passed its end."""
+    rows = b.table(spark, sf_dir, "events").select("user_id", F.timestamp_millis(b.utc_ms(F.col("ts"))).alias("ts"))
+    low, high = rows.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
+    path, out = scratch_path(spark, "inbox"), scratch_path(spark, "sessions")
+    for part in range(4):  # one file after the other, so that the batches come in the order of time
+        share = F.floor((F.unix_millis("ts") - F.lit(low)) * 4 / F.lit(high - low + 1))
+        rows.where(share == part).coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.read_inbox(spark, path, rows.schema, files_per_batch=1)
+    jobs.drain_to_files(jobs.sessions(stream, "user_id", "2 hours", "10 minutes"), out, scratch_path(spark, "mark"))
+    return spark.read.parquet(out)
