@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronogrid.functions import vectors
 from chronogrid.functions.numbers import round_stable
 from chronogrid.functions.timefn import floor_index
 from chronogrid.operators.grid import last_index
-from chronogrid.operators.ordered import with_group_position
+from chronogrid.operators.ordered import CHUNK, previous_in_chunks, range_chunks
 
 DAY_MS = 86_400_000
 
@@ -60,12 +60,11 @@ def regime_frequency(rows: DataFrame, regime: str) -> DataFrame:
     counts = rows.where("period is not null").groupBy(regime).agg(
         F.count_if(F.col("period") == "baseline").alias("before"), F.count_if(F.col("period") == "experiment").alias("during")
     )
-    totals = counts.agg(F.sum("before").alias("_before"), F.sum("during").alias("_during"))
-    joined = counts.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one")
-    return joined.select(
+    totals = counts.agg(F.sum("before").alias("before"), F.sum("during").alias("during"))
+    return counts.select(
         regime, "before", "during",
-        round_stable(F.col("before") / F.col("_before"), 4).alias("before_share"),
-        round_stable(F.col("during") / F.col("_during"), 4).alias("during_share"),
+        round_stable(F.col("before") / totals.select("before").scalar(), 4).alias("before_share"),
+        round_stable(F.col("during") / totals.select("during").scalar(), 4).alias("during_share"),
     )
 
 
@@ -79,12 +78,25 @@ def distribution_distance(rows: DataFrame, value: Column, label: str = "bucket")
 
 
 def runs(rows: DataFrame, key: str, order: list[str], label: str, at: str = "start_ms") -> DataFrame:
-    """Runs of equal labels along each key (gaps and islands), without sorting a key in one task."""
-    placed = with_group_position(rows, [key], order, "_in_key")
-    both = with_group_position(placed, [key, label], order, "_in_label")
-    return both.groupBy(key, label, (F.col("_in_key") - F.col("_in_label")).alias("_island")).agg(
+    """Runs of equal labels along each key (gaps and islands), without sorting a key in one task.
+
+    The rows are spread by (key, order) once. A row starts a run when the label
+    changes; the other rows take the last start before them, in their own chunk
+    or, from one row per chunk, in those before it.
+    """
+    chunked = range_chunks(rows.select(*dict.fromkeys([key, label, *order, at])), [key, *order])
+    linked = previous_in_chunks(chunked, [key], order, [label])
+    opens = F.col("prev").isNull() | ~F.col(label).eqNullSafe(F.col(f"prev.{label}"))
+    marked = linked.withColumn("_start", F.when(opens, F.struct(key, *order)))
+    so_far = Window.partitionBy(CHUNK, key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = marked.withColumn("_run", F.last("_start", ignorenulls=True).over(so_far))
+    tails = placed.groupBy(CHUNK).agg(F.max_by("_run", F.struct(key, *order)).alias("_tail"))
+    earlier = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    carried = tails.select(CHUNK, F.last("_tail", ignorenulls=True).over(earlier).alias("_carried"))
+    joined = placed.join(F.broadcast(carried), CHUNK, "left")
+    return joined.groupBy(key, label, F.coalesce("_run", "_carried").alias("_run")).agg(
         F.min(at).alias("from_ms"), F.max(at).alias("to_ms"), F.count(F.lit(1)).alias("length")
-    ).drop("_island")
+    ).drop("_run")
 
 
 def regimes(rows: DataFrame, vector: str, k: int, seed: int) -> tuple[DataFrame, float]:
