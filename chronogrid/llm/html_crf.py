@@ -47,7 +47,12 @@ CLOSES_P = set(
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("ul ol dl table body article section div nav aside main form select".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A comment, a declaration, or a tag whose quoted values may hold ">"; with an odd quote the tag ends at the next ">".
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>"
+    r"|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']+|\"[^\"]*\"|'[^']*')*+(?=>)|[^<>]*)>",
+    re.S,
+)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PIECE = re.compile(r"[a-z]+")
 
