@@ -128,12 +128,17 @@ def mean_backend(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @register(
     "k02_swapped_backend",
-    f"""SELECT vec_id, {b.rnd('list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / 64', 6)} AS mean FROM embeddings""",
+    f"""SELECT vec_id, {b.rnd('list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / 64', 6)} AS mean, """
+    + ", ".join(f"{b.rnd(f'list_sum(list_transform(embedding[{8 * i + 1}:{8 * i + 8}], lambda x: x::DOUBLE)) / 8', 6)} AS z{i}" for i in range(8))
+    + " FROM embeddings",
 )
 def k02(spark, sf_dir):
     rows = vectors_of(spark, sf_dir).select("vec_id", F.col("embedding").alias("features"))
     scored = emb.score(rows, mean_backend)
-    return scored.select("vec_id", round_stable(F.col("reconstruction")[0], 6).alias("mean"))
+    return scored.select(
+        "vec_id", round_stable(F.col("reconstruction")[0], 6).alias("mean"),
+        *[round_stable(F.col("embedding")[i], 6).alias(f"z{i}") for i in range(8)],
+    )
 
 
 @register("l03_training_curve")

@@ -624,9 +624,14 @@ def g04(spark, sf_dir):
     return state.run_difference(left, changed.select("source", "lang", "n_chars", F.lit(2).alias("ingested_ms")))
 
 
-@register("g04_window_rerun", "SELECT 'x' AS device, 0::BIGINT AS canonical_index, 0.0::DOUBLE AS bpm, 0::BIGINT AS bins, 0::BIGINT AS surplus FROM events WHERE false")
+@register(
+    "g04_window_rerun",
+    f"""WITH {b.SIGNALS_SHARED}, dedup AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device, start_ms // 60000,
+            round(bpm, 3), round(bpm_min, 3), round(bpm_max, 3) ORDER BY start_ms, end_ms, seq) AS rn FROM bins) WHERE rn = 1)
+        SELECT count(DISTINCT start_ms // 60000) AS windows, count(*) AS bins, 0::BIGINT AS differing FROM dedup""",
+)
 def g04_rerun(spark, sf_dir):
-    """Window payloads do not depend on the order in which bins arrive."""
+    """Window payloads do not depend on the order in which bins arrive: size of one run, rows that differ in the other."""
 
     def run(rows):
         payload = signals.hr_payload(F.col("bpm"), F.col("bpm_min"), F.col("bpm_max"))
@@ -634,7 +639,9 @@ def g04_rerun(spark, sf_dir):
         return keyed.groupBy("device", "canonical_index").agg(payload["bpm"].alias("bpm"), payload["bins"].alias("bins"))
 
     rows = b.bins(spark, sf_dir, shared=True)
-    return state.run_difference(run(rows), run(rows.repartition(7, "bpm")))
+    first = run(rows)
+    differing = state.run_difference(first, run(rows.repartition(7, "bpm"))).agg(F.count(F.lit(1))).scalar()
+    return first.agg(F.count(F.lit(1)).alias("windows"), F.sum("bins").alias("bins")).select("windows", "bins", differing.alias("differing"))
 
 
 @register(
