@@ -30,14 +30,6 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return rows.select("path", F.col("length").alias("bytes"), F.unix_millis("modificationTime").alias("modified_ms"))
 
 
-def hashed_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return rows.select(
-        "path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"),
-        F.unix_millis("modificationTime").alias("modified_ms"),
-    )
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Ask the file system for one path; nothing is listed."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
