@@ -34,12 +34,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     current = cut_lineage(
         edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     )
-    seen = None
-    while True:
-        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == seen:
-            return current.select(F.col("a").alias("vertex"), F.col("b").alias("root")).union(
-                current.select(F.col("b").alias("vertex"), F.col("b").alias("root")).distinct()
-            )
-        seen = state
+    while not _all_stars(current):
         current = cut_lineage(_small_star(_large_star(current)))
+    leaves = current.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
+    return leaves.union(current.select(F.col("b").alias("vertex"), F.col("b").alias("root")).distinct())
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """No vertex has two smaller neighbours, and none has both a smaller and a larger one."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    tied = ends.groupBy("v").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return tied.where("below > 1 or (below = 1 and above = 1)").limit(1).count() == 0

@@ -22,7 +22,7 @@ def plain(rows, edits=2, min_chars=20):
     places = {}
     for key, text in sorted(rows):
         for at, raw in enumerate((text or "").split("\n")):
-            line = raw.strip(" \t\r")
+            line = raw.strip(" ")
             if text is not None and len(line) >= min_chars:
                 places.setdefault(line, []).append((key, at))
     lines = list(places)
@@ -96,6 +96,18 @@ def test_large_group_of_near_copies(make_docs):
     assert got == plain(rows)
 
 
+def test_crowded_segment_with_strangers_and_neighbours(make_docs):
+    """A hundred lines share head and tail; their middles are strangers, but for some that are an edit or two apart."""
+    rng = random.Random(12)
+    head, tail = "the first part of this line " * 2, " and so it ends as all others do here"
+    middles = ["".join(rng.choices("abcdefghij", k=9)) for _ in range(70)]
+    middles += [mutated(rng, m, rng.choice([1, 2])) for m in middles[:30]] + [mutated(rng, m, 4) for m in middles[30:50]]
+    rows = [(i, head + m + tail) for i, m in enumerate(middles)]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(make_docs(rows)).collect()}
+    assert got == plain(rows)
+
+
 def test_edge_rows(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     out = line_dedup.dedup_lines(docs)
@@ -117,5 +129,5 @@ def test_empty_table(make_docs):
 
 def test_repeats_inside_a_document(make_docs):
     line = "this line is said twice in here"
-    got = line_dedup.dedup_lines(make_docs([(1, f"{line}\nother\n  {line}\t\nother")])).collect()
+    got = line_dedup.dedup_lines(make_docs([(1, f"{line}\nother\n  {line}\t\nother\n{line} ")])).collect()
     assert got[0]["text"] == f"{line}\nother\nother"

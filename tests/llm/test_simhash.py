@@ -105,3 +105,24 @@ def test_blocks_give_the_same_print(monkeypatch):
     whole = simhash.simhash(text)
     monkeypatch.setattr(simhash, "BLOCK", 100)
     assert simhash.simhash(text) == whole == plain_print(text)
+
+
+def test_components_of_random_graphs_and_long_paths(spark):
+    from chronogrid.llm.components import components
+
+    rng = random.Random(5)
+    graphs = [[(i, i + 1) for i in range(60)], [(0, 0)], [(rng.randrange(80), rng.randrange(80)) for _ in range(70)], [(9, i) for i in range(30)]]
+    for edges in graphs:
+        parent = {v: v for e in edges for v in e if e[0] != e[1]}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in edges:
+            if x != y:
+                x, y = find(x), find(y)
+                parent[max(x, y)] = min(x, y)
+        got = dict(map(tuple, components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
+        assert got == {v: find(v) for v in parent}
