@@ -223,9 +223,10 @@ def _strangers(members: DataFrame, edits: int) -> DataFrame:
     both = met(members.where("r <> main"), owners).unionByName(met(members.where("r = main"), owners.where("ro <> main")))
     ha, hb = F.least("h", "o"), F.greatest("h", "o")
     la, lb = [F.when(F.col("h") == h, F.col("line")).otherwise(F.col("lo")) for h in (ha, hb)]
-    return both.select(
+    named = both.select(
         ha.alias("a"), hb.alias("b"), ha.alias("ha"), _second_hash(la).alias("ga"), hb.alias("hb"), _second_hash(lb).alias("gb")
-    ).distinct()
+    )
+    return stored(named.distinct(), "strangers")  # read twice: compared once
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
