@@ -28,7 +28,7 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 SPLIT_BYTES = 4 << 20
 CHUNK = 1 << 16
-HEAD_LIMIT = 1 << 20
+DECODED_CHUNK = 1 << 20
 MIN_REVISIT_BYTES = 100
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _LINE = str.maketrans({"\r": " ", "\n": " "})
@@ -124,25 +124,32 @@ def _whole(value: object) -> int | None:
 
 
 def _decoded(stream: BinaryIO, at: int) -> Iterator[bytes]:
-    """Chunks of the gzip member at ``at``; ends at the member's end, raises zlib.error on anything else."""
+    """Chunks of the gzip member at ``at``; ends at the member's end, raises zlib.error on anything else.
+
+    A chunk is bounded however far its bytes expand; what is not yet decoded comes before further bytes.
+    """
     stream.seek(at)
     opener = zlib.decompressobj(31)
     while not opener.eof:
-        data = stream.read(CHUNK)
+        data = opener.unconsumed_tail or stream.read(CHUNK)
         if not data:
             raise zlib.error("the member is cut off")
-        yield opener.decompress(data)
+        yield opener.decompress(data, DECODED_CHUNK)
 
 
 def read_header(stream: BinaryIO, at: int) -> tuple[dict[str, str], bytes, Iterator[bytes]] | None:
-    """Header fields, the body bytes decoded so far and the rest; None when no WARC record starts at ``at``."""
+    """Header fields, the body bytes decoded so far and the rest; None when no WARC record starts at ``at``.
+
+    Only the first bytes can turn a candidate down, so neither a long header nor a long body is taken for none.
+    """
     chunks, seen = _decoded(stream, at), b""
     try:
         for chunk in chunks:
+            searched = max(len(seen) - 3, 0)
             seen += chunk
-            if seen[: len(VERSION)] != VERSION[: len(seen)] or len(seen) > HEAD_LIMIT:
+            if seen[: len(VERSION)] != VERSION[: len(seen)]:
                 return None
-            end = seen.find(b"\r\n\r\n")
+            end = seen.find(b"\r\n\r\n", searched)
             if end >= 0:
                 fields = {}
                 for line in seen[len(VERSION) : end].split(b"\r\n"):
@@ -247,6 +254,17 @@ def read_archives(
     return spread.mapInPandas(work, schema)
 
 
+def all_read(found: DataFrame, archives: DataFrame) -> DataFrame:
+    """``found`` when it has as many rows of every archive as were written there, else an error; both are read twice."""
+    counts = found.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    both = archives.select("path", "records").join(counts, "path", "full")
+    n, records = F.coalesce("n", F.lit(0)), F.coalesce("records", F.lit(0))
+    wrong = both.where(n != records).select("path", n.alias("n"), records.alias("records")).first()
+    if wrong is not None:
+        raise ValueError(f"{wrong['n']} of {wrong['records']} records came back from {wrong['path']}")
+    return found
+
+
 def _number(text: str | None) -> int | None:
     return int(text) if text is not None else None
 
@@ -265,8 +283,9 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     that key are responses too, and so are rows without a key among equals
     without one. Rows with a null key are written without an id and come back
     with a null one. An empty table writes nothing. Other columns are not read.
+    An archive that gives back more or fewer records than it holds is an error.
     """
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
     archives = write_archives(pages, folder, key, url, html)
-    return read_archives(spark, archives, folder).drop("url")
+    return all_read(stored(read_archives(spark, archives, folder).drop("url"), "records"), archives)

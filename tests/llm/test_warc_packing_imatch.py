@@ -85,6 +85,30 @@ def test_warc_damaged_record_is_an_error():
         list(warc.records_in(io.BytesIO(member[:-9]), 0, len(member)))
 
 
+def test_warc_long_pages_of_repeated_lines(spark):
+    """The first bytes of such a page expand to megabytes; a header may be long as well."""
+    lines = [f"<li>line {i} of a long list</li>\n" for i in range(100)]
+    page = "".join(lines[i % 100] for i in range(90_000))
+    member = warc.record(1, "http://a/" + "x" * 3_000_000, page.encode(), "d")
+    (whole,) = warc.records_in(io.BytesIO(member), 0, len(member), keep_payload=True)
+    assert whole["payload"] == page.encode() and len(whole["fields"]["warc-target-uri"]) == 3_000_009
+    rows = [(1, "u", page, "d", "p"), (2, "u", page, "d", "p"), (3, "u", page + "end", "d", "p")]
+    found = {r["page_id"]: r for r in warc.round_trip(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {k: (r["record_type"], r["refers_to"]) for k, r in found.items()} == {
+        1: ("response", None), 2: ("revisit", 1), 3: ("response", None),
+    }
+    assert [found[k]["payload_bytes"] for k in (1, 2, 3)] == [len(page), len(page), len(page) + 3]
+
+
+def test_warc_records_that_do_not_come_back_are_an_error(spark, odd_pages, tmp_path):
+    archives = warc.write_archives(odd_pages[1].coalesce(1), f"file://{tmp_path}")
+    found = warc.read_archives(spark, archives, f"file://{tmp_path}")
+    assert warc.all_read(found, archives).count() == len(odd_pages[0])
+    for wrong in (found.where("page_id <> 6"), found.where("false"), found.union(found)):
+        with pytest.raises(ValueError):
+            warc.all_read(wrong, archives)
+
+
 def test_warc_empty_table(odd_pages):
     assert warc.round_trip(odd_pages[1].where("false")).collect() == []
 
