@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,8 @@ MAX_TOKENS = 4096
 END_ID = 2
 CACHE_WORDS = 600_000
 BLOCK_WORDS = 200_000
+BLOCK_IDS = 1 << 20
+BLOCK_ROWS = 500
 
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 # Latin letters whose lower case does not depend on their neighbours, then marks that no contraction begins with
@@ -125,27 +127,67 @@ def pieces(
     longest: int = MAX_TOKENS,
     with_ids: bool = True,
 ) -> DataFrame:
-    """(key, start, length, ids_crc32, doc_tokens[, ids]): the pieces of every document."""
+    """(key, start, length, ids_crc32, doc_tokens[, ids]): the pieces of every document, their ids as bytes."""
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest has to be a power of two")
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = dict(rows.dtypes)["k"]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        narrow = _narrow(encoder(name).tokenizer.get_vocab_size())
         for batch in batches:
-            out = []
-            for k, t in zip(batch["k"].array, batch["t"]):
-                ids, start = token_ids(t, name), 0
+            rows, held, n_held = [], [], 0
+            for at, t in enumerate(batch.column(1)):
+                ids, start = token_ids(t.as_py(), name), 0
                 for length in piece_lengths(len(ids), longest):
                     part = ids[start : start + length]
-                    out.append((k, start, length, zlib.crc32(part.tobytes()), len(ids), part if with_ids else None))
+                    rows.append((at, start, length, zlib.crc32(part.tobytes()), len(ids)))
+                    if with_ids:
+                        held.append(part.astype(narrow).tobytes())
                     start += length
-            frame = pd.DataFrame(out, columns=["k", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-            frame["k"] = frame["k"].astype(batch["k"].dtype)
-            yield frame if with_ids else frame.drop(columns="ids")
+                n_held += len(ids)
+                if n_held > BLOCK_IDS:
+                    yield _piece_batch(batch.column(0), rows, held)
+                    rows, held, n_held = [], [], 0
+            if rows:
+                yield _piece_batch(batch.column(0), rows, held)
 
     schema = f"k {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    return rows.mapInPandas(work, schema + (", ids array<bigint>" if with_ids else "")).withColumnRenamed("k", key)
+    return rows.mapInArrow(work, schema + (", ids binary" if with_ids else "")).withColumnRenamed("k", key)
+
+
+def _narrow(size: int) -> str:
+    """Little-endian type of the ids on their way through the sort: two bytes where all of ``size`` ids fit."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _piece_batch(keys: pa.Array, rows: list[tuple], held: list[bytes]) -> pa.RecordBatch:
+    """The pieces of some documents, with their ids as bytes if ``held`` has any."""
+    at, *numbers = np.array(rows, np.int64).T
+    columns = {"k": keys.take(pa.array(at))} | {n: pa.array(c) for n, c in zip(["start", "length", "ids_crc32", "doc_tokens"], numbers)}
+    if held:
+        columns["ids"] = pa.array(held, pa.binary())
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _with_lists(packed: DataFrame, name: str) -> DataFrame:
+    """``ids`` as lists again, with length and ids_crc32 taken from them, in the order and the partitions of ``packed``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = _narrow(encoder(name).tokenizer.get_vocab_size())
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(at, BLOCK_ROWS)
+                parts = [np.frombuffer(b.as_buffer(), kind).astype("<u4") for b in batch.column("ids")]
+                ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+                columns = {n: batch.column(n) for n in batch.schema.names}
+                columns["length"] = pa.array(np.diff(ends).astype(np.int64))
+                columns["ids_crc32"] = pa.array([zlib.crc32(part) for part in parts], pa.int64())
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view("<i4")))
+                yield pa.RecordBatch.from_pydict(columns)
+
+    fields = [f"`{n}` {'array<int>' if n == 'ids' else t}" for n, t in packed.dtypes]
+    return packed.mapInArrow(work, ", ".join(fields))
 
 
 def pack(
@@ -173,4 +215,4 @@ def pack(
         F.lit(0).cast("bigint").alias("offset"),
         *(["ids"] if with_ids else []),
     )
-    return numbered
+    return _with_lists(numbered, name) if with_ids else numbered

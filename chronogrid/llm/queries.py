@@ -19,7 +19,7 @@ from chronogrid.llm import (
     url_filter,
     warc,
 )
-from chronogrid.llm.common import held_out, table
+from chronogrid.llm.common import held_out, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,7 +75,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return stored(packing.pack(table(spark, sf_dir, "documents")), "sequences").drop("ids")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

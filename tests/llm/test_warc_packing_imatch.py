@@ -10,7 +10,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from chronogrid.llm import imatch, packing, warc
+import corpus_pipeline
+from chronogrid.llm import imatch, packing, queries, warc
+from chronogrid.llm.common import stored
 
 PAGES = "page_id bigint, url string, html string, digest string, path string"
 BIG = "<p>" + "payload " * 20 + "</p>"
@@ -148,6 +150,35 @@ def test_packing_full_store_and_blocks(monkeypatch):
     assert ids.tolist() == plain_ids(text).tolist() and len(encoder.known) == 3
 
 
+def test_packing_query_and_pipeline_hold_the_ids(spark, make_docs, odd_rows, monkeypatch):
+    docs = make_docs(odd_rows)
+    expected = sorted((r[0], plain_ids(r[1]).tolist()) for r in odd_rows if r[0] is not None)
+    last = corpus_pipeline.packing_stage(spark, docs.where("doc_id is not null"), "")
+    ids = {}
+    for r in last.orderBy("sequence_id").collect():
+        ids.setdefault((r["doc_id"], r["start"]), []).append(list(r["ids"]))
+    assert ids[6, 0][0] + ids[6, 4096][0] == dict(expected)[6][:8192]
+    assert ids[3, 0] == [[2]] and len(ids[2, 0]) == 2
+    monkeypatch.setattr(packing, "BLOCK_IDS", 5)
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    packed = []
+
+    def seen(rows, label):
+        packed.append(stored(rows, label))
+        return packed[0]
+
+    monkeypatch.setattr(queries, "stored", seen)
+    found = queries.op9_packing(spark, "").collect()
+    assert "ids" in packed[0].columns
+    parts = {r["sequence_id"]: r for r in packed[0].collect()}
+    assert len(found) == len(parts)
+    for r in found:
+        part = parts[r["sequence_id"]]
+        assert r["length"] == len(part["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(part["ids"], "<u4").tobytes())
+        assert (r["doc_id"], r["start"], r["ids_crc32"]) == (part["doc_id"], part["start"], part["ids_crc32"])
+    assert sum(r["length"] for r in found) == sum(len(plain_ids(r[1])) for r in odd_rows)
+
+
 def test_packing_empty_table(make_docs):
     assert packing.pack(make_docs([])).collect() == []
 
