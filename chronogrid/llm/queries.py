@@ -18,6 +18,7 @@ from chronogrid.llm import (
     simhash,
     url_filter,
     warc,
+    whitening,
 )
 from chronogrid.llm.common import held_out, stored, table
 
@@ -82,6 +83,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -95,6 +100,7 @@ QUERIES: dict[str, Query] = {
         op8_html_extraction,
         op9_packing,
         op10_url_filter,
+        op13_embedding_whitening,
     )
 }
 
