@@ -130,17 +130,17 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
 f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS response FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> response THEN response END AS refers_to FROM f""",
-    "op12_prefix_trie": """WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS at,
+    "op12_prefix_trie": """WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
   length(coalesce(role, '')) || '/' || coalesce(role, '') || '/' || coalesce(text, '') AS e, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM conversations WHERE conv_id IS NOT NULL),
 ids AS (SELECT DISTINCT c FROM o),
 steps AS (SELECT c, unnest(range(1, length(CAST(c AS VARCHAR)) + 1)) AS i FROM ids),
 digits AS (SELECT c, list_concat([4294967295::BIGINT], flatten(list([ascii(substr(CAST(c AS VARCHAR), CAST(i AS INTEGER), 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] ORDER BY i))) AS l FROM steps GROUP BY c),
 hs AS (SELECT c, xor(list_reduce(l, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END), 4294967295::BIGINT) % 9 AS h FROM digits),
-t AS (SELECT hs.c, o.at AS part, 0 AS own, e, size FROM hs JOIN o ON o.c = hs.c - hs.c % 5 AND o.at <= h
-  UNION ALL SELECT hs.c, o.at, 1, e, size FROM hs JOIN o ON o.c = hs.c AND o.at > h),
-r AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, part) AS at, e, size FROM t),
-whole AS (SELECT c, list(e ORDER BY at) AS es, list(size ORDER BY at) AS sizes FROM r GROUP BY c),
-m AS (SELECT c, at AS d, list_slice(es, 1, at) AS p, sizes[at] AS size, len(es) = at AS ends FROM (SELECT c, es, sizes, unnest(range(1, len(es) + 1)) AS at FROM whole)
+t AS (SELECT hs.c, o.pos AS part, 0 AS own, e, size FROM hs JOIN o ON o.c = hs.c - hs.c % 5 AND o.pos <= h
+  UNION ALL SELECT hs.c, o.pos, 1, e, size FROM hs JOIN o ON o.c = hs.c AND o.pos > h),
+r AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, part) AS pos, e, size FROM t),
+whole AS (SELECT c, list(e ORDER BY pos) AS es, list(size ORDER BY pos) AS sizes FROM r GROUP BY c),
+m AS (SELECT c, pos AS d, list_slice(es, 1, pos) AS p, sizes[pos] AS size, len(es) = pos AS ends FROM (SELECT c, es, sizes, unnest(range(1, len(es) + 1)) AS pos FROM whole)
   UNION ALL SELECT ids.c, 0, [], 0, whole.c IS NULL FROM ids LEFT JOIN whole ON whole.c = ids.c),
 n AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, max(size) AS size, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '') AS ends FROM m GROUP BY p, d),
 k AS (SELECT n.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM n AS b WHERE b.d = n.d + 1 AND list_slice(b.p, 1, n.d) = n.p) AS n_children
