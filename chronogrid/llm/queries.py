@@ -14,6 +14,7 @@ from chronogrid.llm import (
     language_id,
     line_dedup,
     packing,
+    personal_data,
     prefix_trie,
     quality,
     simhash,
@@ -84,6 +85,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Query] = {
         op8_html_extraction,
         op9_packing,
         op10_url_filter,
+        op11_personal_data,
         op12_prefix_trie,
         op13_embedding_whitening,
     )
