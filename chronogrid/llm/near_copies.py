@@ -25,6 +25,7 @@ SIMILARITY = 0.8
 BANDS = 40
 ROWS = 6
 BLOCK = 512
+ROUNDS = 3
 _salts = np.random.default_rng(5).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint64).astype(np.uint32)
 _SALT, _FACTOR = _salts[0], _salts[1] | np.uint32(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -88,12 +89,25 @@ def _sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return rows.mapInPandas(work, f"k {kind}, s array<bigint>")
 
 
+def _jaccard(a: Column, b: Column) -> Column:
+    common = F.size(F.array_intersect(a, b))
+    return common / (F.size(a) + F.size(b) - common)
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are at least ``similarity`` alike."""
     left = sets.select(F.col("k").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
-    return both.where(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")) >= similarity).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.where(_jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
+
+
+def _placed(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, k, n, root): the members of the band keys that hold members of several groups, with their groups so far."""
+    roots = components(links).select(F.col("vertex").alias("k"), "root")
+    placed = stored(shared.join(roots, "k", "left").select("key", "k", "n", F.coalesce("root", "k").alias("root")), "placed")
+    split = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    return stored(placed.join(split.select("key"), "key", "left_semi"), "open")
 
 
 def near_groups(
@@ -102,38 +116,45 @@ def near_groups(
     """(key, root) of the rows of ``docs`` that are in a group with others; root is the smallest key of the group.
 
     Keys are unique and not null. Texts of equal sets are one, also those
-    without words. Members of a band key are first held against its smallest
-    member, then only those that are still in different groups against each other.
+    without words. In each of a few rounds the members of a band key are held
+    against one member, the smallest first and then others picked by hash, and
+    the groups grow together: as many comparisons as members, however large a
+    crowd is. Only where a key still holds several groups after the rounds are
+    its members compared across groups, by their whole sets inside the join, so
+    that links alone leave it and no link between groups is missed.
     """
     sketches = stored(_sketches(docs, key, text, words), "sketches")
     named = stored(sketches.groupBy("h", "g").agg(F.min("k").alias("node"), F.count(F.lit(1)).alias("copies")), "sets")
     singles = sketches.join(named.select(F.col("node").alias("k")), "k", "left_semi")
     keyed = singles.select("k", "n", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("k").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = stored(keyed.join(heads.select("key", "head"), "key"), "bands")
-    wanted = stored(shared.select("k", "n").distinct(), "wanted")
-    n_wanted = wanted.count()
-    texts = docs.join(small_side(wanted.select(F.col("k").alias(key)), n_wanted), key, "left_semi")
+    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = stored(keyed.join(crowds.select("key"), "key", "left_semi"), "bands")
+    wanted = stored(shared.select("k").distinct(), "wanted")
+    texts = docs.join(small_side(wanted.select(F.col("k").alias(key)), wanted.count()), key, "left_semi")
     sets = stored(_sets(texts, key, text, words), "shingles")
 
     def sizes_fit(m: str, n: str) -> Column:
         return F.least(m, n) >= F.greatest(m, n) * F.lit(similarity * (1 - 1e-9))
 
-    stars = shared.where("k <> head").select(F.col("head").alias("a"), F.col("k").alias("b"), F.col("n").alias("nb")).distinct()
-    stars = stars.join(small_side(wanted.select(F.col("k").alias("a"), F.col("n").alias("na")), n_wanted), "a").where(sizes_fit("na", "nb"))
-    linked = stored(_similar(stars.select("a", "b"), sets, similarity), "near")
-    roots = components(linked).select(F.col("vertex").alias("k"), "root")
-    placed = shared.join(roots, "k", "left").select("key", "k", "n", F.coalesce("root", "k").alias("root"))
-    placed = stored(placed, "placed")
-    split = placed.groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("other")).where("main <> other")
-    crowded = placed.join(split.select("key", "main"), "key")
-    left = crowded.where("root <> main").select("key", F.col("k").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = crowded.select("key", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    met = left.join(right, "key").where((F.col("ra") != F.col("rb")) & sizes_fit("na", "nb"))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    # what was held against a head already and was not alike need not be compared again
-    pairs = pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = linked.unionByName(stored(_similar(pairs, sets, similarity), "strangers"))
+    links = shared.select(F.col("k").alias("a"), F.col("k").alias("b")).where("false")
+    held = shared.withColumn("root", F.col("k"))
+    for turn in range(ROUNDS):
+        order = F.xxhash64("k", F.lit(turn)) if turn else F.col("k")
+        heads = held.groupBy("key").agg(F.min_by(F.struct("k", "n", "root"), order).alias("head"))
+        met = held.join(heads, "key").where((F.col("root") != F.col("head.root")) & sizes_fit("n", "head.n"))
+        a, b = F.least("k", "head.k").alias("a"), F.greatest("k", "head.k").alias("b")
+        links = links.unionByName(stored(_similar(met.select(a, b).distinct(), sets, similarity), "near"))
+        held = _placed(shared, links)
+        if not held.limit(1).count():
+            break
+    crowded = held.join(sets, "k")
+    main = held.groupBy("key").agg(F.min("root").alias("main"))
+    left = crowded.join(main, "key").where("root <> main").select("key", F.col("k").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("s").alias("sa"))
+    right = crowded.select("key", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("s").alias("sb"))
+    other = (F.col("ra") != F.col("rb")) & sizes_fit("na", "nb")
+    alike = F.when(other, _jaccard(F.col("sa"), F.col("sb")) >= similarity).otherwise(F.lit(False))
+    last = left.join(right, (left["key"] == right["key"]) & alike).select("a", "b").distinct()
+    links = links.unionByName(stored(last, "strangers"))
     roots = components(links).select(F.col("vertex").alias("node"), "root")
     grouped = named.join(roots, "node", "left").where("copies > 1 or root is not null")
     tied = grouped.select("h", "g", F.coalesce("root", "node").alias("root"))
