@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronogrid.llm import decontaminate, language_id, line_dedup, near_copies, packing
+from chronogrid.llm import decontaminate, language_id, line_dedup, near_copies, packing, simhash
 from chronogrid.llm.common import stored, table
 
 
@@ -23,8 +23,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies: 0.8 or more of their runs of five words in common."""
-    return near_copies.keep_one(docs)
+    """One document of every group of near copies.
+
+    Fingerprints within three bits come first; they find few of the texts with
+    0.8 of their runs of five words in common, so these are looked for among
+    the documents that stay.
+    """
+    kept = stored(simhash.keep_one(docs), "fingerprints")
+    return near_copies.keep_one(kept)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +46,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("language_id", language_stage),
     ("line_dedup", line_stage),
-    ("near_copies", near_duplicate_stage),
+    ("simhash", near_duplicate_stage),
     ("decontamination", decontamination_stage),
     ("packing", packing_stage),
 ]
