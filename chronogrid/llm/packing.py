@@ -3,8 +3,8 @@
 A document of n ids is cut into whole sequences of the longest length and then
 into the binary digits of the rest, longest first. A piece is a sequence of its
 own: its length is a power of two, so it needs no padding, and no sequence
-holds ids of two documents. Equal lengths lie together, in one run of
-sequence numbers each.
+holds ids of two documents. A length is a bucket: its sequences have numbers of
+their own range, given out where the pieces are made, so no id is shuffled.
 """
 
 from __future__ import annotations
@@ -22,15 +22,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronogrid.llm.common import stored
-
 TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 4096
 END_ID = 2
 CACHE_WORDS = 600_000
 BLOCK_WORDS = 200_000
 BLOCK_IDS = 1 << 20
-BLOCK_ROWS = 500
 
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 # Latin letters whose lower case does not depend on their neighbours, then marks that no contraction begins with
@@ -60,7 +57,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
         self.merges = self.tokenizer.model
         self.symbols = _byte_symbols()
         self.known: dict[str, bytes] = {}
@@ -120,99 +116,67 @@ def piece_lengths(n: int, longest: int = MAX_TOKENS) -> list[int]:
 
 
 def pieces(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    name: str = TOKENIZER,
-    longest: int = MAX_TOKENS,
-    with_ids: bool = True,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = TOKENIZER, longest: int = MAX_TOKENS
 ) -> DataFrame:
-    """(key, start, length, ids_crc32, doc_tokens[, ids]): the pieces of every document, their ids as bytes."""
+    """(key, start, length, ids_crc32, doc_tokens, ids): the pieces of every document; the figures are those of the ids beside them."""
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest has to be a power of two")
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = dict(rows.dtypes)["k"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        narrow = _narrow(encoder(name).tokenizer.get_vocab_size())
         for batch in batches:
             rows, held, n_held = [], [], 0
             for at, t in enumerate(batch.column(1)):
                 ids, start = token_ids(t.as_py(), name), 0
                 for length in piece_lengths(len(ids), longest):
                     part = ids[start : start + length]
-                    rows.append((at, start, length, zlib.crc32(part.tobytes()), len(ids)))
-                    if with_ids:
-                        held.append(part.astype(narrow).tobytes())
+                    rows.append((at, start, len(part), zlib.crc32(part.tobytes()), len(ids)))
+                    held.append(part)
                     start += length
-                n_held += len(ids)
-                if n_held > BLOCK_IDS:
-                    yield _piece_batch(batch.column(0), rows, held)
-                    rows, held, n_held = [], [], 0
+                    n_held += length
+                    if n_held >= BLOCK_IDS:
+                        yield _piece_batch(batch.column(0), rows, held)
+                        rows, held, n_held = [], [], 0
             if rows:
                 yield _piece_batch(batch.column(0), rows, held)
 
-    schema = f"k {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    return rows.mapInArrow(work, schema + (", ids binary" if with_ids else "")).withColumnRenamed("k", key)
-
+    return rows.mapInArrow(
+        work, f"k {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids array<int>"
+    ).withColumnRenamed("k", key)
 
-def _narrow(size: int) -> str:
-    """Little-endian type of the ids on their way through the sort: two bytes where all of ``size`` ids fit."""
-    return "<u2" if size <= 1 << 16 else "<u4"
 
-
-def _piece_batch(keys: pa.Array, rows: list[tuple], held: list[bytes]) -> pa.RecordBatch:
-    """The pieces of some documents, with their ids as bytes if ``held`` has any."""
+def _piece_batch(keys: pa.Array, rows: list[tuple], held: list[np.ndarray]) -> pa.RecordBatch:
+    """The pieces of some documents with their ids as lists."""
     at, *numbers = np.array(rows, np.int64).T
     columns = {"k": keys.take(pa.array(at))} | {n: pa.array(c) for n, c in zip(["start", "length", "ids_crc32", "doc_tokens"], numbers)}
-    if held:
-        columns["ids"] = pa.array(held, pa.binary())
+    ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held).view("<i4")))
     return pa.RecordBatch.from_pydict(columns)
 
 
-def _with_lists(packed: DataFrame, name: str) -> DataFrame:
-    """``ids`` as lists again, with length and ids_crc32 taken from them, in the order and the partitions of ``packed``."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = _narrow(encoder(name).tokenizer.get_vocab_size())
-        for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK_ROWS):
-                batch = whole.slice(at, BLOCK_ROWS)
-                parts = [np.frombuffer(b.as_buffer(), kind).astype("<u4") for b in batch.column("ids")]
-                ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-                columns = {n: batch.column(n) for n in batch.schema.names}
-                columns["length"] = pa.array(np.diff(ends).astype(np.int64))
-                columns["ids_crc32"] = pa.array([zlib.crc32(part) for part in parts], pa.int64())
-                columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view("<i4")))
-                yield pa.RecordBatch.from_pydict(columns)
-
-    fields = [f"`{n}` {'array<int>' if n == 'ids' else t}" for n, t in packed.dtypes]
-    return packed.mapInArrow(work, ", ".join(fields))
-
-
 def pack(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    name: str = TOKENIZER,
-    longest: int = MAX_TOKENS,
-    with_ids: bool = True,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = TOKENIZER, longest: int = MAX_TOKENS
 ) -> DataFrame:
-    """Every piece with sequence_id and offset (always 0).
+    """Every piece with sequence_id, offset (always 0) and its ids.
 
     Null text counts as empty: a document of the closing id alone. Rows with
     equal or null keys are packed each on its own. An empty table gives an
-    empty result. Other columns are not read. sequence_id ascends with falling
-    length, then key and start; it is unique and need not be dense.
+    empty result. Other columns are not read. Names of special tokens in a text
+    become those tokens. sequence_id is unique and need not be dense; all ids of
+    a length lie together, longer ones first. It depends on the files that are
+    read, so the result is to be written once (``stored``) where it is used twice.
     """
-    cut = stored(pieces(docs, key, text, name, longest, with_ids), "pieces")
-    order = [F.col("length").desc(), F.col(key), F.col("start"), F.col("ids_crc32"), F.col("doc_tokens")]
-    sorted_rows = cut.repartitionByRange(*order).sortWithinPartitions(*order)
-    columns = [key, "start", "length", "ids_crc32", "doc_tokens"]
-    numbered = sorted_rows.select(
-        *columns,
-        F.monotonically_increasing_id().alias("sequence_id"),
+    buckets = longest.bit_length()  # one for each of the lengths 1, 2, 4, ... longest
+    bucket = F.lit(buckets) - F.length(F.bin("length"))
+    number = F.monotonically_increasing_id() + F.lit(1 << (63 - buckets.bit_length())) * bucket
+    return pieces(docs, key, text, name, longest).select(
+        key,
+        "start",
+        "length",
+        "ids_crc32",
+        "doc_tokens",
+        number.alias("sequence_id"),
         F.lit(0).cast("bigint").alias("offset"),
-        *(["ids"] if with_ids else []),
+        "ids",
     )
-    return _with_lists(numbered, name) if with_ids else numbered

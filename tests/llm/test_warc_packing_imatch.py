@@ -81,6 +81,26 @@ def test_warc_reader_passes_over_false_magic():
         assert left + right == whole
 
 
+def test_warc_member_inside_a_payload_is_no_record():
+    """A stored (uncompressed) member shows the records in its payload byte by byte."""
+    inner = warc.record(7, "u", b"inner" * 50, "d")
+    head = warc.VERSION + b"WARC-Type: response\r\nX-Page-Id: 1\r\nContent-Length: %d\r\n\r\n" % len(inner)
+    squeezer = zlib.compressobj(0, zlib.DEFLATED, 31)
+    outer = squeezer.compress(head + inner + b"\r\n\r\n") + squeezer.flush()
+    data = outer + warc.record(2, "u", b"next" * 50, "d")
+    assert outer.find(warc.MAGIC, 1) > 0
+    found = list(warc.records_in(io.BytesIO(data), 0, len(data), keep_payload=True))
+    assert [r["fields"]["x-page-id"] for r in found] == ["1", "2"] and found[0]["payload"] == inner
+
+
+def test_warc_reader_has_a_task_for_each_range(spark, tmp_path):
+    rows = [(f"{tmp_path}/{i}", 1 << 22, 0) for i in range(3)]
+    archives = spark.createDataFrame(rows, "path string, bytes bigint, records bigint")
+    found = warc.read_archives(spark, archives, f"file://{tmp_path}", split_bytes=1 << 17)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(path" in plan and ", 96), REPARTITION_BY_NUM" in plan
+
+
 def test_warc_damaged_record_is_an_error():
     member = warc.record(1, "u", b"x" * 5000, "d")
     with pytest.raises(ValueError):
@@ -117,12 +137,12 @@ def test_warc_empty_table(odd_pages):
 
 def plain_ids(text):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    tokenizer.encode_special_tokens = True
     return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
 
 
 def test_packing_round_trip(make_docs, odd_rows):
     rows = odd_rows + [(20, "<|endoftext|> don't STOP Σας İ x\u0301 \u00a0 y"), (21, "\u2028a\x1cb\x85c\u200bd")]
+    rows += [(22, "a<|startoftext|>b <|ENDOFTEXT|> <|endoftext|><|endoftext|>, <| endoftext |>\n<|endoftext|>")]
     found = packing.pack(make_docs(rows)).collect()
     assert len({r["sequence_id"] for r in found}) == len(found)
     assert all(r["offset"] == 0 and r["length"] & (r["length"] - 1) == 0 and r["length"] <= 4096 for r in found)
@@ -179,6 +199,20 @@ def test_packing_query_and_pipeline_hold_the_ids(spark, make_docs, odd_rows, mon
     assert sum(r["length"] for r in found) == sum(len(plain_ids(r[1])) for r in odd_rows)
 
 
+def test_special_tokens_are_those_of_the_plain_call():
+    assert packing.token_ids("<|endoftext|> a").tolist() == [49407, 320, 2]
+    rng = random.Random(8)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", " ", "\n", "a", "B.", "é", "12"]
+    for _ in range(400):
+        text = "".join(rng.choices(parts, k=12))
+        assert packing.token_ids(text).tolist() == plain_ids(text).tolist(), text
+
+
+def test_packing_shuffles_nothing(make_docs):
+    plan = packing.pack(make_docs([(1, "a b c")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
 def test_packing_empty_table(make_docs):
     assert packing.pack(make_docs([])).collect() == []
 
