@@ -123,28 +123,39 @@ def _whole(value: object) -> int | None:
     return None if value is None or value != value else int(value)
 
 
-def _decoded(stream: BinaryIO, at: int) -> Iterator[bytes]:
-    """Chunks of the gzip member at ``at``; ends at the member's end, raises zlib.error on anything else.
+class Member:
+    """The gzip member at ``at``: iterating gives its decoded chunks, after which ``end`` is where it ends.
 
-    A chunk is bounded however far its bytes expand; what is not yet decoded comes before further bytes.
+    Raises zlib.error on anything else. A chunk is bounded however far its bytes
+    expand; what is not yet decoded comes before further bytes.
     """
-    stream.seek(at)
-    opener = zlib.decompressobj(31)
-    while not opener.eof:
-        data = opener.unconsumed_tail or stream.read(CHUNK)
-        if not data:
-            raise zlib.error("the member is cut off")
-        yield opener.decompress(data, DECODED_CHUNK)
 
+    def __init__(self, stream: BinaryIO, at: int):
+        self.end = at
+        self.chunks = self._decoded(stream, at)
 
-def read_header(stream: BinaryIO, at: int) -> tuple[dict[str, str], bytes, Iterator[bytes]] | None:
+    def __iter__(self) -> Iterator[bytes]:
+        return self.chunks
+
+    def _decoded(self, stream: BinaryIO, at: int) -> Iterator[bytes]:
+        stream.seek(at)
+        opener = zlib.decompressobj(31)
+        while not opener.eof:
+            data = opener.unconsumed_tail or stream.read(CHUNK)
+            if not data:
+                raise zlib.error("the member is cut off")
+            yield opener.decompress(data, DECODED_CHUNK)
+        self.end = stream.tell() - len(opener.unused_data)
+
+
+def read_header(stream: BinaryIO, at: int) -> tuple[dict[str, str], bytes, Member] | None:
     """Header fields, the body bytes decoded so far and the rest; None when no WARC record starts at ``at``.
 
     Only the first bytes can turn a candidate down, so neither a long header nor a long body is taken for none.
     """
-    chunks, seen = _decoded(stream, at), b""
+    member, seen = Member(stream, at), b""
     try:
-        for chunk in chunks:
+        for chunk in member:
             searched = max(len(seen) - 3, 0)
             seen += chunk
             if seen[: len(VERSION)] != VERSION[: len(seen)]:
@@ -157,7 +168,7 @@ def read_header(stream: BinaryIO, at: int) -> tuple[dict[str, str], bytes, Itera
                     if not colon:
                         return None
                     fields[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-                return (fields, seen[end + 4 :], chunks) if fields.get("content-length", "").isdigit() else None
+                return (fields, seen[end + 4 :], member) if fields.get("content-length", "").isdigit() else None
     except zlib.error:
         return None
     return None
@@ -198,11 +209,11 @@ def records_in(stream: BinaryIO, start: int, end: int, keep_payload: bool = Fals
             raise ValueError(f"the record at byte {at} is damaged: {error}") from error
         if got != length:
             raise ValueError(f"the record at byte {at} has {got} of {length} bytes")
-        free = at + 1
+        free = max(rest.end, at + 1)
         yield {"fields": fields, "length": length, "digest": digest.hexdigest(), "payload": b"".join(kept), "at": at}
 
 
-def _chained(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
+def _chained(first: bytes, rest: Member) -> Iterator[bytes]:
     yield first
     yield from rest
 
@@ -216,7 +227,9 @@ def read_archives(
         F.col("bytes").alias("size"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint"))).alias("start"),
     )
-    spread = ranges.repartition("path", "start")
+    # as many tasks as there are ranges' worth of bytes: a number that adaptive execution does not merge, though the rows are tiny
+    total = archives.agg(F.sum("bytes")).first()[0] or 0
+    spread = ranges.repartition(max(-(-total // split_bytes), 1), "path", "start")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, _ = filesystem(folder)
