@@ -233,7 +233,8 @@ def train(
         )
 
     found = sample.mapInPandas(featured, "k string, y int, f binary")
-    got = found.coalesce(1).mapInPandas(fitted, "w binary, r binary, a double, b double").first()
+    # only the bounded sample moves; the texts are read and cut into features where they lie
+    got = found.repartition(1).mapInPandas(fitted, "w binary, r binary, a double, b double").first()
     if got is None:
         return fit_rows([], np.zeros(0))
     return QualityModel(np.frombuffer(got["w"], "<f8"), np.frombuffer(got["r"], "<f8"), got["a"], got["b"])
