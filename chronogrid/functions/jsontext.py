@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# what text that is no JSON, or is nested beyond what the parser takes, raises: such text counts as none
+UNREADABLE = (TypeError, ValueError, RecursionError)
+
+
 def canonical_json(text: Column) -> Column:
     """Key-sorted compact JSON, built by the engine."""
     return F.to_json(F.try_parse_json(text))
@@ -26,7 +30,7 @@ def canonical_json_exact(texts: pd.Series) -> pd.Series:
     def one(text):
         try:
             return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
-        except (TypeError, ValueError):
+        except UNREADABLE:
             return None
 
     return texts.map(one)
@@ -58,10 +62,9 @@ def json_facts(texts: pd.Series) -> pd.DataFrame:
     for text in texts:
         try:
             value = json.loads(text)
-        except (TypeError, ValueError):
+            rows.append((json.dumps(value, sort_keys=True, separators=(",", ":")), *_measure(value)))
+        except UNREADABLE:
             rows.append((None, None, None))
-            continue
-        rows.append((json.dumps(value, sort_keys=True, separators=(",", ":")), *_measure(value)))
     return pd.DataFrame(rows, columns=["canonical", "depth", "scalars"]).astype({"depth": "Int64", "scalars": "Int64"})
 
 
@@ -72,7 +75,7 @@ def pretty_size(texts: pd.Series) -> pd.Series:
     def one(text):
         try:
             return len(json.dumps(json.loads(text), indent=2, sort_keys=True, ensure_ascii=False))
-        except (TypeError, ValueError):
+        except UNREADABLE:
             return None
 
     return texts.map(one).astype("Int64")

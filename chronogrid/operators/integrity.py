@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronogrid.functions.jsontext import canonical_json
 from chronogrid.operators.ordered import with_previous
-from chronogrid.session import cut_lineage
+from chronogrid.operators.reach import between_cycles, distances
 
 # Lifecycle moves that are allowed.
 ALLOWED_TRANSITIONS = (
@@ -34,38 +34,18 @@ def orphans(edges: DataFrame, artifacts: DataFrame, artifact_id: str = "artifact
 def invalidated(edges: DataFrame, deleted: DataFrame) -> DataFrame:
     """Everything that depends, directly or not, on deleted artifacts: artifact_id, depth.
 
-    The frontier grows by one join per level. Each level is checkpointed, so a
-    deep graph keeps a short plan and a lost executor costs one level only.
+    Long single-file stretches take a logarithmic number of rounds (``reach``).
     """
-    pairs = edges.select("child_id", "parent_id").distinct()
-    seen = cut_lineage(deleted.select("artifact_id").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
-    while True:
-        depth += 1
-        next_ids = (
-            pairs.join(frontier.select(F.col("artifact_id").alias("parent_id")), "parent_id", "left_semi")
-            .select(F.col("child_id").alias("artifact_id")).distinct()
-            .join(seen, "artifact_id", "left_anti").withColumn("depth", F.lit(depth))
-        )
-        frontier = cut_lineage(next_ids)
-        if not frontier.head(1):
-            return seen.where("depth > 0")
-        seen = cut_lineage(seen.unionByName(frontier))
+    found = distances(edges, deleted.select(F.col("artifact_id").alias("node")))
+    return found.where("depth > 0").select(F.col("node").alias("artifact_id"), F.col("depth").cast("int").alias("depth"))
 
 
 def cyclic_edges(edges: DataFrame) -> DataFrame:
     """Edges left after all artifacts without parents or without children are peeled off; empty for a proper lineage."""
-    left = cut_lineage(edges.select("child_id", "parent_id").distinct())
-    count = left.count()
-    while count:
-        children = left.select(F.col("child_id").alias("parent_id")).distinct()
-        parents = left.select(F.col("parent_id").alias("child_id")).distinct()
-        kept = cut_lineage(left.join(children, "parent_id", "left_semi").join(parents, "child_id", "left_semi").select("child_id", "parent_id"))
-        remaining = kept.count()
-        if remaining == count:
-            return kept
-        left, count = kept, remaining
-    return left
+    nodes = between_cycles(edges)
+    pairs = edges.select("child_id", "parent_id").distinct()
+    below = pairs.join(nodes.withColumnRenamed("node", "child_id"), "child_id", "left_semi")
+    return below.join(nodes.withColumnRenamed("node", "parent_id"), "parent_id", "left_semi").select("child_id", "parent_id")
 
 
 def active_view(artifacts: DataFrame, tombstones: DataFrame, supersessions: DataFrame) -> DataFrame:
