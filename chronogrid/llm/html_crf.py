@@ -14,8 +14,9 @@ field also knows sites that do not mark their article.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -31,7 +32,7 @@ EPOCHS = 5
 RATE = 0.3
 LABELLED_PAGES = 300
 MADE_PAGES = 1000
-MAX_TRAIN_BLOCKS = 200
+MAX_TRAIN_ANCESTORS = 20_000
 
 # Fixed values of the HTML standard
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,25 +58,84 @@ _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 _PIECE = re.compile(r"[a-z]+")
 
 
+# Page parts that are not main text, by their markup: for the labelled pages that are made here and for marked ones.
+_BOILER = (
+    ("nav", ""), ("header", ""), ("footer", ""), ("aside", ""), ("form", ""), ("menu", ""),
+    ("div", "nav"), ("div", "menu"), ("div", "navbar"), ("div", "breadcrumb"), ("div", "header"), ("div", "footer"),
+    ("div", "sidebar"), ("div", "widget"), ("div", "related"), ("div", "cookie notice"), ("div", "banner"),
+    ("div", "ad"), ("div", "ads"), ("div", "advert"), ("div", "sponsor"), ("div", "promo"), ("div", "newsletter"),
+    ("div", "subscribe"), ("div", "share social"), ("div", "comments"), ("section", "comments"), ("div", "comment"),
+    ("ul", "menu"), ("section", "related"), ("div", "popup modal"), ("div", "login"), ("div", "search"), ("div", "copyright"),
+    ("div", "consent"), ("div", "notice"), ("div", "advertisement"), ("section", "newsletter"), ("div", "pagination"), ("div", "tags"),
+)
+_OUT_TAGS = set("nav header footer aside form menu".split())
+_OUT_WORDS = set(w for _, named in _BOILER for w in named.split())
+
+
+class Node:
+    """An open tag: its class and id words, its parent and, carried from there, its depth and place by the markup."""
+
+    __slots__ = ("tag", "words", "parent", "depth", "inside", "out")
+
+    def __init__(self, tag: str, words: tuple[str, ...], parent: Node | None):
+        self.tag, self.words, self.parent = tag, words, parent
+        self.depth = parent.depth + 1 if parent else 1
+        self.inside, self.out = (parent.inside, parent.out) if parent else (False, False)
+        if tag in ("article", "main"):
+            self.inside, self.out = True, False
+        elif tag in _OUT_TAGS or _OUT_WORDS.intersection(words):
+            self.out = True
+
+
 @dataclass
 class Block:
-    """Text of a leaf block with its ancestors, outermost first, each as (tag, class and id words)."""
+    """Text of a leaf block with its innermost open tag; ancestors are shared between blocks, not copied."""
 
     text: str
-    ancestors: tuple[tuple[str, tuple[str, ...]], ...]
+    node: Node | None
     link_chars: int = 0
 
 
-@dataclass
-class _Open:
-    tag: str
-    words: tuple[str, ...]
+class _Stack:
+    """Open tags with the places of each tag name, so that looking one up does not walk the stack."""
+
+    def __init__(self) -> None:
+        self.nodes: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        if tag in SCOPES:
+            self.scopes.append(len(self.nodes))
+        self.nodes.append(Node(tag, words, self.top()))
+
+    def top(self) -> Node | None:
+        return self.nodes[-1] if self.nodes else None
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open tag of these names, -1 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def in_scope(self, tags: Iterable[str]) -> int:
+        """The same, -1 also if a scope was opened since."""
+        found = self.last(tags)
+        return found if found > (self.scopes[-1] if self.scopes else -1) else -1
+
+    def cut(self, index: int) -> None:
+        while len(self.nodes) > index:
+            self.places[self.nodes.pop().tag].pop()
+        while self.scopes and self.scopes[-1] >= index:
+            self.scopes.pop()
 
 
 def blocks_of(html: str | None) -> list[Block]:
-    """Leaf blocks in page order: character references decoded, white space runs made one space, empty ones left out."""
+    """Leaf blocks in page order: character references decoded, white space runs made one space, empty ones left out.
+
+    Time and memory grow with the length of the page, however deep its tags are nested.
+    """
     html = html or ""
-    stack: list[_Open] = []
+    stack = _Stack()
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
@@ -86,13 +146,14 @@ def blocks_of(html: str | None) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 chars = len(" ".join(unescape("".join(linked)).split())) if linked else 0
-                out.append(Block(text, tuple((o.tag, o.words) for o in stack), chars))
+                out.append(Block(text, stack.top(), chars))
             parts.clear()
             linked.clear()
 
     def close_to(index: int) -> None:
-        flush()
-        del stack[index:]
+        if index >= 0:
+            flush()
+            stack.cut(index)
 
     at, size = 0, len(html)
     while at < size:
@@ -125,51 +186,80 @@ def blocks_of(html: str | None) -> list[Block]:
             flush()
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    close_to(i)
-                    break
-            else:
-                flush()
+            flush()
+            close_to(stack.last((tag,)))
             in_link = 0
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == "p":
-                    close_to(i)
-                    break
-                if stack[i].tag in SCOPES:
-                    break
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in SELF_CLOSING.get(tag, ()):
-                close_to(i)
-                break
-            if stack[i].tag in SCOPES:
-                break
+            close_to(stack.in_scope(("p",)))
+        close_to(stack.in_scope(SELF_CLOSING.get(tag, ())))
         flush()
         named = [w for m in _NAMED.finditer(found.group(3)) for w in _PIECE.findall((m[2] or m[3] or m[4] or "").lower())]
-        stack.append(_Open(tag, tuple(dict.fromkeys(named))))
+        stack.push(tag, tuple(dict.fromkeys(named)))
     flush()
     return out
 
 
+@lru_cache(1 << 16)
 def _hash(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) % BUCKETS
 
 
-def features_of(blocks: list[Block]) -> list[np.ndarray]:
-    """Feature buckets of every block: its ancestors' tags and words, its place, its text's figures."""
+@dataclass
+class Path:
+    """Feature buckets that a tag adds to those of the tags around it."""
+
+    above: Path | None
+    added: np.ndarray
+
+
+@dataclass
+class Features:
+    """Feature buckets of a block: those of its path, shared with other blocks, and its own beyond these."""
+
+    path: Path | None
+    own: np.ndarray
+
+    def all(self) -> np.ndarray:
+        """All buckets in order; as long as the path is deep, so for examples to learn from only."""
+        found, path = [self.own], self.path
+        while path:
+            found.append(path.added)
+            path = path.above
+        return np.sort(np.concatenate(found)).astype(np.int32)
+
+
+def features_of(blocks: list[Block]) -> list[Features]:
+    """Feature buckets of every block: its ancestors' tags and words, its place, its text's figures.
+
+    Blocks come in page order, so every open tag is entered and left once.
+    """
     out = []
     total = len(blocks)
+    nodes: list[Node] = []
+    paths: list[Path | None] = [None]
+    grown: list[list[int]] = []
+    held: set[int] = set()
     for i, block in enumerate(blocks):
+        fresh, node = [], block.node
+        while node and not (node.depth <= len(nodes) and nodes[node.depth - 1] is node):
+            fresh.append(node)
+            node = node.parent
+        for _ in range(len(nodes) - (node.depth if node else 0)):
+            nodes.pop()
+            paths.pop()
+            held.difference_update(grown.pop())
+        for node in reversed(fresh):
+            added = sorted({_hash(f"in:{node.tag}"), *(_hash(f"named:{w}") for w in node.words)} - held)
+            held.update(added)
+            nodes.append(node)
+            grown.append(added)
+            paths.append(Path(paths[-1], np.array(added, np.int32)) if added else paths[-1])
         text = block.text
-        names = {"always", f"depth{min(len(block.ancestors), 12)}"}
-        for tag, words in block.ancestors:
-            names.add(f"in:{tag}")
-            names.update(f"named:{w}" for w in words)
-        for tag, words in block.ancestors[-2:]:
-            names.add(f"near:{tag}")
-            names.update(f"close:{w}" for w in words)
+        names = {"always", f"depth{min(len(nodes), 12)}"}
+        for node in nodes[-2:]:
+            names.add(f"near:{node.tag}")
+            names.update(f"close:{w}" for w in node.words)
         n_words = text.count(" ") + 1
         names.add(f"words{min(int(np.log2(n_words)), 8)}")
         names.add(f"links{min(int(4 * block.link_chars / max(len(text), 1)), 4)}")
@@ -180,7 +270,8 @@ def features_of(blocks: list[Block]) -> list[np.ndarray]:
             names.add("copyright")
         if any(c in text for c in "|»›•"):
             names.add("bars")
-        out.append(np.array(sorted({_hash(x) for x in names}), np.int32))
+        own = sorted({_hash(x) for x in names} - held)
+        out.append(Features(paths[-1], np.array(own, np.int32)))
     return out
 
 
@@ -191,10 +282,23 @@ class Field:
     state: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 2)))
     move: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
 
-    def scores(self, features: list[np.ndarray]) -> np.ndarray:
-        return np.array([self.state[f].sum(axis=0) for f in features]).reshape(-1, 2)
-
-    def viterbi(self, features: list[np.ndarray]) -> list[int]:
+    def scores(self, features: list[Features]) -> np.ndarray:
+        """Summed weights of every block; the sum of a path is that of the path around it and what its tag adds."""
+        sums: dict[int, np.ndarray] = {}
+        out = []
+        for block in features:
+            fresh, path = [], block.path
+            while path and id(path) not in sums:
+                fresh.append(path)
+                path = path.above
+            for path in reversed(fresh):
+                above = sums[id(path.above)] if path.above else 0.0
+                sums[id(path)] = above + self.state[path.added].sum(axis=0)
+            around = sums[id(block.path)] if block.path else 0.0
+            out.append(around + self.state[block.own].sum(axis=0))
+        return np.array(out).reshape(-1, 2)
+
+    def viterbi(self, features: list[Features]) -> list[int]:
         """Most likely labels; on a tie the label 0."""
         if not features:
             return []
@@ -260,16 +364,7 @@ def train_field(pages: list[tuple[list[np.ndarray], list[int]]], epochs: int = E
     return model
 
 
-# Page parts of known kind for the labelled pages that are made here: markup and whether it is main text.
-_BOILER = (
-    ("nav", ""), ("header", ""), ("footer", ""), ("aside", ""), ("form", ""), ("menu", ""),
-    ("div", "nav"), ("div", "menu"), ("div", "navbar"), ("div", "breadcrumb"), ("div", "header"), ("div", "footer"),
-    ("div", "sidebar"), ("div", "widget"), ("div", "related"), ("div", "cookie notice"), ("div", "banner"),
-    ("div", "ad"), ("div", "ads"), ("div", "advert"), ("div", "sponsor"), ("div", "promo"), ("div", "newsletter"),
-    ("div", "subscribe"), ("div", "share social"), ("div", "comments"), ("section", "comments"), ("div", "comment"),
-    ("ul", "menu"), ("section", "related"), ("div", "popup modal"), ("div", "login"), ("div", "search"), ("div", "copyright"),
-    ("div", "consent"), ("div", "notice"), ("div", "advertisement"), ("section", "newsletter"), ("div", "pagination"), ("div", "tags"),
-)
+# The same for parts that are main text.
 _MAIN = (
     ("article", ""), ("main", ""), ("article", "post"), ("div", "content"), ("div", "article"), ("div", "post"),
     ("div", "entry content"), ("section", "article body"), ("div", "main"), ("div", "story"), ("div", "text"), ("section", ""),
@@ -353,27 +448,19 @@ def made_pages(count: int = MADE_PAGES, seed: int = 5) -> list[tuple[str, list[i
     return pages
 
 
-_OUT_TAGS = set("nav header footer aside form menu".split())
-_OUT_WORDS = set(w for _, named in _BOILER for w in named.split())
-
-
 def marked_labels(blocks: list[Block]) -> list[int] | None:
     """Labels by the page's own markup, or None when it marks no article."""
-    labels, marked = [], False
-    for block in blocks:
-        inside, out = False, False
-        for tag, words in block.ancestors:
-            if tag in ("article", "main"):
-                inside = marked = True
-                out = False
-            elif tag in _OUT_TAGS or _OUT_WORDS & set(words):
-                out = True
-        labels.append(int(inside and not out))
-    return labels if marked else None
+    if not any(block.node and block.node.inside for block in blocks):
+        return None
+    return [int(bool(block.node and block.node.inside and not block.node.out)) for block in blocks]
 
 
 def train(pages: DataFrame, key: str = "page_id", html: str = "html", labelled_pages: int = LABELLED_PAGES) -> Field:
-    """Field from the made pages and about ``labelled_pages`` pages of the input that mark their article."""
+    """Field from the made pages and about ``labelled_pages`` pages of the input that mark their article.
+
+    Whole pages are learnt from; those whose blocks have more than
+    ``MAX_TRAIN_ANCESTORS`` open tags in sum are no examples.
+    """
     rows = pages.where(F.col(html).isNotNull()).select(F.col(key).alias("k"), F.col(html).alias("h"))
     total = rows.count()
     marked = rows.where(F.lower("h").rlike(r"<(article|main)[\s>]"))
@@ -385,9 +472,8 @@ def train(pages: DataFrame, key: str = "page_id", html: str = "html", labelled_p
             for k, text in zip(batch["k"], batch["h"]):
                 blocks = blocks_of(text)
                 labels = marked_labels(blocks)
-                if labels:
-                    cut = MAX_TRAIN_BLOCKS  # of an example to learn from; what is decoded is never cut
-                    out.append((str(k), [f.tolist() for f in features_of(blocks)[:cut]], labels[:cut]))
+                if labels and sum(b.node.depth if b.node else 0 for b in blocks) <= MAX_TRAIN_ANCESTORS:
+                    out.append((str(k), [f.all().tolist() for f in features_of(blocks)], labels))
             yield pd.DataFrame(out, columns=["k", "f", "y"])
 
     found = sample.mapInPandas(featured, "k string, f array<array<int>>, y array<int>").orderBy("k").collect()  # bounded
@@ -395,7 +481,7 @@ def train(pages: DataFrame, key: str = "page_id", html: str = "html", labelled_p
     for text, labels in made_pages():
         blocks = blocks_of(text)
         if len(blocks) == len(labels):
-            pages_in.append((features_of(blocks), labels))
+            pages_in.append(([f.all() for f in features_of(blocks)], labels))
     return train_field(pages_in)
 
 

@@ -152,7 +152,7 @@ def field():
     for html, labels in html_crf.made_pages(500):
         blocks = html_crf.blocks_of(html)
         assert len(blocks) == len(labels)
-        pages.append((html_crf.features_of(blocks), labels))
+        pages.append(([f.all() for f in html_crf.features_of(blocks)], labels))
     return html_crf.train_field(pages)
 
 
@@ -182,6 +182,31 @@ def test_held_out_pages(field):
     assert right >= 0.97 * total
 
 
+@pytest.mark.parametrize("page", ["<div>a" * 100_000, "<div>a" * 50_000 + "</x>b" * 50_000, "<y>" * 50_000 + "<h1>a" * 50_000])
+def test_deeply_nested_tags_stay_linear(field, page):
+    import tracemalloc
+
+    tracemalloc.start()
+    blocks = html_crf.blocks_of(page)
+    labels = field.viterbi(html_crf.features_of(blocks))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(labels) == len(blocks) >= 50_000 and peak < 200 << 20
+
+
+def test_shared_paths_hold_the_features_of_all_ancestors():
+    html = '<div class="x y"><div class=x><p>a<p>b</div><ul><li>c<li>d</ul></x>e</div><section id=z>f</section>'
+    blocks = html_crf.blocks_of(html)
+    assert [b.text for b in blocks] == list("abcdef")
+    for block, features in zip(blocks, html_crf.features_of(blocks)):
+        node, names = block.node, set()
+        while node:
+            names |= {f"in:{node.tag}", *(f"named:{w}" for w in node.words)}
+            node = node.parent
+        found = features.all().tolist()
+        assert {html_crf._hash(n) for n in names} <= set(found) and len(found) == len(set(found))
+
+
 def test_extract_edge_rows(spark, field):
     article = "<nav><a href=/>Home</a></nav><article><h1>A&amp;B</h1><p>One  two\n three&hellip;<br>four.</p><script>x</p></script></article>"
     rows = [
