@@ -1,26 +1,25 @@
 """URL filter: rules first, then naive Bayes over segmented host and path words.
 
 Concatenated names are split by a unigram Viterbi search; the word counts come
-from the pages' titles and from the parts of hyphenated hosts. A URL with a
-seed word among its segmented words is an example of the class to block, the
-others of the class to allow; multinomial naive Bayes over hashed words then
-judges all URLs.
+from all titles and the parts of all hyphenated hosts and stay in a table, from
+which a name is joined with the words that lie in it. A URL with a seed word
+among its words is an example of the class to block. The others are not
+labelled: the classes of multinomial naive Bayes over hashed words are fitted
+to them by expectation and maximisation.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronogrid.llm.common import stored
+from chronogrid.llm.common import small_side, stored
 
 #: (rule, verdict); a rule is a host and a path prefix
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -28,14 +27,17 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 SEEDS = (
     "spam casino casinos poker gambling betting jackpot lottery slots bingo viagra cialis pills pharmacy porn "
     "xxx sex adult escort webcam nude hentai warez torrent crack keygen malware phishing scam loan loans payday "
-    "replica counterfeit cheap clickbait linkfarm doorway"
+    "replica counterfeit cheap clickbait linkfarm doorway "
+    "bet bets roulette ad ads advert adverts adserver popup popups popunder tracker trackers tracking clicktrack"
 ).split()
-MAX_WORDS = 50_000
-LONGEST_WORD = 24
+#: lengths of the beginnings by which a word is looked up; a longer word goes by the greatest that it has
+SHORT = 8
+ROUNDS = 5
+UNIT = 1_000_000
 BUCKETS = 1 << 16
 SMOOTHING = 0.01
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_PART = re.compile(r"[^\W\d_]+|\d+")
+_PART = r"(\p{L}[\p{L}\p{M}]*|\p{Nd}+)"
 
 
 def host_of(url: Column) -> Column:
@@ -65,65 +67,93 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return found, verdict
 
 
-class Segmenter:
-    """Most likely split of a name under a unigram model; a strange word costs more with every letter."""
-
-    def __init__(self, counts: dict[str, int]):
-        total = float(sum(counts.values()) or 1)
-        self.cost = {w: -math.log(n / total) for w, n in counts.items()}
-        self.strange = math.log(total) + math.log(10.0)
-        self.longest = max([1, *map(len, counts)])
-        self.split = lru_cache(maxsize=50_000)(self._split)
-
-    def _split(self, name: str) -> tuple[str, ...]:
-        best, back = [0.0], [0]
-        for end in range(1, len(name) + 1):
-            choice = None
-            for start in range(max(0, end - max(self.longest, LONGEST_WORD)), end):
-                size = end - start
-                cost = self.cost.get(name[start:end])
-                if cost is None:
-                    cost = self.strange + size * math.log(10.0)
-                if choice is None or best[start] + cost < choice[0]:
-                    choice = (best[start] + cost, start)
-            best.append(choice[0])
-            back.append(choice[1])
-        words, end = [], len(name)
-        while end:
-            words.append(name[back[end] : end])
-            end = back[end]
-        return tuple(reversed(words))
-
-    def words(self, host: str, path: str) -> list[str]:
-        """Words of the host's labels and of the path; a number counts as one word for its length."""
-        out = []
-        for text in (host, path.lower()):
-            for part in _PART.findall(text):
-                out += [f"#{min(len(part), 9)}"] if part[0].isdigit() else self.split(part)
-        return out
-
-
-def word_counts(pages: DataFrame, url: str = "url", html: str = "html", most: int = MAX_WORDS) -> dict[str, int]:
-    """The ``most`` frequent words of titles and hyphenated host labels, with counts over all pages; seeds at least once."""
+def split_name(name: str, counts: dict[str, int], total: int) -> list[str]:
+    """Most likely split of a name under a unigram model; a strange word costs more with every letter.
+
+    ``counts`` holds at least the words that lie in the name. The best strange
+    word up to a place is carried along, so words of any length are considered.
+    """
+    tenfold = math.log(10.0)
+    strange = math.log(total) + tenfold
+    cost = {w: -math.log(n / total) for w, n in counts.items()}
+    sizes = sorted({len(w) for w in counts}, reverse=True)
+    best, back = [0.0], [0]
+    begun, begun_at = 0.0, 0  # least best[start] less the letters before it
+    for end in range(1, len(name) + 1):
+        found, start = begun + strange + end * tenfold, begun_at
+        for size in sizes:
+            if size <= end:
+                known = cost.get(name[end - size : end])
+                if known is not None and best[end - size] + known < found:
+                    found, start = best[end - size] + known, end - size
+        best.append(found)
+        back.append(start)
+        if found - end * tenfold < begun:
+            begun, begun_at = found - end * tenfold, end
+    words, end = [], len(name)
+    while end:
+        words.append(name[back[end] : end])
+        end = back[end]
+    return words[::-1]
+
+
+def word_counts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(w, n) of all words of titles and hyphenated host labels over all pages; seeds at least once."""
     title = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), "(?is)<title[^>]*>([^<]*)", 1)
     from_titles = pages.select(F.explode(F.split(F.lower(title), r"[^\p{L}]+")).alias("w"))
     hosts = parse_urls(pages.select(F.lit(0).alias("n"), F.col(url).alias("u")), "n", "u").select("host").distinct()
     hyphened = hosts.select(F.explode(F.split("host", r"[.\-:@0-9]+")).alias("w"), "host").where("host like '%-%'").select("w")
-    counted = (
-        from_titles.union(hyphened)
-        .where((F.char_length("w") >= 2) & (F.char_length("w") <= LONGEST_WORD))
-        .groupBy("w")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    top = counted.orderBy(F.col("n").desc(), "w").limit(most).collect()  # at most `most` rows
-    counts = {r["w"]: int(r["n"]) for r in top}
-    for seed in SEEDS:
-        counts[seed] = counts.get(seed, 0) + 1
-    return counts
+    seeds = pages.sparkSession.createDataFrame([(w,) for w in SEEDS], "w string")
+    seen = from_titles.union(hyphened).where(F.char_length("w") >= 2).union(seeds)
+    return seen.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
+def segment(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(part, ws): the words of every distinct name of ``parts``.
+
+    Every place of a name looks up its next 1 to 8, 16, 32, ... letters; a word
+    is kept under its greatest such beginning and compared in full.
+    """
+    total = int(counts.agg(F.sum("n")).first()[0] or 1)
+
+    def beginnings(most: Column) -> Column:
+        longer = F.transform(F.sequence(F.lit(4), F.lit(30)), lambda e: F.call_function("shiftleft", F.lit(1), e))
+        return F.filter(F.concat(F.sequence(F.lit(1), F.lit(SHORT)), longer), lambda size: size <= most)
+
+    words = counts.select("w", "n", F.substring("w", F.lit(1), F.array_max(beginnings(F.char_length("w")))).alias("key"))
+    chars = F.char_length("part")
+    places = parts.select("part", F.explode(F.sequence(F.lit(1), chars)).alias("at"))
+    asked = places.select("part", "at", F.explode(beginnings(chars - F.col("at") + 1)).alias("size"))
+    asked = asked.select("part", "at", F.substring("part", F.col("at"), F.col("size")).alias("key"))
+    lies = F.substring("part", F.col("at"), F.char_length("w")) == F.col("w")
+    met = asked.join(words, "key").where(lies).select("part", "w", "n").distinct()
+    inside = met.groupBy("part").agg(F.collect_list(F.struct("w", "n")).alias("inside"))  # words of one name
+
+    @F.pandas_udf("array<string>")
+    def split(name: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                split_name(t, {} if ws is None else {w["w"]: int(w["n"]) for w in ws}, total)
+                for t, ws in zip(name, known)
+            ]
+        )
+
+    return parts.join(inside, "part", "left").select("part", split("part", "inside").alias("ws"))
+
+
+def url_words(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, path, words) of distinct hosts and paths; a number counts as one word for its length."""
+    text = F.concat(F.col("host"), F.lit(" "), F.lower("path"))
+    cut = urls.select("host", "path", F.posexplode_outer(F.regexp_extract_all(text, F.lit(_PART))).alias("at", "part"))
+    cut = stored(cut, "parts")
+    number = F.col("part").rlike(r"^\p{Nd}")
+    names = cut.where(~number).select("part").distinct()
+    split = stored(segment(names, counts), "names")
+    joined = cut.join(small_side(split, split.count()), "part", "left")
+    size = F.least(F.char_length("part"), F.lit(9))
+    ws = F.when(number, F.array(F.concat(F.lit("#"), size))).otherwise(F.coalesce("ws", F.array().cast("array<string>")))
+    grouped = joined.groupBy("host", "path").agg(F.array_sort(F.collect_list(F.struct("at", ws.alias("ws")))).alias("all"))
+    return grouped.select("host", "path", F.flatten(F.col("all.ws")).alias("words"))  # the words of one URL
 
 
 def judge_urls(
@@ -140,38 +170,17 @@ def judge_urls(
     empty table gives an empty result. Other columns are not read.
     """
     spark = pages.sparkSession
-    segmenter = spark.sparkContext.broadcast(word_counts(pages, url, html))  # at most MAX_WORDS entries
-    parsed = parse_urls(pages, key, url).withColumnRenamed(key, "_k")
-    kind = dict(parsed.dtypes)["_k"]
-    seeds = set(SEEDS)
-
-    def segmented(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = Segmenter(segmenter.value)
-        for batch in batches:
-            words = [split.words(h, p) for h, p in zip(batch["host"], batch["path"])]
-            yield batch.assign(
-                words=words,
-                buckets=[sorted(_bucket(w) for w in ws) for ws in words],
-                bad=[any(w in seeds for w in ws) for ws in words],
-            )
-
-    schema = f"_k {kind}, host string, path string, words array<string>, buckets array<int>, bad boolean"
-    rows = stored(parsed.mapInPandas(segmented, schema), "urls")
-    sizes = {r["bad"]: r["n"] for r in rows.groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = rows.select("bad", F.explode("buckets").alias("bucket")).groupBy("bad", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    seen = {True: np.full(BUCKETS, SMOOTHING), False: np.full(BUCKETS, SMOOTHING)}
-    for r in counts.collect():  # at most 2 * BUCKETS rows
-        seen[r["bad"]][r["bucket"]] += r["n"]
-    odds = np.log(seen[True] / seen[True].sum()) - np.log(seen[False] / seen[False].sum())
-    prior = math.log((sizes.get(True, 0) + 1) / (sizes.get(False, 0) + 1))
-    ratio = spark.sparkContext.broadcast(odds)
-
-    @F.pandas_udf("double")
-    def log_odds(buckets: pd.Series) -> pd.Series:
-        return pd.Series([prior + float(ratio.value[np.asarray(b, np.int64)].sum()) for b in buckets])
-
+    rows = stored(parse_urls(pages, key, url).withColumnRenamed(key, "_k"), "rows")
+    urls = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    known = url_words(urls.select("host", "path"), stored(word_counts(pages, url, html), "counts"))
+    bucket = F.transform("words", lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(BUCKETS)).cast("int"))
+    bad = F.arrays_overlap("words", F.array(*[F.lit(w) for w in SEEDS]))
+    named = known.select("host", "path", "words", F.array_sort(bucket).alias("buckets"), bad.alias("bad"))
+    named = stored(named.join(urls, ["host", "path"]), "urls")
+    prior, odds = fit(named)
+    scored = named.select("host", "path", "words", _log_odds(spark, prior, odds)("buckets").alias("log_odds"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = rows.withColumn("log_odds", log_odds("buckets"))
+    judged = rows.join(scored, ["host", "path"], "left")
     return judged.select(
         F.col("_k").alias(key),
         "host",
@@ -181,3 +190,37 @@ def judge_urls(
         "words",
         "log_odds",
     )
+
+
+def _log_odds(spark: SparkSession, prior: float, odds: np.ndarray) -> Callable[..., Column]:
+    ratio = spark.sparkContext.broadcast(odds)  # BUCKETS numbers
+
+    @F.pandas_udf("double")
+    def log_odds(buckets: pd.Series) -> pd.Series:
+        return pd.Series([prior + float(ratio.value[np.asarray(b, np.int64)].sum()) for b in buckets], dtype="float64")
+
+    return log_odds
+
+
+def fit(urls: DataFrame, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
+    """Prior log odds and log odds a bucket, from (buckets, bad, n).
+
+    The first fit takes unlabelled URLs for harmless; each round then weighs
+    them by the share that the last fit gives them in the class to block.
+    Weights are whole millionths, so that sums do not hang on their order.
+    """
+    share = F.when(F.col("bad"), F.lit(1.0)).otherwise(F.lit(0.0))
+    for _ in range(rounds + 1):
+        weight = (F.round(share * UNIT).cast("bigint")).alias("p")
+        weighed = urls.select("buckets", "n", weight)
+        block, whole = F.sum(F.col("p") * F.col("n")).alias("block"), F.sum(F.col("n") * UNIT).alias("whole")
+        sizes = weighed.agg(block, whole).first()
+        seen = np.full((2, BUCKETS), SMOOTHING)
+        for r in weighed.select("p", "n", F.explode("buckets").alias("b")).groupBy("b").agg(block, whole).collect():
+            seen[:, r["b"]] += (r["block"] / UNIT, (r["whole"] - r["block"]) / UNIT)  # at most BUCKETS rows
+        odds = np.log(seen[0] / seen[0].sum()) - np.log(seen[1] / seen[1].sum())
+        in_block, in_all = (sizes["block"] or 0) / UNIT, (sizes["whole"] or 0) / UNIT
+        prior = math.log((in_block + 1) / (in_all - in_block + 1))
+        told = _log_odds(urls.sparkSession, prior, odds)("buckets")
+        share = F.when(F.col("bad"), F.lit(1.0)).otherwise(1.0 / (1.0 + F.exp(-told)))
+    return prior, odds
