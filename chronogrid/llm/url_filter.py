@@ -33,6 +33,8 @@ SEEDS = (
 #: lengths of the beginnings by which a word is looked up; a longer word goes by the greatest that it has
 SHORT = 8
 ROUNDS = 5
+#: share of the class to block that an unlabelled URL starts with
+FIRST_SHARE = 0.2
 UNIT = 1_000_000
 BUCKETS = 1 << 16
 SMOOTHING = 0.01
@@ -205,11 +207,11 @@ def _log_odds(spark: SparkSession, prior: float, odds: np.ndarray) -> Callable[.
 def fit(urls: DataFrame, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
     """Prior log odds and log odds a bucket, from (buckets, bad, n).
 
-    The first fit takes unlabelled URLs for harmless; each round then weighs
-    them by the share that the last fit gives them in the class to block.
+    Unlabelled URLs start with one share of the class to block for all; each
+    round then weighs them by the share that the last fit gives them.
     Weights are whole millionths, so that sums do not hang on their order.
     """
-    share = F.when(F.col("bad"), F.lit(1.0)).otherwise(F.lit(0.0))
+    share = F.when(F.col("bad"), F.lit(1.0)).otherwise(F.lit(FIRST_SHARE))
     for _ in range(rounds + 1):
         weight = (F.round(share * UNIT).cast("bigint")).alias("p")
         weighed = urls.select("buckets", "n", weight)
