@@ -210,7 +210,7 @@ class Path:
     """Feature buckets that a tag adds to those of the tags around it."""
 
     above: Path | None
-    added: np.ndarray
+    added: list[int]
 
 
 @dataclass
@@ -218,15 +218,15 @@ class Features:
     """Feature buckets of a block: those of its path, shared with other blocks, and its own beyond these."""
 
     path: Path | None
-    own: np.ndarray
+    own: list[int]
 
     def all(self) -> np.ndarray:
         """All buckets in order; as long as the path is deep, so for examples to learn from only."""
-        found, path = [self.own], self.path
+        found, path = list(self.own), self.path
         while path:
-            found.append(path.added)
+            found += path.added
             path = path.above
-        return np.sort(np.concatenate(found)).astype(np.int32)
+        return np.array(sorted(found), np.int32)
 
 
 def features_of(blocks: list[Block]) -> list[Features]:
@@ -254,7 +254,7 @@ def features_of(blocks: list[Block]) -> list[Features]:
             held.update(added)
             nodes.append(node)
             grown.append(added)
-            paths.append(Path(paths[-1], np.array(added, np.int32)) if added else paths[-1])
+            paths.append(Path(paths[-1], added) if added else paths[-1])
         text = block.text
         names = {"always", f"depth{min(len(nodes), 12)}"}
         for node in nodes[-2:]:
@@ -270,8 +270,7 @@ def features_of(blocks: list[Block]) -> list[Features]:
             names.add("copyright")
         if any(c in text for c in "|»›•"):
             names.add("bars")
-        own = sorted({_hash(x) for x in names} - held)
-        out.append(Features(paths[-1], np.array(own, np.int32)))
+        out.append(Features(paths[-1], sorted({_hash(x) for x in names} - held)))
     return out
 
 
@@ -284,9 +283,11 @@ class Field:
 
     def scores(self, features: list[Features]) -> np.ndarray:
         """Summed weights of every block; the sum of a path is that of the path around it and what its tag adds."""
+        own = np.array([x for block in features for x in block.own], np.int64)
+        place = np.repeat(np.arange(len(features)), [len(block.own) for block in features])
+        out = np.stack([np.bincount(place, self.state[own, c], len(features)) for c in (0, 1)], axis=1)
         sums: dict[int, np.ndarray] = {}
-        out = []
-        for block in features:
+        for i, block in enumerate(features):
             fresh, path = [], block.path
             while path and id(path) not in sums:
                 fresh.append(path)
@@ -294,9 +295,9 @@ class Field:
             for path in reversed(fresh):
                 above = sums[id(path.above)] if path.above else 0.0
                 sums[id(path)] = above + self.state[path.added].sum(axis=0)
-            around = sums[id(block.path)] if block.path else 0.0
-            out.append(around + self.state[block.own].sum(axis=0))
-        return np.array(out).reshape(-1, 2)
+            if block.path:
+                out[i] += sums[id(block.path)]
+        return out
 
     def viterbi(self, features: list[Features]) -> list[int]:
         """Most likely labels; on a tie the label 0."""

@@ -33,8 +33,6 @@ SEEDS = (
 #: lengths of the beginnings by which a word is looked up; a longer word goes by the greatest that it has
 SHORT = 8
 ROUNDS = 5
-#: share of the class to block that an unlabelled URL starts with
-FIRST_SHARE = 0.2
 UNIT = 1_000_000
 BUCKETS = 1 << 16
 SMOOTHING = 0.01
@@ -207,20 +205,23 @@ def _log_odds(spark: SparkSession, prior: float, odds: np.ndarray) -> Callable[.
 def fit(urls: DataFrame, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
     """Prior log odds and log odds a bucket, from (buckets, bad, n).
 
-    Unlabelled URLs start with one share of the class to block for all; each
-    round then weighs them by the share that the last fit gives them.
+    The first fit takes unlabelled URLs for harmless, as a larger share to start
+    with draws whole domains along; each round then weighs them by the share
+    that the last fit gives them in the class to block.
     Weights are whole millionths, so that sums do not hang on their order.
     """
-    share = F.when(F.col("bad"), F.lit(1.0)).otherwise(F.lit(FIRST_SHARE))
+    share = F.when(F.col("bad"), F.lit(1.0)).otherwise(F.lit(0.0))
     for _ in range(rounds + 1):
         weight = (F.round(share * UNIT).cast("bigint")).alias("p")
         weighed = urls.select("buckets", "n", weight)
         block, whole = F.sum(F.col("p") * F.col("n")).alias("block"), F.sum(F.col("n") * UNIT).alias("whole")
         sizes = weighed.agg(block, whole).first()
-        seen = np.full((2, BUCKETS), SMOOTHING)
+        seen = np.zeros((2, BUCKETS))
         for r in weighed.select("p", "n", F.explode("buckets").alias("b")).groupBy("b").agg(block, whole).collect():
             seen[:, r["b"]] += (r["block"] / UNIT, (r["whole"] - r["block"]) / UNIT)  # at most BUCKETS rows
-        odds = np.log(seen[0] / seen[0].sum()) - np.log(seen[1] / seen[1].sum())
+        seen[:, seen.sum(axis=0) > 0] += SMOOTHING  # the words that occur; no other bucket is ever looked up
+        sums = np.maximum(seen.sum(axis=1, keepdims=True), SMOOTHING)
+        odds = np.subtract(*np.log(np.maximum(seen, SMOOTHING) / sums))
         in_block, in_all = (sizes["block"] or 0) / UNIT, (sizes["whole"] or 0) / UNIT
         prior = math.log((in_block + 1) / (in_all - in_block + 1))
         told = _log_odds(urls.sparkSession, prior, odds)("buckets")

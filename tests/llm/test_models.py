@@ -136,12 +136,12 @@ def test_words_of_any_length_are_found_in_names(spark):
 
 def test_unlabelled_urls_learn_from_their_company(spark):
     """Hosts without a seed word (win-farm) are judged by the words they share with such hosts, not held to be harmless."""
-    hosts = [f"casino-win{i}" for i in range(10)] + ["win-farm"] * 6 + ["spam-farm"] * 6 + ["free-bets", "ads-track"] * 3
+    hosts = ["casino-win"] * 10 + ["win-farm"] * 6 + ["spam-farm"] * 6 + ["free-bets", "ads-track"] * 3
     hosts += [f"{a}-{b}" for a in ("good", "daily", "city") for b in ("news", "paper", "sport", "school") for _ in range(8)]
-    rows = [(i, f"http://{h}.example.org/x/{i}", "<title>good news win farm free bets ads track daily city</title>") for i, h in enumerate(hosts)]
+    rows = [(i, f"http://{h}.example.org/x/", "<title>good news win farm free bets ads track daily city</title>") for i, h in enumerate(hosts)]
     pages = spark.createDataFrame([(*r, "h", "w") for r in rows], URLS)
     found = {hosts[r["page_id"]]: r["verdict"] for r in url_filter.judge_urls(pages).collect()}
-    assert {found[h] for h in ("casino-win3", "win-farm", "free-bets", "ads-track")} == {"block"}
+    assert {found[h] for h in ("casino-win", "win-farm", "free-bets", "ads-track")} == {"block"}
     assert not {"win", "farm"} & set(url_filter.SEEDS)
     assert {v for h, v in found.items() if h.split("-")[0] in ("good", "daily", "city")} == {"allow"}
 
