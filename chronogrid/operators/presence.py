@@ -89,6 +89,42 @@ def spread_stats(rows: DataFrame, keys: list[str], value: str, tie: str) -> Data
     )
 
 
+def quantile_states(rows: DataFrame, keys: list[str], value: str, k: int = 200) -> DataFrame:
+    """(keys, n, state): one KLL sketch a key, of fixed size whatever the key's rows. Null values do not count."""
+    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.kll_sketch_agg_double(value, F.lit(k)).alias("state"))
+
+
+def merge_quantiles(states: DataFrame, keys: list[str]) -> DataFrame:
+    """Coarser states from finer ones; no measurement is read again."""
+    return states.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("state").alias("state"))
+
+
+def distinct_states(rows: DataFrame, keys: list[Column], member: str, lg_entries: int = 12) -> DataFrame:
+    """(keys, state): one theta sketch a key; counts are exact below 2 ** lg_entries members."""
+    return rows.groupBy(*keys).agg(F.theta_sketch_agg(member, F.lit(lg_entries)).alias("state"))
+
+
+def rolling_distinct(states: DataFrame, keys: list[str], day: str = "day", width: int = 7, lg_entries: int = 12) -> DataFrame:
+    """Distinct members of the ``width`` days up to each day, and those in common with the same span before it.
+
+    Daily sketches are merged; a state goes to the days that it counts for, so the work is ``width`` sketches a day
+    and not a range join of members. Days without any state have no row.
+    """
+    reach = F.explode(F.sequence(F.lit(0), F.lit(2 * width - 1))).alias("ahead")
+    spread = states.select(*keys, F.col(day).alias("own"), "state", reach)
+    spread = spread.withColumn(day, F.col("own") + F.col("ahead"))
+
+    def merged(until: int) -> Column:
+        inside = (F.col("ahead") >= until - width) & (F.col("ahead") < until)
+        return F.theta_union_agg(F.when(inside, F.col("state")), F.lit(lg_entries))
+
+    spans = spread.groupBy(*keys, day).agg(merged(width).alias("now"), merged(2 * width).alias("before"), F.min("ahead").alias("first"))
+    common = F.theta_intersection("now", "before")
+    return spans.where("first = 0").select(
+        *keys, day, F.theta_sketch_estimate("now").alias("members"), F.theta_sketch_estimate(common).alias("returning")
+    )
+
+
 def day_part(ms: Column, night_from: int = 22, night_to: int = 6) -> Column:
     hour = F.pmod(floor_index(ms, 3_600_000), F.lit(24))
     return F.when((hour >= night_from) | (hour < night_to), F.lit("night")).otherwise(F.lit("day"))

@@ -79,6 +79,43 @@ def n04(spark, sf_dir):
     return presence.spread_stats(b.obs(spark, sf_dir, modality="heart_rate"), ["device"], "value", "event_id")
 
 
+@register(
+    "n04_merged_quantiles",
+    f"""WITH obs AS ({b.OBS}) SELECT modality, count(value) AS n, TRUE AS low_within, TRUE AS median_within, TRUE AS high_within FROM obs GROUP BY modality""",
+)
+def n04_merged(spark, sf_dir):
+    """Quartiles from daily sketches merged over days; each is held against its exact rank in all rows."""
+    rows = b.obs(spark, sf_dir)
+    day = floor_index(F.col("start_ms"), DAY)
+    merged = presence.merge_quantiles(presence.quantile_states(rows.withColumn("day", day), ["modality", "day"], "value"), ["modality"])
+    told = merged.select("modality", F.kll_sketch_get_quantile_double("state", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    ranks = rows.join(F.broadcast(told), "modality").groupBy("modality").agg(  # one row a modality, five of them
+        F.count("value").alias("n"),
+        *[F.avg((F.col("value") < F.col("q")[i]).cast("double")).alias(f"below{i}") for i in range(3)],
+        *[F.avg((F.col("value") <= F.col("q")[i]).cast("double")).alias(f"upto{i}") for i in range(3)],
+    )
+
+    def within(i, share, error=0.02):
+        return (F.col(f"below{i}") <= share + error) & (F.col(f"upto{i}") >= share - error)
+
+    return ranks.select(
+        "modality", "n", within(0, 0.25).alias("low_within"), within(1, 0.5).alias("median_within"), within(2, 0.75).alias("high_within")
+    )
+
+
+@register(
+    "n08_rolling_distinct",
+    f"""WITH d AS (SELECT DISTINCT modality AS app, device, start_ms // {DAY} AS day FROM ({b.OBS})), s AS (SELECT DISTINCT app, day FROM d),
+        w AS (SELECT DISTINCT s.app, s.day, d.device FROM s JOIN d ON d.app = s.app AND d.day BETWEEN s.day - 6 AND s.day),
+        p AS (SELECT DISTINCT s.app, s.day, d.device FROM s JOIN d ON d.app = s.app AND d.day BETWEEN s.day - 13 AND s.day - 7)
+        SELECT w.app, w.day, count(*) AS members, count(p.device) AS returning FROM w LEFT JOIN p ON p.app = w.app AND p.day = w.day AND p.device = w.device GROUP BY w.app, w.day""",
+)
+def n08_rolling(spark, sf_dir):
+    """Devices that used an app in the last seven days, and those of them that did in the seven days before."""
+    keys = [F.col("modality").alias("app"), floor_index(F.col("start_ms"), DAY).alias("day")]
+    return presence.rolling_distinct(presence.distinct_states(b.obs(spark, sf_dir), keys, "device"), ["app"])
+
+
 @register(
     "n05_domain_summary",
     f"""WITH v AS (SELECT user_id, CASE WHEN hour(ts) >= 22 OR hour(ts) < 6 THEN 'night' ELSE 'day' END AS part, event_type AS host,
