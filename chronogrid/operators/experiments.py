@@ -77,6 +77,44 @@ def distribution_distance(rows: DataFrame, value: Column, label: str = "bucket")
     )
 
 
+def two_sample_distance(rows: DataFrame, value: str) -> DataFrame:
+    """Kolmogorov-Smirnov and Wasserstein distance between the two periods' values, of any number of distinct values.
+
+    Equal values are counted before anything is ordered, so a hot value is one
+    row and ties step together. The running counts lie on range partitions;
+    only one row a partition is put in order as a whole. Rows without value or
+    period do not count; no row at all gives null distances.
+    """
+    known = rows.where(F.col(value).isNotNull() & F.col("period").isNotNull())
+    steps = known.groupBy(F.col(value).alias("v")).agg(
+        F.count_if(F.col("period") == "baseline").alias("x"), F.count_if(F.col("period") == "experiment").alias("y")
+    )
+    chunked = range_chunks(steps, ["v"])
+    sizes = chunked.groupBy(CHUNK).agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.max("v").alias("v"))
+    before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    whole = Window.partitionBy()
+    edges = sizes.select(
+        CHUNK,
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("x", "y")],
+        *[F.sum(c).over(whole).alias(f"{c}_all") for c in ("x", "y")],
+        F.max("v").over(before).alias("v_before"),
+    )
+    inside = Window.partitionBy(CHUNK).orderBy("v")
+    running = chunked.select(
+        CHUNK, "v", "x", "y", F.sum("x").over(inside).alias("cx"), F.sum("y").over(inside).alias("cy"), F.lag("v").over(inside).alias("p")
+    ).join(F.broadcast(edges), CHUNK)
+    cx, cy = F.col("cx") + F.col("x_before"), F.col("cy") + F.col("y_before")
+    here = F.abs(cx / F.col("x_all") - cy / F.col("y_all"))
+    behind = F.abs((cx - F.col("x")) / F.col("x_all") - (cy - F.col("y")) / F.col("y_all"))
+    gap = F.col("v") - F.coalesce("p", "v_before", "v")
+    return running.agg(
+        round_stable(F.max(here), 6).alias("ks_distance"),
+        round_stable(F.sum(behind * gap), 4).alias("wasserstein"),
+        F.coalesce(F.sum("x"), F.lit(0)).alias("n_baseline"),
+        F.coalesce(F.sum("y"), F.lit(0)).alias("n_experiment"),
+    )
+
+
 def runs(rows: DataFrame, key: str, order: list[str], label: str, at: str = "start_ms") -> DataFrame:
     """Runs of equal labels along each key (gaps and islands), without sorting a key in one task.
 

@@ -292,6 +292,18 @@ def n13_shift(spark, sf_dir):
     return experiments.distribution_distance(periods(spark, sf_dir), F.floor(F.col("value") / 10))
 
 
+@register(
+    "n13_two_sample_distance",
+    f"""WITH obs AS ({b.OBS}), p AS (SELECT value AS v, {PERIOD} AS period FROM obs),
+        c AS (SELECT v, count(*) FILTER (WHERE period = 'baseline') AS x, count(*) FILTER (WHERE period = 'experiment') AS y FROM p WHERE period IS NOT NULL AND v IS NOT NULL GROUP BY v),
+        f AS (SELECT v, x, y, abs(sum(x) OVER (ORDER BY v) / sum(x) OVER () - sum(y) OVER (ORDER BY v) / sum(y) OVER ()) AS d, lead(v) OVER (ORDER BY v) - v AS gap FROM c)
+        SELECT {b.rnd('max(d)', 6)} AS ks_distance, {b.rnd('sum(d * gap)', 4)} AS wasserstein, sum(x)::BIGINT AS n_baseline, sum(y)::BIGINT AS n_experiment FROM f""",
+)
+def n13_two_sample(spark, sf_dir):
+    """How far the distributions of the two periods lie apart, over all values and not over buckets."""
+    return experiments.two_sample_distance(periods(spark, sf_dir), "value")
+
+
 @register("n14_effect_size", _effect_sql("'all'", "scope"))
 def n14(spark, sf_dir):
     return experiments.effect(periods(spark, sf_dir).withColumn("scope", F.lit("all")), ["scope"], "value")

@@ -114,3 +114,33 @@ def test_order_helpers_match_plain_python(spark):
     assert got == numbers
     got = {r["id"]: r["position"] for r in ordered.with_position(df, ["t", "id"]).collect()}
     assert got == {r[2]: n for n, r in enumerate(sorted(data, key=lambda r: (r[1], r[2])))}
+
+
+def test_distances_of_two_samples_with_ties_and_nulls(spark):
+    import numpy as np
+
+    from chronogrid.operators import experiments
+
+    random = np.random.default_rng(4)
+    before = [float(v) for v in random.integers(0, 40, 300)] + [7.0] * 400
+    during = [float(v) for v in random.integers(5, 60, 200)]
+    rows = [("baseline", v) for v in before] + [("experiment", v) for v in during] + [(None, 3.0), ("baseline", None)]
+    found = experiments.two_sample_distance(spark.createDataFrame(rows, "period string, value double"), "value").first()
+    values = sorted({*before, *during})
+    gaps = [abs(np.mean(np.array(before) <= v) - np.mean(np.array(during) <= v)) for v in values]
+    assert found["ks_distance"] == round(max(gaps), 6)
+    assert abs(found["wasserstein"] - sum(g * (b - a) for g, a, b in zip(gaps, values, values[1:]))) < 1e-3
+    assert (found["n_baseline"], found["n_experiment"]) == (700, 200)
+    empty = experiments.two_sample_distance(spark.createDataFrame([], "period string, value double"), "value").first()
+    assert tuple(empty) == (None, None, 0, 0)
+
+
+def test_rolling_distinct_members_across_days(spark):
+    from pyspark.sql import functions as F
+
+    from chronogrid.operators import presence
+
+    rows = [("a", 0, "x"), ("a", 0, "x"), ("a", 0, "y"), ("a", 3, "z"), ("a", 8, "y"), ("b", 9, None), ("b", 9, "q")]
+    states = presence.distinct_states(spark.createDataFrame(rows, "app string, day int, m string"), [F.col("app"), F.col("day")], "m")
+    found = {(r["app"], r["day"]): (r["members"], r["returning"]) for r in presence.rolling_distinct(states, ["app"]).collect()}
+    assert found == {("a", 0): (2, 0), ("a", 3): (3, 0), ("a", 8): (2, 1), ("b", 9): (1, 0)}
