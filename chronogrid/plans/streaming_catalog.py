@@ -10,7 +10,7 @@ from chronogrid.plans.registry import register
 from chronogrid.plans.source_catalog import doc_inbox
 from chronogrid.session import scratch_path
 from chronogrid.sinks import tables
-from chronogrid.streaming import jobs
+from chronogrid.streaming import jobs, rolling
 
 EV = "epoch_us(ts) // 1000"
 LATENESS = "40 days"
@@ -92,6 +92,37 @@ def j04(spark, sf_dir):
     return spark.read.parquet(out).select("device", "canonical_index", "bpm", "bins_used")
 
 
+@register(
+    "j04_trailing_band_stream",
+    f"""WITH {b.SIGNALS_SHARED}, timed AS (SELECT *, start_ms + ((end_ms - start_ms) // 1000) * (end_ms - start_ms) AS arrival FROM bins),
+        parted AS (SELECT *, (arrival - (SELECT min(arrival) FROM timed)) * 4 // (SELECT max(arrival) - min(arrival) + 1 FROM timed) AS part FROM timed),
+        marks AS (SELECT p.part, (SELECT max(start_ms) - 600000 FROM parted e WHERE e.part < p.part) AS mark FROM (SELECT DISTINCT part FROM parted) p),
+        judged AS (SELECT parted.*, coalesce(start_ms <= mark, FALSE) AS late FROM parted JOIN marks USING (part)),
+        dedup AS (SELECT * FROM (SELECT *, row_number() OVER (
+            PARTITION BY device, start_ms // 60000, round(bpm, 3), round(bpm_min, 3), round(bpm_max, 3)
+            ORDER BY start_ms, end_ms, seq) AS rn FROM judged WHERE NOT late) WHERE rn = 1),
+        cand AS (SELECT DISTINCT device, start_ms // 60000 AS i FROM dedup
+            WHERE (start_ms // 60000 + 1) * 60000 <= (SELECT max(start_ms) FROM bins) - 600000),
+        band AS (SELECT c.device, c.i, x.bpm - lag(x.bpm) OVER (PARTITION BY c.device, c.i ORDER BY x.start_ms, x.end_ms, x.seq) AS d
+          FROM cand c JOIN dedup x ON x.device = c.device AND x.start_ms BETWEEN (c.i - 9) * 60000 AND (c.i + 1) * 60000)
+        SELECT device, i AS canonical_index, {b.rnd('sqrt(avg(d * d))', 3)} AS bpm, count(*) AS bins_used, NULL::BIGINT AS seq, FALSE AS late
+        FROM band GROUP BY device, i HAVING count(*) >= 2
+        UNION ALL SELECT device, start_ms // 60000, NULL, NULL, seq, TRUE FROM judged WHERE late""",
+)
+def j04_stream(spark, sf_dir):
+    """The same band kept in state and sent once; bins arrive k * k seconds late, in four batches, some behind the watermark."""
+    k = F.floor((F.col("end_ms") - F.col("start_ms")) / 1000)
+    rows = b.bins(spark, sf_dir, shared=True).withColumn("arrival", F.col("start_ms") + k * k * F.lit(1000))
+    low, high = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    path, out = scratch_path(spark, "inbox"), scratch_path(spark, "proxy")
+    for part in range(4):  # one file after the other, so that the batches come in the order of arrival
+        share = F.floor((F.col("arrival") - F.lit(low)) * 4 / F.lit(high - low + 1))
+        rows.where(share == part).coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.read_inbox(spark, path, rows.schema, files_per_batch=1)
+    rolling.drain_stream(rolling.proxy_stream(stream, "10 minutes"), out, scratch_path(spark, "mark"))
+    return rolling.read_sent(spark, out).select("device", "canonical_index", "bpm", "bins_used", "seq", "late")
+
+
 @register("j05_repeat_suppression", f"SELECT event_id, {EV} AS start_ms FROM events")
 def j05(spark, sf_dir):
     """Every event is pushed twice, in different files."""
