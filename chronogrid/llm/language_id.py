@@ -25,7 +25,7 @@ SLOT_BITS = 17
 GRAMS_PER_LANG = 6000
 DOCS_PER_LANG = 2000
 MIN_LIFT = 0.5
-MIN_SCORE = 0.3
+MIN_SHARE = 0.2
 BLOCK_CHARS = 1 << 18
 _letters: np.ndarray | None = None
 
@@ -76,8 +76,9 @@ class LanguageFilter:
     slots: np.ndarray
     false_rate: np.ndarray
 
-    def judge(self, text: str | None) -> tuple[str, float]:
-        """(language, score). ``und`` for no letter; score is the winner's part of all corrected shares."""
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """(language, score, share). ``und`` for no letter; share is the winner's corrected share of the text's
+        n-grams, score its part of the shares of all languages."""
         counts, total, letters = np.zeros(len(self.langs)), 0, False
         for hashes in gram_hashes(text):
             letters = True
@@ -90,10 +91,10 @@ class LanguageFilter:
                 for bit in range(min(64, len(self.langs) - 64 * word)):
                     counts[64 * word + bit] += np.count_nonzero(found & np.uint64(1 << bit))
         if not letters or not self.langs:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         share = np.clip((counts / total - self.false_rate) / (1 - self.false_rate), 0, 1)
         best = int(np.argmax(share))
-        return self.langs[best], float(share[best] / share.sum()) if share.sum() > 0 else 0.0
+        return self.langs[best], float(share[best] / share.sum()) if share.sum() > 0 else 0.0, float(share[best])
 
 
 def train(
@@ -151,13 +152,13 @@ def train(
 
 
 def judge(spark: SparkSession, model: LanguageFilter, text: Column) -> Column:
-    """Struct (lang_pred, score) of a whole text."""
+    """Struct (lang_pred, score, share) of a whole text."""
     shared = spark.sparkContext.broadcast(model)  # a fixed number of slots
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, share double")
     def judged(texts: pd.Series) -> pd.DataFrame:
         found = [shared.value.judge(t) for t in texts]
-        return pd.DataFrame({"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
+        return pd.DataFrame({"lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "share": [f[2] for f in found]})
 
     return judged(text)
 
@@ -174,8 +175,11 @@ def predict(docs: DataFrame, model: LanguageFilter, key: str = "doc_id", text: s
     return rows.select(F.col("k").alias(key), "j.lang_pred", "j.score")
 
 
-def keep_known(docs: DataFrame, model: LanguageFilter, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """All columns of the rows whose text has a language and a score of at least ``min_score``."""
+def keep_known(docs: DataFrame, model: LanguageFilter, text: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
+    """All columns of the rows of whose n-grams their language holds at least ``min_share``.
+
+    The share is that of one language by itself, so it does not fall as languages are added.
+    """
     kept = docs.withColumn("_judged_language", judge(docs.sparkSession, model, F.col(text)))
-    kept = kept.where((F.col("_judged_language.lang_pred") != "und") & (F.col("_judged_language.score") >= min_score))
+    kept = kept.where((F.col("_judged_language.lang_pred") != "und") & (F.col("_judged_language.share") >= min_share))
     return kept.drop("_judged_language")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronogrid.llm.common import first_rows, small_side, stored
+from chronogrid.llm.common import REAL_KEY, own_keys, real_keys, small_side, stored
 from chronogrid.llm.components import components
 
 MAX_EDITS = 2
@@ -164,11 +164,15 @@ def _advance(state: Column, same: Column, levels: list[str], mask: int) -> Colum
 
 
 def _lines(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """(doc, at, line, n, h, g): the lines that can be duplicates, without spaces around them; h and g name the wording."""
+    """(doc, at, line, n, h, g): the lines that can be duplicates, without spaces around them; h and g name the wording.
+
+    A line under ``min_chars`` counts if it holds more than white space.
+    """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
     cut = rows.select("doc", F.posexplode(F.split("t", "\n")).alias("at", "raw"))
     line = cut.select("doc", "at", F.trim("raw").alias("line"))
-    sized = line.select("doc", "at", "line", F.char_length("line").alias("n")).where(F.col("n") >= min_chars)
+    sized = line.select("doc", "at", "line", F.char_length("line").alias("n"))
+    sized = sized.where((F.col("n") >= min_chars) | F.col("line").rlike(r"\S"))
     return sized.select("*", F.xxhash64("line").alias("h"), _second_hash(F.col("line")).alias("g"))
 
 
@@ -254,8 +258,9 @@ def wording_classes(links: DataFrame) -> DataFrame:
 def judge_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = MAX_EDITS, min_chars: int = MIN_CHARS
 ) -> DataFrame:
-    """(doc, at, own, first, near): for every line of at least ``min_chars`` its place and fate.
+    """(doc, at, own, first, near): for every line with more than white space its place and fate.
 
+    Lines of equal wording are copies at any length; the edit join takes those of at least ``min_chars``.
     ``first`` marks the first line of its class, which stays; ``own`` is the
     document that holds that line; ``near`` marks a line that goes although it
     is the first of its exact wording.
@@ -271,8 +276,9 @@ def judge_lines(
     total = wordings.agg(F.sum("n")).first()[0] or 0
     # at most HEAVY_SHARE wordings can make up a HEAVY_SHARE-th of all lines each: they enter the join once
     heavy = wordings.where(F.col("n") > F.lit(max(total // HEAVY_SHARE, 1))).select("h", "g")
-    copies = stored(lines.join(F.broadcast(heavy), ["h", "g"], "left_semi").select("line", "n", "h").distinct(), "copies")
-    single = lines.join(F.broadcast(heavy), ["h", "g"], "left_anti").select("line", "n", "h")
+    long = lines.where(F.col("n") >= min_chars)
+    copies = stored(long.join(F.broadcast(heavy), ["h", "g"], "left_semi").select("line", "n", "h").distinct(), "copies")
+    single = long.join(F.broadcast(heavy), ["h", "g"], "left_anti").select("line", "n", "h")
     classes = wording_classes(line_links(single.unionByName(copies), edits))
     n_linked = classes.count()
     linked = wordings.join(small_side(classes, n_linked), ["h", "g"]).select("h", "g", "root", "place")
@@ -300,14 +306,19 @@ def dedup_lines(
     A class is a set of lines tied by links of at most ``edits`` edits, spaces
     around a line aside; its first line by (key, line number) stays, the
     others go, in the same document as well. Lines under ``min_chars`` code
-    points are left alone. Null texts stay null and empty ones empty. Of rows
-    with one key only that with the smallest text stays. Rows without a key
+    points are tied by equal wording alone, lines of white space are left as
+    they are. Null texts stay null and empty ones empty. Of rows with equal key
+    and equal text one stays; different texts under one key are documents of
+    their own, in the order of their hash. Rows without a key
     pass unchanged and are no line's first place. ``_lines`` has n_lines,
     n_kept, n_exact, n_near and first_docs, the sorted keys that hold the first
     lines of the document's classes. An empty table gives an empty result.
     """
-    docs = first_rows(docs, key, text)
+    docs = own_keys(docs, key, text)
     fates = judge_lines(docs, key, text, edits, min_chars)
+    if REAL_KEY in docs.columns:
+        keys = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("own"), F.col(REAL_KEY).alias("_own"))
+        fates = fates.join(keys, "own").drop("own").withColumnRenamed("_own", "own")
     gone = fates.groupBy("doc").agg(
         F.collect_list(F.when(~F.col("first"), F.col("at"))).alias("gone"),
         F.coalesce(F.sum(F.col("near").cast("bigint")), F.lit(0)).alias("n_near"),
@@ -342,6 +353,7 @@ def dedup_lines(
             F.col("first_docs").alias("first_docs"),
         ).alias("_lines"),
     )
-    return out.select(
+    kept = out.select(
         *[F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns], "_lines"
     )
+    return real_keys(kept, key)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronogrid.llm.common import first_rows, small_side, stored
+from chronogrid.llm.common import own_keys, real_keys, small_side, stored
 from chronogrid.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -166,10 +166,11 @@ def keep_one(
 ) -> DataFrame:
     """All columns of the documents with the smallest key of each group.
 
-    Of rows with one key that with the smallest text counts. Rows without a key
+    Of rows with equal key and equal text one counts; different texts
+    under one key are different documents. Rows without a key
     cannot be named and stay. An empty table gives an empty result.
     """
-    docs = first_rows(docs, key, text)
+    docs = own_keys(docs, key, text)
     found = near_groups(docs.where(F.col(key).isNotNull()), key, text, words, similarity)
     gone = stored(found.where(F.col(key) != F.col("root")).select(key), "gone")
-    return docs.join(small_side(gone, gone.count()), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return real_keys(docs.join(small_side(gone, gone.count()), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]), key)

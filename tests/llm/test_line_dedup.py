@@ -23,7 +23,7 @@ def plain(rows, edits=2, min_chars=20):
     for key, text in sorted(rows):
         for at, raw in enumerate((text or "").split("\n")):
             line = raw.strip(" ")
-            if text is not None and len(line) >= min_chars:
+            if text is not None and line and not line.isspace():
                 places.setdefault(line, []).append((key, at))
     lines = list(places)
     parent = {x: x for x in lines}
@@ -35,7 +35,7 @@ def plain(rows, edits=2, min_chars=20):
 
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
+            if min(len(a), len(b)) >= min_chars and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
                 parent[find(a)] = find(b)
     first = {}
     for x in lines:
@@ -130,4 +130,27 @@ def test_empty_table(make_docs):
 def test_repeats_inside_a_document(make_docs):
     line = "this line is said twice in here"
     got = line_dedup.dedup_lines(make_docs([(1, f"{line}\nother\n  {line}\t\nother\n{line} ")])).collect()
-    assert got[0]["text"] == f"{line}\nother\nother"
+    assert got[0]["text"] == f"{line}\nother"
+
+
+def test_short_lines_are_tied_by_equal_wording_alone(make_docs):
+    rows = [(1, "Les.\nno\n \n"), (2, " Les.\nNo\n \nLes"), (3, "Les.\nthe end of it all comes here"), (4, "\t\n東京"), (5, "\t\n東京\nno")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(make_docs(rows)).collect()}
+    assert got == plain(rows)
+    assert got[2] == "No\n \nLes" and got[3] == "the end of it all comes here" and got[5] == "\t"
+
+
+def test_different_texts_under_one_key_all_stay(make_docs):
+    """A third of the rows has one key; every text is judged as a document of its own, in the order of key and hash."""
+    line = "this line is said by some of them all over again"
+    rows = [(7, f"{c * 12} under the crowded key\n{line}") for c in "abcdefghijklmno"] + [(7, "twice the same")] * 3
+    rows += [(3, line), (8, f"{line}\nlast of all"), (None, "twice the same")]
+    out = line_dedup.dedup_lines(make_docs(rows))
+    assert out.columns == [*make_docs([]).columns, "_lines"]
+    got = out.collect()
+    assert len(got) == 15 + 1 + 3 and sum(r["doc_id"] == 7 for r in got) == 16
+    texts = sorted(r["text"] for r in got if r["doc_id"] == 7)
+    assert texts == sorted([f"{c * 12} under the crowded key" for c in "abcdefghijklmno"] + ["twice the same"])
+    by_key = {r["doc_id"]: r for r in got}
+    assert by_key[3]["text"] == line and by_key[8]["text"] == "last of all" and by_key[None]["text"] == "twice the same"
+    assert by_key[8]["_lines"]["first_docs"] == [3, 8]

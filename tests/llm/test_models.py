@@ -42,10 +42,11 @@ def test_filter_returns_every_language_of_a_gram(spark, make_docs):
     rows = [(i, "aaa bbb", "l%02d" % (i % 70)) for i in range(140)] + [(500, "zzz yyy", "other")]
     model = language_id.train(make_docs(rows))
     assert len(model.langs) == 71 and model.slots.shape[0] == 2
-    name, score = model.judge("zzz yyy")
+    name, score, _ = model.judge("zzz yyy")
     assert name == "other" and score > 0.9
-    name, score = model.judge("aaa bbb")
-    assert name != "other" and score < 0.05  # shared by seventy
+    name, score, share = model.judge("aaa bbb")
+    assert name != "other" and score < 0.05 and share > 0.9  # shared by seventy
+    assert language_id.keep_known(make_docs(rows), model).count() == len(rows)  # no text goes for the number of languages
 
 
 @tables

@@ -126,3 +126,10 @@ def test_components_of_random_graphs_and_long_paths(spark):
                 parent[max(x, y)] = min(x, y)
         got = dict(map(tuple, components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
         assert got == {v: find(v) for v in parent}
+
+
+def test_keep_one_tells_texts_of_one_key_apart(make_docs):
+    rows = [(5, f"w{i} x{i} y{i} z{i} v{i} u{i}") for i in range(20)] + [(5, "w1 x1 y1 z1 v1 u1"), (9, "w3 x3 y3 z3 v3 u3")]
+    kept = simhash.keep_one(make_docs(rows))
+    assert kept.columns == make_docs([]).columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted(rows[:20])
