@@ -94,3 +94,6 @@ BROWSER_NAMES = (
     ("brave", "Brave"),
     ("opera", "Opera"),
 )
+
+# --- Fixed values: texts in records ------------------------------------------
+ACCESS_NOTE = "metadata-only local browser signal; no raw page content, URLs, searches, or form values are retained"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronogrid.constants import ENVELOPE_KEYS, LEGACY_KEYS
+from chronogrid.constants import ACCESS_NOTE, ENVELOPE_KEYS, LEGACY_KEYS
 from chronogrid.functions import ids
 from chronogrid.functions.numbers import round_stable
 from chronogrid.functions.predicates import text_or
@@ -247,9 +247,7 @@ def metadata_only(
         F.coalesce(title, F.lit("unknown")).alias("page_title"),
         safe_host.alias("hostname"),
         safe_host.alias("domain"),
-        F.lit("metadata-only local browser signal; no raw page content, URLs, searches, or form values are retained").alias(
-            "access_note"
-        ),
+        F.lit(ACCESS_NOTE).alias("access_note"),
     )
 
 
