@@ -87,11 +87,17 @@ def with_late_status(rows: DataFrame, on_time_ms: int, delayed_ms: int) -> DataF
 
 
 def sessions(rows: DataFrame, key: str, gap: str, lateness: str = "1 day") -> DataFrame:
-    """Activity sessions per key, closed by a gap; on a stream they appear once the watermark has passed."""
+    """Activity sessions per key, closed by a gap; on a stream they appear once the watermark has passed.
+
+    The end is exclusive: an event exactly ``gap`` after the one before opens a
+    session of its own. Spark joins windows that only touch, so they are cut a
+    microsecond short and the end is put back.
+    """
     timed = rows.withWatermark("ts", lateness) if rows.isStreaming else rows
-    grouped = timed.groupBy(F.session_window("ts", gap), key).agg(F.count(F.lit(1)).alias("events"))
+    grouped = timed.groupBy(F.session_window("ts", f"{gap} -1 microseconds"), key).agg(F.count(F.lit(1)).alias("events"))
+    end = F.col("session_window.end") + F.expr("INTERVAL 1 MICROSECOND")
     return grouped.select(
-        key, F.unix_millis("session_window.start").alias("start_ms"), F.unix_millis("session_window.end").alias("end_ms"), "events"
+        key, F.unix_millis("session_window.start").alias("start_ms"), F.unix_millis(end).alias("end_ms"), "events"
     )
 
 

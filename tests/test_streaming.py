@@ -62,3 +62,18 @@ def test_failed_batch_leaves_no_mark(spark, tmp_path):
         jobs.read_inbox(spark, inbox, rows.schema), str(tmp_path / "records"), str(tmp_path / "manifest"), str(tmp_path / "mark"), 1
     )
     assert spark.read.parquet(str(tmp_path / "manifest")).count() == 1
+
+
+def test_an_event_at_the_end_of_a_session_opens_the_next(spark, tmp_path):
+    gap = 600_000
+    times = [0, gap - 1, 2 * gap - 1, 2 * gap, 3 * gap + 1, 90 * gap]
+    rows = spark.createDataFrame([("u", t) for t in times], "user string, ms bigint").select("user", F.timestamp_millis("ms").alias("ts"))
+    expected = {(0, 2 * gap - 1, 2), (2 * gap - 1, 3 * gap, 2), (3 * gap + 1, 4 * gap + 1, 1)}
+    columns = ["start_ms", "end_ms", "events"]
+    batch = {tuple(r) for r in jobs.sessions(rows, "user", "10 minutes").select(*columns).collect()}
+    assert batch == expected | {(90 * gap, 91 * gap, 1)}
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows.coalesce(1).write.parquet(inbox)
+    stream = jobs.sessions(jobs.read_inbox(spark, inbox, rows.schema), "user", "10 minutes", "10 minutes")
+    jobs.drain_to_files(stream, out, str(tmp_path / "mark"))
+    assert {tuple(r) for r in spark.read.parquet(out).select(*columns).collect()} == expected
