@@ -112,8 +112,8 @@ def n04_merged(spark, sf_dir):
 )
 def n08_rolling(spark, sf_dir):
     """Devices that used an app in the last seven days, and those of them that did in the seven days before."""
-    keys = [F.col("modality").alias("app"), floor_index(F.col("start_ms"), DAY).alias("day")]
-    return presence.rolling_distinct(presence.distinct_states(b.obs(spark, sf_dir), keys, "device"), ["app"])
+    rows = b.obs(spark, sf_dir).select(F.col("modality").alias("app"), floor_index(F.col("start_ms"), DAY).alias("day"), "device")
+    return presence.rolling_members(rows, ["app"], "device")
 
 
 @register(

@@ -144,3 +144,28 @@ def test_rolling_distinct_members_across_days(spark):
     states = presence.distinct_states(spark.createDataFrame(rows, "app string, day int, m string"), [F.col("app"), F.col("day")], "m")
     found = {(r["app"], r["day"]): (r["members"], r["returning"]) for r in presence.rolling_distinct(states, ["app"]).collect()}
     assert found == {("a", 0): (2, 0), ("a", 3): (3, 0), ("a", 8): (2, 1), ("b", 9): (1, 0)}
+
+
+def test_rolling_members_are_counted_not_estimated(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from chronogrid.operators import presence
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.randrange(60), rng.choice([None, *"pqrst"])) for _ in range(90)]
+    df = spark.createDataFrame(rows, "app string, day int, m string")
+    found = {(r["app"], r["day"]): (r["members"], r["returning"]) for r in presence.rolling_members(df, ["app"], "m").collect()}
+
+    def members(app, low, high):
+        return {m for a, d, m in rows if a == app and low <= d <= high and m is not None}
+
+    expected = {}
+    for app, day, _ in rows:
+        now, before = members(app, day - 6, day), members(app, day - 13, day - 7)
+        expected[app, day] = (len(now), len(now & before))
+    assert found == expected
+    crowd = spark.range(20_000).select(F.lit("a").alias("app"), (F.col("id") % 2 * 7).alias("day"), (F.col("id") % 14_999).cast("string").alias("m"))
+    counts = {(r["day"], r["members"], r["returning"]) for r in presence.rolling_members(crowd, ["app"], "m").collect()}
+    assert counts == {(0, 10_000, 0), (7, 10_000, 5_001)}
