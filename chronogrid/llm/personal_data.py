@@ -48,14 +48,11 @@ WORDS = {
     "other": r"order|invoice|isbn|serial|version|token|sha|hash|\bid\b|ref|sku|doi",
 }
 AROUND = 40
-TRAINING_DOCS = 20_000
-TRAINING_ROWS = 40_000
 CALIBRATION = 0.3
 PRECISION = 0.98
 TREES = 12
 DEPTH = 3
 BLOCK = 128
-PARTS = 16
 
 
 class Model(NamedTuple):
@@ -338,29 +335,28 @@ def _with_matches(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(kind, m, before, after, label): proposals of all kinds; label is null where nothing is known."""
-    rows = stored(_with_matches(docs, key, text).where("any"), "matches")
-    parts = []
+    """(kind, m, before, after, label): proposals of all kinds, from one reading; label is null where nothing is known."""
+    rows = _with_matches(docs, key, text).where("any")
+    rows = rows.select("*", *[F.filter(f"all_{kind}", lambda b: valid(kind, b["m"])).alias(f"base_{kind}") for kind in KINDS])
+    found = []
     for place, kind in enumerate(KINDS):
-        base = F.filter(f"all_{kind}", lambda b: valid(kind, b["m"]))
-        found = rows.select(base.alias("base"), F.array_distinct(proposals(kind, F.col("t"), F.col(f"all_{kind}"))).alias("found"))
-        each = found.where(F.size("found") > 0).select("base", F.explode("found").alias("p"))
-        p = F.col("p")
-        is_base = F.exists("base", lambda b: (b["s"] == p["s"]) & (b["e"] == p["e"]))
-        broken = {
-            "email": ~p["m"].rlike(r"(?i)\.|\bdot\b"),
-            "ip": ~_byte_parts(p["m"]),
-            "card": ~F.call_function("luhn_check", _digits(p["m"])),
-            "phone": ~valid("phone", p["m"]),
-        }[kind]
-        in_word = p["before"].rlike("[A-Za-z0-9_]$") | p["after"].rlike("^[A-Za-z0-9_]")
-        wrong = F.exists("base", lambda b: _overlap(b, p)) | broken | in_word
-        label = F.when(is_base, F.lit(1.0)).when(wrong, F.lit(0.0))
-        parts.append(each.select(F.lit(place).alias("kind"), "p.m", "p.before", "p.after", label.alias("label")))
-    known = parts[0]
-    for part in parts[1:]:
-        known = known.unionByName(part)
-    return known
+
+        def known(p: Column) -> Column:
+            base = F.col(f"base_{kind}")
+            is_base = F.exists(base, lambda b: (b["s"] == p["s"]) & (b["e"] == p["e"]))
+            broken = {
+                "email": lambda: ~p["m"].rlike(r"(?i)\.|\bdot\b"),
+                "ip": lambda: ~_byte_parts(p["m"]),
+                "card": lambda: ~F.call_function("luhn_check", _digits(p["m"])),
+                "phone": lambda: ~valid("phone", p["m"]),
+            }[kind]()
+            in_word = p["before"].rlike("[A-Za-z0-9_]$") | p["after"].rlike("^[A-Za-z0-9_]")
+            wrong = F.exists(base, lambda b: _overlap(b, p)) | broken | in_word
+            label = F.when(is_base, F.lit(1.0)).when(wrong, F.lit(0.0))
+            return F.struct(F.lit(place).alias("kind"), p["m"].alias("m"), p["before"].alias("before"), p["after"].alias("after"), label.alias("label"))
+
+        found.append(F.transform(F.array_distinct(proposals(kind, F.col("t"), F.col(f"all_{kind}"))), known))
+    return rows.select(F.inline(F.concat(*found)))
 
 
 def other_places(known: DataFrame) -> DataFrame:
@@ -383,28 +379,36 @@ def other_places(known: DataFrame) -> DataFrame:
     return changed
 
 
-def train(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = TRAINING_DOCS, max_rows: int = TRAINING_ROWS
-) -> Model:
-    """Trees and thresholds from about ``max_docs`` documents and at most ``max_rows`` proposals, both picked by hash.
+def training_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(kept, kind, found, label, n): every labelled proposal of every document, and its copies in other places.
+
+    Proposals of equal features and label are one row of weight ``n``. ``kept`` marks the share that sets the
+    thresholds; equal proposals with equal surroundings are on one side.
+    """
+    known = stored(labelled(docs, key, text).where("label is not null"), "proposals")
+    share = hash_share(F.concat_ws("|", "kind", "m", "before", "after"))
+    each = known.unionByName(other_places(known)).select(
+        (share < CALIBRATION).alias("kept"), "kind", features(F.col("kind"), F.col("m"), F.col("before"), F.col("after")).alias("found"), "label"
+    )
+    return each.groupBy("kept", "kind", "found", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    """Trees and thresholds from all labelled proposals of all documents.
 
     Without proposals of both labels there are no trees, and base spans alone are found.
     """
     nothing = Model([], [], {kind: 2.0 for kind in KINDS})
-    picked = docs.where(hash_share(F.col(key).cast("string")) * F.lit(docs.count()) <= max_docs)
-    known = labelled(picked, key, text).where("label is not null")
-    share = hash_share(F.concat_ws("|", "kind", "m", "before", "after"))
-    known = stored(known.unionByName(other_places(known)).withColumn("share", share), "proposals")
-    bound = known.orderBy("share", "m", "before", "after", "kind").limit(max_rows).repartition(PARTS)
-    rows = stored(bound.withColumn("found", features(F.col("kind"), F.col("m"), F.col("before"), F.col("after"))), "examples")
-    fitted = rows.where(F.col("share") >= CALIBRATION).select(array_to_vector("found").alias("features"), "label")
-    counts = {r["label"]: r["count"] for r in fitted.groupBy("label").count().collect()}
-    if len(counts) < 2:
+    # sorted, so that sums of fractions come out alike in every run
+    rows = stored(training_rows(docs, key, text).sortWithinPartitions("found", "label"), "examples")
+    fitted = rows.where("not kept").select(array_to_vector("found").alias("features"), "label", F.col("n").cast("double").alias("n"))
+    if len(fitted.select("label").distinct().collect()) < 2:
         return nothing
-    boosted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=11, stepSize=0.3, cacheNodeIds=False).fit(fitted)
+    grower = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=11, stepSize=0.3, cacheNodeIds=False, weightCol="n")
+    boosted = grower.fit(fitted)
     model = Model([_nested(t._call_java("rootNode")) for t in boosted.trees], list(boosted.treeWeights), nothing.thresholds)
-    judged = rows.where(F.col("share") < CALIBRATION).select("kind", "label", F.floor(score(model, F.col("found")) * 200).alias("step"))
-    steps = judged.groupBy("kind", "step").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n")).collect()
+    judged = rows.where("kept").select("kind", "label", "n", F.floor(score(model, F.col("found")) * 200).alias("step"))
+    steps = judged.groupBy("kind", "step").agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("n")).collect()
     return model._replace(thresholds={kind: _threshold([r for r in steps if r["kind"] == i]) for i, kind in enumerate(KINDS)})
 
 

@@ -149,3 +149,13 @@ def test_long_runs_stay_linear(make_docs, trained):
     names = list(PATTERNS)
     assert all(found[i]["base"] == [] for i in range(5))
     assert [(names[x["kind"]], x["s"], x["e"]) for x in found[5]["base"]] == plain(many)
+
+
+def test_every_document_and_proposal_is_learnt_from(spark, make_docs):
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a"), "id", F.lit("@b.cc and 1.2.3."), F.col("id") % 300).alias("text"))
+    rows = personal_data.training_rows(docs)
+    found = {r["kind"]: r["n"] for r in rows.where("label = 1").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    ips = sum(i % 300 <= 255 for i in range(24_000))
+    assert found == {0: 3 * 24_000, 1: 3 * ips}  # as they stand, and in two other places
+    wrong = rows.where("label = 0 and kind = 1").agg(F.sum("n")).first()[0]
+    assert wrong == 24_000 - ips
