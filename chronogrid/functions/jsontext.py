@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,17 +22,17 @@ def n_keys(text: Column) -> Column:
     return F.coalesce(F.size(F.json_object_keys(text)), F.lit(0)).cast("bigint")
 
 
-@F.pandas_udf(T.StringType())
-def canonical_json_exact(texts: pd.Series) -> pd.Series:
-    """Key-sorted compact JSON with ASCII escapes and untouched number forms."""
+# The functions below take texts of any length row by row: pickled rows reach Python a hundred at a time, while an
+# Arrow batch of ten thousand texts would grow with their length.
 
-    def one(text):
-        try:
-            return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
-        except UNREADABLE:
-            return None
 
-    return texts.map(one)
+@F.udf(returnType=T.StringType(), useArrow=False)
+def canonical_json_exact(text: str | None) -> str | None:
+    """Key-sorted compact JSON with ASCII escapes and untouched number forms."""
+    try:
+        return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
+    except UNREADABLE:
+        return None
 
 
 def _measure(value) -> tuple[int, int]:
@@ -55,30 +54,23 @@ FACTS_TYPE = T.StructType(
 )
 
 
-@F.pandas_udf(FACTS_TYPE)
-def json_facts(texts: pd.Series) -> pd.DataFrame:
+@F.udf(returnType=FACTS_TYPE, useArrow=False)
+def json_facts(text: str | None) -> tuple:
     """Canonical text, depth and scalar count from one parse; all NULL for text that is not JSON."""
-    rows = []
-    for text in texts:
-        try:
-            value = json.loads(text)
-            rows.append((json.dumps(value, sort_keys=True, separators=(",", ":")), *_measure(value)))
-        except UNREADABLE:
-            rows.append((None, None, None))
-    return pd.DataFrame(rows, columns=["canonical", "depth", "scalars"]).astype({"depth": "Int64", "scalars": "Int64"})
-
-
-@F.pandas_udf(T.LongType())
-def pretty_size(texts: pd.Series) -> pd.Series:
-    """Length of the indented, key-sorted text."""
+    try:
+        value = json.loads(text)
+        return json.dumps(value, sort_keys=True, separators=(",", ":")), *_measure(value)
+    except UNREADABLE:
+        return None, None, None
 
-    def one(text):
-        try:
-            return len(json.dumps(json.loads(text), indent=2, sort_keys=True, ensure_ascii=False))
-        except UNREADABLE:
-            return None
 
-    return texts.map(one).astype("Int64")
+@F.udf(returnType=T.LongType(), useArrow=False)
+def pretty_size(text: str | None) -> int | None:
+    """Length of the indented, key-sorted text."""
+    try:
+        return len(json.dumps(json.loads(text), indent=2, sort_keys=True, ensure_ascii=False))
+    except UNREADABLE:
+        return None
 
 
 def display_summary(payload: Column, dropped: tuple[str, ...] = ("payload", "page_content")) -> Column:
