@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -269,32 +268,23 @@ def transcribe(pages: DataFrame, engine: Transcriber, retries: int = 0) -> DataF
 
     ``pages`` needs ``content``. The engine returns ``text`` and, if it likes, ``latency_ms``.
     """
-    carried = [f for f in pages.schema.fields if f.name != "content"]
-    kept = [f.name for f in carried]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, latencies, errors = [], [], []
-            for content in batch["content"]:
-                text, latency, problem = None, None, None
-                for _ in range(retries + 1):
-                    try:
-                        answer = engine(bytes(content))
-                        text, latency, problem = answer.get("text", ""), answer.get("latency_ms"), None
-                        break
-                    except Exception as error:
-                        problem = f"{type(error).__name__}: {error}"
-                texts.append(text)
-                latencies.append(latency)
-                errors.append(problem)
-            out = batch[kept].copy()
-            out["ocr_text"] = texts
-            out["latency_ms"] = pd.array(latencies, dtype="Int64")
-            out["error"] = errors
-            yield out
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
-    return pages.mapInPandas(run, f"{fields}, ocr_text string, latency_ms bigint, error string")
+    kept = [F.col(f"`{c}`") for c in pages.columns if c != "content"]
+
+    # pickled rows: some hundred images are in Python at once, not an Arrow batch of ten thousand
+    @F.udf(returnType="ocr_text string, latency_ms bigint, error string", useArrow=False)
+    def asked(content: bytearray) -> tuple:
+        problem = None
+        for _ in range(retries + 1):
+            try:
+                answer = engine(bytes(content))
+                latency = answer.get("latency_ms")
+                return answer.get("text", ""), None if latency is None else int(latency), None
+            except Exception as error:
+                problem = f"{type(error).__name__}: {error}"
+        return None, None, problem
+
+    answered = pages.select(*kept, asked.asNondeterministic()("content").alias("_answer"))
+    return answered.select(*kept, "_answer.*")
 
 
 def classify_pages(transcribed: DataFrame) -> DataFrame:

@@ -105,3 +105,24 @@ def test_deeply_nested_json_counts_as_none(spark):
     one, two = sorted(found.collect())
     assert tuple(one["f"]) == (None, None, None) and one["n"] is None and one["c"] is None
     assert tuple(two["f"]) == ('{"a":2,"b":[1,"x"]}', 3, 3) and two["c"] == '{"a":2,"b":[1,"x"]}'
+
+
+def test_python_holds_few_texts_at_a_time(spark):
+    from chronogrid.functions import jsontext
+    from chronogrid.plans import jobs
+
+    def engine(content):
+        import sys
+
+        frames, held = sys._getframe(), 0
+        while frames:
+            held = max([held] + [len(v) for v in frames.f_locals.values() if isinstance(v, (list, tuple)) or type(v).__name__ == "DataFrame"])
+            frames = frames.f_back
+        return {"text": str(held), "latency_ms": len(content)}
+
+    pages = spark.range(0, 5_000, 1, 1).select("id", F.lit(b"abc").alias("content"))
+    rows = jobs.transcribe(pages, engine).collect()
+    assert len(rows) == 5_000 and {r["latency_ms"] for r in rows} == {3}
+    assert max(int(r["ocr_text"]) for r in rows) <= 200
+    plan = spark.range(3).select(*[f(F.col("id").cast("string")) for f in (jsontext.json_facts, jsontext.pretty_size, jsontext.canonical_json_exact)])
+    assert "ArrowEvalPython" not in plan._jdf.queryExecution().toString()
