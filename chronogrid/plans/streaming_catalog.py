@@ -16,26 +16,31 @@ EV = "epoch_us(ts) // 1000"
 LATENESS = "40 days"
 
 
-def inbox(df, label, order, files=3):
-    """Write rows as several files, so that a stream sees several batches."""
+def inbox(df, label, order, batches=3):
+    """Write rows as the files of so many batches of a stream; returns the folder and the files of a batch.
+
+    A batch has as many files as its share of the splits of ``df``, so a task writes
+    about a split's rows whatever the input, and the batches stay as many.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.repartitionByRange(files, *order).write.parquet(path)
-    return path
+    share = -(-df.rdd.getNumPartitions() // batches)
+    df.repartitionByRange(batches * share, *order).write.parquet(path)
+    return path, share
 
 
 def heart_inbox(spark, sf_dir):
     rows = b.bins(spark, sf_dir).withColumn("ts", F.timestamp_millis("start_ms"))
-    path = inbox(rows, "inbox", ["start_ms", "seq"])
-    return jobs.read_inbox(spark, path, rows.schema, files_per_batch=1)
+    path, share = inbox(rows, "inbox", ["start_ms", "seq"])
+    return jobs.read_inbox(spark, path, rows.schema, files_per_batch=share)
 
 
 @register("j01_inbox_drain", f"SELECT event_id, user_id, {EV} AS start_ms, value FROM events")
 def j01(spark, sf_dir):
     """Two drains of one inbox: the second finds nothing new."""
     rows = b.table(spark, sf_dir, "events").select("event_id", "user_id", b.utc_ms(F.col("ts")).alias("start_ms"), "value")
-    path, out, mark = inbox(rows, "inbox", ["event_id"]), scratch_path(spark, "drained"), scratch_path(spark, "mark")
+    (path, share), out, mark = inbox(rows, "inbox", ["event_id"]), scratch_path(spark, "drained"), scratch_path(spark, "mark")
     for _ in range(2):
-        jobs.drain_to_files(jobs.read_inbox(spark, path, rows.schema, files_per_batch=1), out, mark)
+        jobs.drain_to_files(jobs.read_inbox(spark, path, rows.schema, files_per_batch=share), out, mark)
     return spark.read.schema(rows.schema).parquet(out)
 
 
@@ -86,7 +91,8 @@ def j03_1d(spark, sf_dir):
 )
 def j04(spark, sf_dir):
     rows = b.bins(spark, sf_dir, shared=True)
-    stream = jobs.read_inbox(spark, inbox(rows, "inbox", ["start_ms", "seq"], files=2), rows.schema, files_per_batch=1)
+    path, share = inbox(rows, "inbox", ["start_ms", "seq"], batches=2)
+    stream = jobs.read_inbox(spark, path, rows.schema, files_per_batch=share)
     out = scratch_path(spark, "proxy")
     jobs.drain_proxy(stream, scratch_path(spark, "bins"), out, scratch_path(spark, "mark"))
     return spark.read.parquet(out).select("device", "canonical_index", "bpm", "bins_used")
@@ -128,8 +134,8 @@ def j05(spark, sf_dir):
     """Every event is pushed twice, in different files."""
     rows = b.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
     twice = rows.withColumn("push", F.explode(F.array(F.lit(0), F.lit(1))))
-    path, out = inbox(twice, "inbox", ["push", "event_id"], files=4), scratch_path(spark, "once")
-    stream = jobs.read_inbox(spark, path, twice.schema, files_per_batch=2)
+    (path, share), out = inbox(twice, "inbox", ["push", "event_id"], batches=4), scratch_path(spark, "once")
+    stream = jobs.read_inbox(spark, path, twice.schema, files_per_batch=2 * share)
     jobs.drain_to_files(jobs.drop_repeats(stream, ["event_id"], LATENESS), out, scratch_path(spark, "mark"))
     return spark.read.parquet(out).select("event_id", F.unix_millis("ts").alias("start_ms"))
 
@@ -143,7 +149,7 @@ def j06(spark, sf_dir):
     rows = b.table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("artifact_id"), F.col("event_type").alias("source"), F.col("event_id").alias("last_event")
     )
-    path, out = inbox(rows, "inbox", ["last_event"]), scratch_path(spark, "keyed")
+    (path, _), out = inbox(rows, "inbox", ["last_event"]), scratch_path(spark, "keyed")
     stream = jobs.read_inbox(spark, path, rows.schema)
 
     def each(batch, batch_id):
@@ -162,7 +168,7 @@ def j07(spark, sf_dir):
     rows = b.obs(spark, sf_dir).select(
         "event_id", "end_ms", (F.col("end_ms") + F.col("k") * F.col("k") * F.lit(1000)).alias("ingest_ms")
     )
-    path, out = inbox(rows, "inbox", ["event_id"]), scratch_path(spark, "late")
+    (path, _), out = inbox(rows, "inbox", ["event_id"]), scratch_path(spark, "late")
     stream = jobs.with_late_status(jobs.read_inbox(spark, path, rows.schema), 300_000, 3_600_000)
     jobs.drain_to_files(stream.select("event_id", "delay_ms", "status"), out, scratch_path(spark, "mark"))
     return spark.read.parquet(out)
@@ -198,7 +204,7 @@ def j07_touched(spark, sf_dir):
 def j08(spark, sf_dir):
     """The first run dies between the records and the manifest; the second takes the batch again."""
     rows = doc_inbox(spark, sf_dir)
-    path, mark = inbox(rows, "inbox", ["rel_path"], files=2), scratch_path(spark, "mark")
+    (path, _), mark = inbox(rows, "inbox", ["rel_path"], batches=2), scratch_path(spark, "mark")
     records, manifest = scratch_path(spark, "records"), scratch_path(spark, "manifest")
 
     def torn(batch, batch_id):

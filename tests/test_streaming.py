@@ -77,3 +77,12 @@ def test_an_event_at_the_end_of_a_session_opens_the_next(spark, tmp_path):
     stream = jobs.sessions(jobs.read_inbox(spark, inbox, rows.schema), "user", "10 minutes", "10 minutes")
     jobs.drain_to_files(stream, out, str(tmp_path / "mark"))
     assert {tuple(r) for r in spark.read.parquet(out).select(*columns).collect()} == expected
+
+
+def test_an_inbox_has_files_by_the_splits_of_its_rows(spark):
+    from chronogrid.plans import streaming_catalog
+
+    for splits, share in ((1, 1), (3, 1), (10, 4)):
+        path, found = streaming_catalog.inbox(spark.range(0, 3_000, 1, splits), "inbox", ["id"])
+        files = spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()
+        assert found == share and len(files) == 3 * share and max(r["count"] for r in files) <= 2 * 3_000 / (3 * share)
