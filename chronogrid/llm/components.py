@@ -10,7 +10,7 @@ from chronogrid.session import cut_lineage
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a vertex is tied to the smallest of its neighbourhood."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
@@ -19,8 +19,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """A vertex and its smaller neighbours are tied to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    tied = [F.struct(F.col(v).alias("a"), F.col("m").alias("b")) for v in ("a", "b")]
+    return down.join(least, "a").select(F.inline(F.array(*tied))).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -42,8 +42,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def _all_stars(edges: DataFrame) -> bool:
     """No vertex has two smaller neighbours, and none has both a smaller and a larger one."""
-    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
-        edges.select("b", F.lit(0), F.lit(1))
-    )
+    ends = [F.struct(F.col(v).alias("v"), F.lit(below).alias("below"), F.lit(1 - below).alias("above")) for v, below in (("a", 1), ("b", 0))]
+    ends = edges.select(F.inline(F.array(*ends)))
     tied = ends.groupBy("v").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
     return tied.where("below > 1 or (below = 1 and above = 1)").limit(1).count() == 0

@@ -9,7 +9,7 @@ by their whole sets, so no link rests on a hash of a few bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ SIMILARITY = 0.8
 BANDS = 40
 ROWS = 6
 BLOCK = 512
-ROUNDS = 3
+HEADS = 3
 _salts = np.random.default_rng(5).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint64).astype(np.uint32)
 _SALT, _FACTOR = _salts[0], _salts[1] | np.uint32(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -102,26 +102,36 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(_jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
 
 
-def _placed(shared: DataFrame, links: DataFrame) -> DataFrame:
+def _open_keys(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, k, n, root): the members of the band keys that hold members of several groups, with their groups so far."""
-    roots = components(links).select(F.col("vertex").alias("k"), "root")
     placed = stored(shared.join(roots, "k", "left").select("key", "k", "n", F.coalesce("root", "k").alias("root")), "placed")
     split = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
     return stored(placed.join(split.select("key"), "key", "left_semi"), "open")
 
 
+def _strangers(held: DataFrame, sets: DataFrame, sizes_fit: Callable[[str, str], Column], similarity: float) -> DataFrame:
+    """The links (a, b) between members of different groups of a key."""
+    crowded = held.join(sets, "k")
+    main = held.groupBy("key").agg(F.min("root").alias("main"))
+    left = crowded.join(main, "key").where("root <> main").select("key", F.col("k").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("s").alias("sa"))
+    right = crowded.select("key", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("s").alias("sb"))
+    other = (F.col("ra") != F.col("rb")) & sizes_fit("na", "nb")
+    alike = F.when(other, _jaccard(F.col("sa"), F.col("sb")) >= similarity).otherwise(F.lit(False))
+    return left.join(right, (left["key"] == right["key"]) & alike).select("a", "b").distinct()
+
+
 def near_groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, similarity: float = SIMILARITY
 ) -> DataFrame:
     """(key, root) of the rows of ``docs`` that are in a group with others; root is the smallest key of the group.
 
     Keys are unique and not null. Texts of equal sets are one, also those
-    without words. In each of a few rounds the members of a band key are held
-    against one member, the smallest first and then others picked by hash, and
-    the groups grow together: as many comparisons as members, however large a
-    crowd is. Only where a key still holds several groups after the rounds are
-    its members compared across groups, by their whole sets inside the join, so
-    that links alone leave it and no link between groups is missed.
+    without words. The members of a band key are held against HEADS of them at
+    once, the smallest and others picked by hash: a fixed number of comparisons
+    a member, however large a crowd is, and one search for groups. Only where a
+    key still holds several groups after that are its members compared across
+    groups, by their whole sets inside the join, so that links alone leave it
+    and no link between groups is missed.
     """
     sketches = stored(_sketches(docs, key, text, words), "sketches")
     named = stored(sketches.groupBy("h", "g").agg(F.min("k").alias("node"), F.count(F.lit(1)).alias("copies")), "sets")
@@ -136,27 +146,20 @@ def near_groups(
     def sizes_fit(m: str, n: str) -> Column:
         return F.least(m, n) >= F.greatest(m, n) * F.lit(similarity * (1 - 1e-9))
 
-    links = shared.select(F.col("k").alias("a"), F.col("k").alias("b")).where("false")
-    held = shared.withColumn("root", F.col("k"))
-    for turn in range(ROUNDS):
-        order = F.xxhash64("k", F.lit(turn)) if turn else F.col("k")
-        heads = held.groupBy("key").agg(F.min_by(F.struct("k", "n", "root"), order).alias("head"))
-        met = held.join(heads, "key").where((F.col("root") != F.col("head.root")) & sizes_fit("n", "head.n"))
-        a, b = F.least("k", "head.k").alias("a"), F.greatest("k", "head.k").alias("b")
-        links = links.unionByName(stored(_similar(met.select(a, b).distinct(), sets, similarity), "near"))
-        held = _placed(shared, links)
-        if not held.limit(1).count():
-            break
-    crowded = held.join(sets, "k")
-    main = held.groupBy("key").agg(F.min("root").alias("main"))
-    left = crowded.join(main, "key").where("root <> main").select("key", F.col("k").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("s").alias("sa"))
-    right = crowded.select("key", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("s").alias("sb"))
-    other = (F.col("ra") != F.col("rb")) & sizes_fit("na", "nb")
-    alike = F.when(other, _jaccard(F.col("sa"), F.col("sb")) >= similarity).otherwise(F.lit(False))
-    last = left.join(right, (left["key"] == right["key"]) & alike).select("a", "b").distinct()
-    links = links.unionByName(stored(last, "strangers"))
-    roots = components(links).select(F.col("vertex").alias("node"), "root")
-    grouped = named.join(roots, "node", "left").where("copies > 1 or root is not null")
+    def member_roots(links: DataFrame) -> DataFrame:
+        return stored(components(links).select(F.col("vertex").alias("k"), "root"), "roots")
+
+    orders = [F.xxhash64("k", F.lit(turn)) if turn else F.col("k") for turn in range(HEADS)]
+    heads = shared.groupBy("key").agg(F.array(*[F.min_by(F.struct("k", "n"), order) for order in orders]).alias("heads"))
+    met = shared.join(heads, "key").select("k", "n", F.explode(F.array_distinct("heads")).alias("head"))
+    met = met.where((F.col("k") != F.col("head.k")) & sizes_fit("n", "head.n"))
+    pairs = met.select(F.least("k", "head.k").alias("a"), F.greatest("k", "head.k").alias("b")).distinct()
+    links = stored(_similar(pairs, sets, similarity), "near")
+    roots = member_roots(links)
+    held = _open_keys(shared, roots)
+    if held.limit(1).count():
+        roots = member_roots(links.unionByName(stored(_strangers(held, sets, sizes_fit, similarity), "strangers")))
+    grouped = named.join(roots.withColumnRenamed("k", "node"), "node", "left").where("copies > 1 or root is not null")
     tied = grouped.select("h", "g", F.coalesce("root", "node").alias("root"))
     return sketches.select("k", "h", "g").join(tied, ["h", "g"]).select(F.col("k").alias(key), "root")
 

@@ -61,6 +61,16 @@ def test_crowd_that_shares_a_passage(make_docs):
     assert {r["doc_id"] for r in near_copies.keep_one(make_docs(rows)).collect()} == plain_kept(rows)
 
 
+def test_groups_are_searched_twice_at_most(make_docs, monkeypatch):
+    """Every search for groups leaves its plans with the driver, so their number does not follow the heads."""
+    rng, searches, plain = random.Random(8), [], near_copies.components
+    monkeypatch.setattr(near_copies, "components", lambda *a: searches.append(1) or plain(*a))
+    shared = " ".join(f"s{i}" for i in range(120))
+    rows = [(i, f"{shared} " + " ".join(f"e{rng.randrange(10_000)}" for _ in range(40))) for i in range(30)]
+    assert {r["doc_id"] for r in near_copies.keep_one(make_docs(rows)).collect()} == plain_kept(rows)
+    assert len(searches) <= 2
+
+
 def test_edge_rows(make_docs, odd_rows):
     kept = [r["doc_id"] for r in near_copies.keep_one(make_docs(odd_rows)).collect()]
     assert sorted(k for k in kept if k is not None) == [-5, 1, 3, 6, 8, 9] and kept.count(None) == 1
