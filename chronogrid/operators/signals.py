@@ -33,6 +33,16 @@ SERIES_ORDER = ["start_ms", "end_ms", "seq"]
 BLOCK_MINUTES = 60
 
 
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by hash of ``keys`` over all ``spark.sql.shuffle.partitions``.
+
+    A number that is named is not merged down to a few large tasks, whose maps
+    would hold far more than the packed shuffle blocks let expect: one row of a
+    block becomes a band of windows, and nulls pack to nothing.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def previous_in_band(bins: DataFrame, band: int) -> DataFrame:
     """device, _block, start_ms, bpm and ``prev`` (start_ms, bpm): the bin before, if it is at most ``band`` minutes older.
 
@@ -50,7 +60,7 @@ def previous_in_band(bins: DataFrame, band: int) -> DataFrame:
         "device", *SERIES_ORDER, "bpm", F.inline(F.when(leads, F.array(own, ahead)).otherwise(F.array(own)))
     )
     inside = Window.partitionBy("device", "_block").orderBy(*SERIES_ORDER)
-    linked = placed.select(
+    linked = spread_by(placed, "device", "_block").select(
         "device", "_block", "_lead", "start_ms", "bpm", F.lag(F.struct("start_ms", "bpm")).over(inside).alias("prev")
     )
     near = floor_index(F.col("prev.start_ms")) + F.lit(band) >= minute
@@ -58,7 +68,7 @@ def previous_in_band(bins: DataFrame, band: int) -> DataFrame:
 
 
 def proxy_parts(bins: DataFrame, band: int = PROXY_BAND_BINS) -> DataFrame:
-    """Sums behind the rolling proxy: device, canonical_index, band_bins, pairs, square_sum.
+    """Sums behind the rolling proxy: device, canonical_index, band_bins, pairs, square_sum; a row for each block a window's band lies in.
 
     The band of window i holds bins with start in [60s*(i-band+1), 60s*(i+1)],
     both ends inclusive. Adjacent differences inside a band are exactly the
@@ -85,11 +95,11 @@ def proxy_parts(bins: DataFrame, band: int = PROXY_BAND_BINS) -> DataFrame:
     )
     spread = per_minute.withColumn("canonical_index", F.explode(F.sequence("lo", "hi")))
     paired = F.coalesce(F.col("canonical_index") <= F.col("pair_hi"), F.lit(False))
-    return spread.groupBy("device", "canonical_index").agg(
+    return spread.groupBy("device", "_block", "canonical_index").agg(
         F.sum("n").alias("band_bins"),
         F.sum(F.when(paired, F.col("n")).otherwise(F.lit(0))).alias("pairs"),
         F.sum(F.when(paired, F.col("square_sum")).otherwise(F.lit(0.0))).alias("square_sum"),
-    )
+    ).drop("_block")
 
 
 def rolling_proxy(bins: DataFrame, candidates: DataFrame | None = None, band: int = PROXY_BAND_BINS) -> DataFrame:
@@ -186,7 +196,8 @@ def align_windows(bins: DataFrame, hrv: DataFrame, stress: DataFrame, sleep: Dat
     reduced to one row per window first; only the stage lists, which are no
     numbers, are joined on, and both sides of that join already lie by window.
     The proxy counts only where a measured modality makes the window a
-    candidate. ``bins`` must be de-duplicated.
+    candidate; its sums come by block and are added up in the same groupBy.
+    ``bins`` must be de-duplicated.
     """
     window = ["device", "canonical_index"]
     first = F.min_by(F.struct("sdnn_ms", "rmssd_ms"), F.struct("source_file", "seq")).alias("first")
@@ -218,7 +229,7 @@ def align_windows(bins: DataFrame, hrv: DataFrame, stress: DataFrame, sleep: Dat
         "_n_sleep": F.count_if(is_kind["sleep_stage"]),
         "_n_hr": F.count_if(is_kind["heart_rate"]),
     }
-    wide = rows.groupBy(*window).agg(*[v.alias(k) for k, v in aggregates.items()])
+    wide = spread_by(rows, *window).groupBy(*window).agg(*[v.alias(k) for k, v in aggregates.items()])
     measured = wide.where((F.col("_n_hr") + F.col("_n_hrv") + F.col("stress_readings") + F.col("_n_sleep")) > 0)
     codes = sleep_windows.select(*window, F.col("stage_codes").alias("sleep_stage_stage_codes"))
     measured = measured.join(codes, window, "left")

@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronogrid.operators import ordered, signals
 
@@ -169,3 +170,15 @@ def test_rolling_members_are_counted_not_estimated(spark):
     crowd = spark.range(20_000).select(F.lit("a").alias("app"), (F.col("id") % 2 * 7).alias("day"), (F.col("id") % 14_999).cast("string").alias("m"))
     counts = {(r["day"], r["members"], r["returning"]) for r in presence.rolling_members(crowd, ["app"], "m").collect()}
     assert counts == {(0, 10_000, 0), (7, 10_000, 5_001)}
+
+
+def test_windows_are_spread_over_all_partitions(spark):
+    """Small packed shuffle blocks hold many windows, so they are not merged into a few tasks with large maps."""
+    bins = make(spark, [(f"d{i % 40}", 60000 * (i // 40), i % 7) for i in range(4000)])
+    times = "device string, start_ms bigint, end_ms bigint, "
+    hrv = spark.createDataFrame([], times + "sdnn_ms double, rmssd_ms double, source_file string, seq bigint")
+    stress = spark.createDataFrame([], times + "score double")
+    sleep = spark.createDataFrame([], times + "stage_code bigint")
+    windows = signals.produce_windows(bins, hrv, stress, sleep).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in windows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(windows) == 4000 and {r["hrv_proxy_windows"] for r in windows if 9 <= r["canonical_index"] < 99} == {11}
