@@ -28,12 +28,12 @@ def _record_lines(records: DataFrame) -> Column:
 
 
 def write_records(records: DataFrame, path: str, partition: str, rows_per_file: int = 0) -> None:
-    """9-key records as JSON lines in one folder per ``partition`` value; replaces what is there.
+    """9-key records as gzipped JSON lines in one folder per ``partition`` value; replaces what is there.
 
-    Payload and provenance may be structs, which is cheaper, or JSON text, which becomes an object.
+    The keys of a record repeat in every line, so packed lines take a small part of the bytes. Payload and provenance may be structs, which is cheaper, or JSON text, which becomes an object.
     """
     writer = records.select(_record_lines(records).alias("value"), F.col(partition).alias(f"by_{partition}"))
-    writer = writer.write.mode("overwrite")
+    writer = writer.write.mode("overwrite").option("compression", "gzip")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.partitionBy(f"by_{partition}").text(path)
@@ -58,7 +58,7 @@ def upsert_records(records: DataFrame, path: str, rows_per_file: int = 0) -> Non
         F.col("artifactId").alias("_id"),
         F.col("createdAtEpochMs").alias("_created"),
     )
-    lines = cut_lineage(lines)
+    lines = cut_lineage(lines.repartition(*STORE_PARTITIONS))  # a day of a device holds 1,440 windows: one file, not one a task
     if path_exists(spark, path):
         schema = "value string, by_source string, by_device string, by_day bigint"
         old = only_touched(spark.read.schema(schema).text(path), lines, STORE_PARTITIONS)

@@ -204,3 +204,14 @@ def test_interval_in_microseconds_is_rejected_with_its_reason(spark, tmp_path):
     assert (stats["records_rejected"], stats["windows_hrv"], stats["windows_emitted"]) == (1, 1, 1)
     (r,) = spark.read.parquet(rejects).collect()
     assert r["modality"] == "hrv" and r["reason"].startswith("interval of 29")
+
+
+def test_written_records_are_packed_and_read_back(spark, tmp_path):
+    from chronogrid.sinks import tables
+    from chronogrid.sources import records
+
+    rows = spark.range(500).selectExpr("concat('wearable.win.', id) AS artifactId", "'mobile' AS source", "'{\"kind\":\"url\"}' AS payload")
+    tables.write_records(rows, str(tmp_path / "store"), "source")
+    files = list((tmp_path / "store" / "by_source=mobile").glob("part-*"))
+    lines = records.scan_records(spark, str(tmp_path / "store"), layout="lines", ordered=False).collect()
+    assert len(lines) == 500 and sum(f.stat().st_size for f in files) < sum(len(r["raw"]) + 1 for r in lines) / 3
