@@ -12,7 +12,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a vertex is tied to the smallest of its neighbourhood."""
     both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    # not made distinct: these rows are no more than the edges, and the small star behind drops the equal ones
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -45,4 +46,16 @@ def _all_stars(edges: DataFrame) -> bool:
     ends = [F.struct(F.col(v).alias("v"), F.lit(below).alias("below"), F.lit(1 - below).alias("above")) for v, below in (("a", 1), ("b", 0))]
     ends = edges.select(F.inline(F.array(*ends)))
     tied = ends.groupBy("v").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
-    return tied.where("below > 1 or (below = 1 and above = 1)").limit(1).count() == 0
+    return tied.where("below > 1 or (below = 1 and above = 1)").isEmpty()
+
+
+def tied_groups(roots: DataFrame, ties: DataFrame) -> DataFrame:
+    """(vertex, root) after the groups of ``roots`` are tied by ``ties`` (ra, rb).
+
+    ``ties`` names roots, or vertices that were in no group. Only they are
+    searched again, not the edges that made the groups.
+    """
+    above = components(ties, "ra", "rb").withColumnRenamed("root", "top")
+    grouped = roots.join(above.withColumnRenamed("vertex", "root"), "root", "left")
+    lone = above.join(roots, "vertex", "left_anti").select("vertex", F.col("top").alias("root"))
+    return grouped.select("vertex", F.coalesce("top", "root").alias("root")).unionByName(lone)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronogrid.llm.common import own_keys, real_keys, small_side, stored
-from chronogrid.llm.components import components
+from chronogrid.llm.components import components, tied_groups
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -110,14 +110,14 @@ def _open_keys(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _strangers(held: DataFrame, sets: DataFrame, sizes_fit: Callable[[str, str], Column], similarity: float) -> DataFrame:
-    """The links (a, b) between members of different groups of a key."""
+    """(ra, rb) of the groups that are tied by a link between members of a key."""
     crowded = held.join(sets, "k")
     main = held.groupBy("key").agg(F.min("root").alias("main"))
     left = crowded.join(main, "key").where("root <> main").select("key", F.col("k").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("s").alias("sa"))
     right = crowded.select("key", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("s").alias("sb"))
     other = (F.col("ra") != F.col("rb")) & sizes_fit("na", "nb")
     alike = F.when(other, _jaccard(F.col("sa"), F.col("sb")) >= similarity).otherwise(F.lit(False))
-    return left.join(right, (left["key"] == right["key"]) & alike).select("a", "b").distinct()
+    return left.join(right, (left["key"] == right["key"]) & alike).select("ra", "rb").distinct()
 
 
 def near_groups(
@@ -146,20 +146,17 @@ def near_groups(
     def sizes_fit(m: str, n: str) -> Column:
         return F.least(m, n) >= F.greatest(m, n) * F.lit(similarity * (1 - 1e-9))
 
-    def member_roots(links: DataFrame) -> DataFrame:
-        return stored(components(links).select(F.col("vertex").alias("k"), "root"), "roots")
-
     orders = [F.xxhash64("k", F.lit(turn)) if turn else F.col("k") for turn in range(HEADS)]
     heads = shared.groupBy("key").agg(F.array(*[F.min_by(F.struct("k", "n"), order) for order in orders]).alias("heads"))
     met = shared.join(heads, "key").select("k", "n", F.explode(F.array_distinct("heads")).alias("head"))
     met = met.where((F.col("k") != F.col("head.k")) & sizes_fit("n", "head.n"))
     pairs = met.select(F.least("k", "head.k").alias("a"), F.greatest("k", "head.k").alias("b")).distinct()
     links = stored(_similar(pairs, sets, similarity), "near")
-    roots = member_roots(links)
-    held = _open_keys(shared, roots)
-    if held.limit(1).count():
-        roots = member_roots(links.unionByName(stored(_strangers(held, sets, sizes_fit, similarity), "strangers")))
-    grouped = named.join(roots.withColumnRenamed("k", "node"), "node", "left").where("copies > 1 or root is not null")
+    roots = components(links)
+    held = _open_keys(shared, roots.withColumnRenamed("vertex", "k"))
+    if not held.isEmpty():
+        roots = tied_groups(roots, _strangers(held, sets, sizes_fit, similarity))
+    grouped = named.join(roots.withColumnRenamed("vertex", "node"), "node", "left").where("copies > 1 or root is not null")
     tied = grouped.select("h", "g", F.coalesce("root", "node").alias("root"))
     return sketches.select("k", "h", "g").join(tied, ["h", "g"]).select(F.col("k").alias(key), "root")
 

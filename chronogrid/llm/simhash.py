@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronogrid.llm.common import own_keys, real_keys, small_side, stored
-from chronogrid.llm.components import components
+from chronogrid.llm.components import components, tied_groups
 
 MAX_BITS = 3
 SHINGLE_WORDS = 3
@@ -103,7 +103,19 @@ def passes_ring(a: Column, b: Column, max_bits: int = MAX_BITS) -> Column:
 
 
 def near_links(prints: DataFrame, chain: int = CHAIN) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that join the same groups as all pairs within three bits.
+    """Links (a, b) between distinct fingerprints that join the same groups as all pairs within three bits."""
+    stars, _, rest = _links_and_groups(prints, chain)
+    return stars.union(rest.select("a", "b").distinct())
+
+
+def near_groups(prints: DataFrame, chain: int = CHAIN) -> DataFrame:
+    """(vertex, root) of the fingerprints that have a link; root is the smallest fingerprint of the group."""
+    _, roots, rest = _links_and_groups(prints, chain)
+    return tied_groups(roots, rest)
+
+
+def _links_and_groups(prints: DataFrame, chain: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links to the heads of keys, the groups that they make, and the links (a, b, ra, rb) between groups.
 
     First every member of a key is held against the smallest member only, which
     ties large groups without pairing them. Then only members of a key that are
@@ -120,8 +132,8 @@ def near_links(prints: DataFrame, chain: int = CHAIN) -> DataFrame:
         .where(passes_ring(F.col("a"), F.col("b")))
     )
     stars = stored(stars, "stars")
-    roots = components(stars).select(F.col("vertex").alias("fp"), "root")
-    placed = shared.select("key", "fp").join(roots, "fp", "left").select(
+    roots = components(stars)
+    placed = shared.select("key", "fp").join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select(
         "key", "fp", F.coalesce("root", "fp").alias("root")
     )
     split = placed.groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("other")).where("main <> other")
@@ -131,10 +143,9 @@ def near_links(prints: DataFrame, chain: int = CHAIN) -> DataFrame:
     rest = (
         left.join(right, "key")
         .where((F.col("ra") != F.col("rb")) & passes_ring(F.col("a"), F.col("b")))
-        .select("a", "b")
-        .distinct()
+        .select("a", "b", "ra", "rb")
     )
-    return stars.union(rest)
+    return stars, roots, rest
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", chain: int = CHAIN) -> DataFrame:
@@ -148,7 +159,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
     """
     prints = stored(fingerprints(docs, key, text).withColumnRenamed(key, "_key"), "prints")
     classes = prints.groupBy("fp").agg(F.min("_key").alias("first"))
-    roots = components(near_links(classes.select("fp"), chain))
+    roots = near_groups(classes.select("fp"), chain)
     tied = classes.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )

@@ -133,3 +133,21 @@ def test_keep_one_tells_texts_of_one_key_apart(make_docs):
     kept = simhash.keep_one(make_docs(rows))
     assert kept.columns == make_docs([]).columns
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted(rows[:20])
+
+
+def test_second_search_takes_links_between_groups_alone(spark, monkeypatch):
+    """Edges that made the groups are not searched again; a print in no group can tie two groups."""
+    from chronogrid.llm import components as stars
+
+    searched, plain = [], stars.components
+    seen = lambda edges, *a: searched.append(edges.distinct().count()) or plain(edges, *a)
+    monkeypatch.setattr(simhash, "components", seen)
+    monkeypatch.setattr(stars, "components", seen)
+    crowd = [0] + [1 << b for b in range(40)]  # every member is within three bits of the smallest
+    prints = spark.createDataFrame([(p,) for p in crowd], "fp bigint")
+    assert {tuple(r) for r in simhash.near_groups(prints).collect()} == {(p, 0) for p in crowd}
+    assert searched == [40, 0]
+    roots = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "vertex bigint, root bigint")
+    ties = spark.createDataFrame([(5, 4), (4, 1), (5, 4), (20, 30)], "ra bigint, rb bigint")
+    got = {tuple(r) for r in stars.tied_groups(roots, ties).collect()}
+    assert got == {(1, 1), (2, 1), (4, 1), (5, 1), (6, 1), (8, 8), (9, 8), (20, 20), (30, 20)}
