@@ -39,7 +39,7 @@ def read_export(spark: SparkSession, root: str, device: str, offset_mode: str =
     Typed rows are persisted, since windows and manifest both read them.
     """
     files = exports.scan_export(spark, root).persist()
-    kinds = {r["kind"] for r in files.select("kind").distinct().collect()}  # at most seven names
+    kinds = {r["kind"]: r["count"] for r in files.groupBy("kind").count().collect()}  # at most seven names
     base = root.rstrip("/")
     out = {
         "bins": exports.parse_hr_bins(exports.items_of(files, "hr_json", exports.HR_FIELDS)),
@@ -48,9 +48,10 @@ def read_export(spark: SparkSession, root: str, device: str, offset_mode: str =
         "sleep": spark.createDataFrame([], "start_ms bigint, end_ms bigint, stage_code bigint, source_file string"),
     }
     if "stress" in kinds:
-        out["stress"] = exports.stress_sheet(exports.sheet_lines(spark, f"{base}/{exports.STRESS_CSV}"), offset_mode)
+        out["stress"] = exports.stress_sheet(exports.sheet_lines(spark, f"{base}/{exports.STRESS_CSV}"), offset_mode, kinds["stress"])
     if "sleep_stage" in kinds:
-        out["sleep"] = exports.sleep_stage_sheet(exports.sheet_lines(spark, f"{base}/{exports.SLEEP_STAGE_CSV}"), offset_mode)
+        lines = exports.sheet_lines(spark, f"{base}/{exports.SLEEP_STAGE_CSV}")
+        out["sleep"] = exports.sleep_stage_sheet(lines, offset_mode, kinds["sleep_stage"])
     fit, rejected = {"held": [files]}, None
     for name, rows in out.items():
         held = rows.withColumn("device", F.lit(device)).persist()

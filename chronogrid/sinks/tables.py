@@ -48,6 +48,8 @@ def upsert_records(records: DataFrame, path: str, rows_per_file: int = 0) -> Non
 
     The store lies by source, device and UTC day, so a run rewrites only the
     days it has records for, and other devices and exports stay as they are.
+    New folders are moved in when all rows are written, so the merge may read
+    the folders that it replaces.
     """
     spark = records.sparkSession
     lines = records.select(
@@ -58,15 +60,17 @@ def upsert_records(records: DataFrame, path: str, rows_per_file: int = 0) -> Non
         F.col("artifactId").alias("_id"),
         F.col("createdAtEpochMs").alias("_created"),
     )
-    lines = cut_lineage(lines.repartition(*STORE_PARTITIONS))  # a day of a device holds 1,440 windows: one file, not one a task
     if path_exists(spark, path):
+        lines = cut_lineage(lines)  # read twice: for its days, and with what is stored for these
         schema = "value string, by_source string, by_device string, by_day bigint"
         old = only_touched(spark.read.schema(schema).text(path), lines, STORE_PARTITIONS)
         key = F.from_json("value", "artifactId string, createdAtEpochMs bigint")
         old = old.select("value", *STORE_PARTITIONS, key.alias("_key"))
         old = old.select("value", *STORE_PARTITIONS, F.col("_key.artifactId").alias("_id"), F.col("_key.createdAtEpochMs").alias("_created"))
-        lines = cut_lineage(keyed_upsert(old, lines.withColumn("arrival", F.lit(0)), [*STORE_PARTITIONS, "_id", "_created"]))
-    writer = lines.select("value", *STORE_PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        lines = keyed_upsert(old, lines.withColumn("arrival", F.lit(0)), [*STORE_PARTITIONS, "_id", "_created"])
+    # a day of a device holds 1,440 windows: one file, not one a task; only a day too large for a task is split
+    by_day = lines.select("value", *STORE_PARTITIONS).hint("rebalance", *STORE_PARTITIONS)
+    writer = by_day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.partitionBy(*STORE_PARTITIONS).text(path)
@@ -79,12 +83,15 @@ def only_touched(stored: DataFrame, batch: DataFrame, partitions: list[str]) ->
     """Rows of the partitions that occur in ``batch``.
 
     Up to MAX_NAMED partitions are named in the filter, so that the scan opens
-    only their folders; a wider batch touches much of the table anyway and is
-    matched by a join.
+    only their folders; for a wider batch it opens those between the least and
+    the greatest value of each column, and a join leaves the touched ones.
     """
-    touched = batch.select(*partitions).distinct()
+    touched = cut_lineage(batch.select(*partitions).distinct())  # one pass over the batch for all that follows
     named = touched.limit(MAX_NAMED + 1).collect()
     if len(named) > MAX_NAMED:
+        ends = touched.agg(*[f(p).alias(f"{n}_{i}") for i, p in enumerate(partitions) for n, f in (("min", F.min), ("max", F.max))]).first()
+        for i, p in enumerate(partitions):
+            stored = stored.where(F.col(p).isNull() | F.col(p).between(F.lit(ends[f"min_{i}"]), F.lit(ends[f"max_{i}"])))
         return stored.join(touched, [stored[p].eqNullSafe(touched[p]) for p in partitions], "left_semi")
     wanted = F.lit(True)
     for place, p in enumerate(partitions):

@@ -168,11 +168,17 @@ def _cells(line: Column) -> Column:
     )
 
 
-def sheet_rows(lines: DataFrame) -> DataFrame:
+#: up to so many sheets, the header row of each is sent to every task
+MAX_BROADCAST_SHEETS = 10_000
+
+
+def sheet_rows(lines: DataFrame, sheets: int | None = None) -> DataFrame:
     """path, order, header, cells from lines (path, line, order): the first line naming ``start_time`` is the header.
 
     The banner stands before it, data lines after it. Only one header row per
-    file is kept aside, so a very large sheet stays split over its lines.
+    file is kept aside. With the number of ``sheets`` known to be moderate the
+    headers go to the lines, so a very large sheet stays split; else lines and
+    headers meet by path.
     """
     clean = lines.withColumn("line", F.regexp_replace("line", "^\ufeff+", ""))
     headers = (
@@ -180,6 +186,8 @@ def sheet_rows(lines: DataFrame) -> DataFrame:
         .groupBy("path")
         .agg(F.min_by(_cells(F.col("line")), "order").alias("header"), F.min("order").alias("header_order"))
     )
+    if sheets is not None and sheets <= MAX_BROADCAST_SHEETS:
+        headers = F.broadcast(headers)
     cells = clean.where(F.length(F.trim("line")) > 0).select("path", "order", _cells(F.col("line")).alias("cells"))
     return cells.join(headers, "path").where(F.col("order") > F.col("header_order")).drop("header_order")
 
@@ -203,9 +211,9 @@ def _once(rows: DataFrame, columns: dict[str, Column], keep: list[str]) -> DataF
     return rows.select(*keep, F.inline(F.array(row)))
 
 
-def _times(lines: DataFrame, names: dict[str, tuple[str, ...]], offset_mode: str) -> DataFrame:
+def _times(lines: DataFrame, names: dict[str, tuple[str, ...]], offset_mode: str, sheets: int | None) -> DataFrame:
     """Named cells as text with ``start_ms`` and ``end_ms``; rows without readable times are dropped."""
-    rows = sheet_rows(lines)
+    rows = sheet_rows(lines, sheets)
     text = _once(rows, {n: _cell(*aliases) for n, aliases in names.items()}, ["path", "order"])
     offset = F.coalesce("time_offset", F.lit(""))
     start = parse_local_ts_ms(F.col("start_time"), offset, offset_mode)
@@ -219,19 +227,19 @@ def _aliases(*names: str, prefix: str | None = None) -> dict[str, tuple[str, ...
     return {n: (n, prefix + n) if prefix else (n,) for n in names}
 
 
-def stress_sheet(lines: DataFrame, offset_mode: str = "reference") -> DataFrame:
-    rows = _times(lines, _aliases("start_time", "end_time", "time_offset", "score", "datauuid"), offset_mode)
+def stress_sheet(lines: DataFrame, offset_mode: str = "reference", sheets: int | None = None) -> DataFrame:
+    rows = _times(lines, _aliases("start_time", "end_time", "time_offset", "score", "datauuid"), offset_mode, sheets)
     return rows.select(
         "start_ms", "end_ms", F.when(F.col("score").isNotNull(), as_double_or(F.col("score"))).alias("score"),
         F.coalesce("datauuid", F.lit("")).alias("data_uuid"), F.col("path").alias("source_file"), F.col("order").alias("seq"),
     )
 
 
-def sleep_sheet(lines: DataFrame, offset_mode: str = "reference") -> DataFrame:
+def sleep_sheet(lines: DataFrame, offset_mode: str = "reference", sheets: int | None = None) -> DataFrame:
     names = _aliases(
         "start_time", "end_time", "time_offset", "sleep_score", "efficiency", "sleep_type", "datauuid", prefix=SLEEP_PREFIX
     )
-    rows = _times(lines, names, offset_mode)
+    rows = _times(lines, names, offset_mode, sheets)
 
     def number(name: str) -> Column:
         return F.when(F.col(name).isNotNull(), as_double_or(F.col(name))).alias(name)
@@ -242,8 +250,8 @@ def sleep_sheet(lines: DataFrame, offset_mode: str = "reference") -> DataFrame:
     )
 
 
-def sleep_stage_sheet(lines: DataFrame, offset_mode: str = "reference") -> DataFrame:
-    rows = _times(lines, _aliases("start_time", "end_time", "time_offset", "stage", "sleep_id"), offset_mode)
+def sleep_stage_sheet(lines: DataFrame, offset_mode: str = "reference", sheets: int | None = None) -> DataFrame:
+    rows = _times(lines, _aliases("start_time", "end_time", "time_offset", "stage", "sleep_id"), offset_mode, sheets)
     return rows.withColumn("stage_code", as_int(F.col("stage"))).where("stage_code is not null").select(
         "start_ms", "end_ms", "stage_code", F.coalesce("sleep_id", F.lit("")).alias("sleep_id"),
         F.col("path").alias("source_file"), F.col("order").alias("seq"),

@@ -215,3 +215,54 @@ def test_written_records_are_packed_and_read_back(spark, tmp_path):
     files = list((tmp_path / "store" / "by_source=mobile").glob("part-*"))
     lines = records.scan_records(spark, str(tmp_path / "store"), layout="lines", ordered=False).collect()
     assert len(lines) == 500 and sum(f.stat().st_size for f in files) < sum(len(r["raw"]) + 1 for r in lines) / 3
+
+
+def test_a_day_of_a_device_stays_one_file_over_runs(spark, tmp_path):
+    start = 1787702400000  # a UTC midnight
+    rows = [{"heart_rate": 60 + i % 9, "start_time": start + 1_800_000 * i, "end_time": start + 1_800_000 * i + 59000} for i in range(96)]
+    root, store = tmp_path / "u_20240101000000", tmp_path / "raw"
+    put(root, "com.samsung.shealth.tracker.heart_rate/1.json", json.dumps(rows))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        for now, device in enumerate(("watch", "ring", "watch")):
+            jobs.produce(spark, str(root), str(store), device, now).collect()
+    finally:
+        spark.conf.unset(coalesce)
+    folders = [f for f in store.glob("by_source=*/by_device=*/by_day=*")]
+    assert len(folders) == 4 and all(len(list(f.glob("part-*"))) == 1 for f in folders)
+    stored = records.parse_windows(records.scan_records(spark, str(store), layout="lines", ordered=False)).collect()
+    assert len(stored) == len({(r["device"], r["start_ms"]) for r in stored}) == 2 * 96
+    assert {(r["device"], r["ingested_ms"]) for r in stored} == {("watch", 2), ("ring", 1)}
+
+
+def test_lines_of_a_large_sheet_are_not_dealt_out_by_its_path(spark, tmp_path):
+    put(tmp_path / "e", "stress.csv", SHEET + "2026-08-25 15:25:00.000,,UTC+0000,20,u\n")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")  # as if the sheet were too large for a guess
+    try:
+        parts = jobs.read_export(spark, str(tmp_path / "e"), "watch")
+        plan = parts["stress"]._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert [r["score"] for r in parts["stress"].collect()] == [20.0]
+        jobs.release(parts)
+    finally:
+        spark.conf.unset(threshold)
+
+
+def test_a_batch_of_many_partitions_opens_no_folders_beyond_its_values(spark, tmp_path, monkeypatch):
+    from chronogrid.sinks import tables
+
+    monkeypatch.setattr(tables, "MAX_NAMED", 2)
+    path = str(tmp_path / "t")
+    schema = "id int, device string, day int, arrival bigint"
+    rows = [(i, d, i, 1) for i in range(5) for d in ("watch", "ring")] + [(9, None, 9, 1), (9, "watch", None, 1)]
+    tables.upsert_table(spark, path, spark.createDataFrame(rows, schema), ["id", "device", "day"], ["device", "day"])
+    stored = tables.read_table(spark, path, spark.createDataFrame([], "id int, device string, day int").schema)
+    batch = spark.createDataFrame([(i, "ring", i, 2) for i in range(1, 4)], schema)
+    kept = tables.only_touched(stored, batch, ["device", "day"])
+    filters = kept._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+    assert "ring" in filters and "day" in filters
+    assert sorted((r["id"], r["device"]) for r in kept.collect()) == [(1, "ring"), (2, "ring"), (3, "ring")]
+    blank = spark.createDataFrame([(i, "ring", i, 2) for i in range(1, 4)] + [(9, None, 9, 2), (9, "watch", None, 2)], schema)
+    assert len(tables.only_touched(stored, blank, ["device", "day"]).collect()) == 5
