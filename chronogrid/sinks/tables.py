@@ -49,7 +49,7 @@ def upsert_records(records: DataFrame, path: str, rows_per_file: int = 0) -> Non
     The store lies by source, device and UTC day, so a run rewrites only the
     days it has records for, and other devices and exports stay as they are.
     New folders are moved in when all rows are written, so the merge may read
-    the folders that it replaces.
+    the folders that it replaces. Lines are gzipped, as in ``write_records``.
     """
     spark = records.sparkSession
     lines = records.select(
@@ -64,13 +64,14 @@ def upsert_records(records: DataFrame, path: str, rows_per_file: int = 0) -> Non
         lines = cut_lineage(lines)  # read twice: for its days, and with what is stored for these
         schema = "value string, by_source string, by_device string, by_day bigint"
         old = only_touched(spark.read.schema(schema).text(path), lines, STORE_PARTITIONS)
-        key = F.from_json("value", "artifactId string, createdAtEpochMs bigint")
-        old = old.select("value", *STORE_PARTITIONS, key.alias("_key"))
-        old = old.select("value", *STORE_PARTITIONS, F.col("_key.artifactId").alias("_id"), F.col("_key.createdAtEpochMs").alias("_created"))
-        lines = keyed_upsert(old, lines.withColumn("arrival", F.lit(0)), [*STORE_PARTITIONS, "_id", "_created"])
+        if old.head(1):  # nothing stored for these days: nothing to merge with
+            key = F.from_json("value", "artifactId string, createdAtEpochMs bigint")
+            old = old.select("value", *STORE_PARTITIONS, key.alias("_key"))
+            old = old.select("value", *STORE_PARTITIONS, F.col("_key.artifactId").alias("_id"), F.col("_key.createdAtEpochMs").alias("_created"))
+            lines = keyed_upsert(old, lines.withColumn("arrival", F.lit(0)), [*STORE_PARTITIONS, "_id", "_created"])
     # a day of a device holds 1,440 windows: one file, not one a task; only a day too large for a task is split
     by_day = lines.select("value", *STORE_PARTITIONS).hint("rebalance", *STORE_PARTITIONS)
-    writer = by_day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = by_day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.partitionBy(*STORE_PARTITIONS).text(path)
